@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkquill.llm import oracles, quality
+from sparkquill.llm import oracles, quality, simhash_dedup
 from sparkquill.tables import table
 
 
@@ -17,8 +18,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.classes(table(spark, sf_dir, "documents"), size=4, radius=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules}
+    return {
+        "op1_quality_rules": op1_quality_rules,
+        "op8_simhash_dedup": op8_simhash_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
