@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkquill.llm import quality
+from sparkquill.llm import merkle, quality
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -67,3 +67,26 @@ def judged(source: str = "documents") -> str:
 
 def quality_rules() -> str:
     return f"WITH {judged()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"
+
+
+def _tree(text: str, name: str, rows: str) -> str:
+    bound = "CASE WHEN h[1] IN ('0', '1') THEN '/' ELSE ';' END"
+    piece = merkle.PIECE.replace("\\n", "\n")
+    return f"""(SELECT * EXCLUDE (ls, ns), md5(array_to_string(list_transform(string_split(
+            array_to_string(list_transform(ns, lambda h: h || {bound}), ''), '/'), lambda s: md5(s)[:{merkle.NODE}]), '/')) || ':' ||
+            array_to_string(list_transform(list_zip(ls, ns), lambda z: z[1] || CASE WHEN z[2][1] IN ('0', '1') THEN '/' ELSE ';' END), '') AS {name}
+        FROM (SELECT *, list_transform(ls, lambda s: md5(s)[:{merkle.NODE}]) ns FROM (SELECT *, list_transform(string_split({text}, chr(10)),
+            lambda p: array_to_string(list_transform(regexp_extract_all(p, '{piece}'), lambda x: md5(x)[:{merkle.LEAF}]), ',')) ls FROM {rows})))"""
+
+
+def fingerprints() -> str:
+    leaf = lambda f: f"list_filter(list_distinct(regexp_split_to_array({f}[34:], '[,;/]')), lambda x: x <> '')"
+    near = lambda a, b: f"CASE WHEN {a}[:32] = {b}[:32] THEN 1.0::DOUBLE ELSE round(2.0::DOUBLE * len(list_intersect({leaf(a)}, {leaf(b)})) / greatest(len({leaf(a)}) + len({leaf(b)}), 1), 6) END"
+    first = _tree("text", "fingerprint", "(SELECT doc_id, coalesce(text, '') AS text FROM documents)")
+    order = "ORDER BY doc_id DESC NULLS LAST, text"
+    rows = f"""(SELECT *, coalesce(lead(text) OVER ({order}), first(text) OVER ({order})) next_text,
+        coalesce(lead(fingerprint) OVER ({order}), first(fingerprint) OVER ({order})) next_fingerprint FROM {first})"""
+    edited = f"(SELECT *, text[:length(text) - length(text) // 3] || next_text[:length(text) // 3] AS edited FROM {rows})"
+    return f"""SELECT doc_id, length(text)::BIGINT n_chars, sha256(edited) edited_sha256, fingerprint, edited_fingerprint,
+        {near('fingerprint', 'edited_fingerprint')} near_edited, {near('fingerprint', 'next_fingerprint')} near_next
+        FROM {_tree('edited', 'edited_fingerprint', edited)}"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquill.llm import oracles, quality, simhash_dedup
+from sparkquill.llm import merkle, oracles, quality, simhash_dedup
 from sparkquill.tables import table
 
 
@@ -18,6 +18,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.classes(table(spark, sf_dir, "documents"), size=4, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -26,9 +30,13 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op7_fingerprints": op7_fingerprints,
         "op8_simhash_dedup": op8_simhash_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": oracles.quality_rules()}
+    return {
+        "op1_quality_rules": oracles.quality_rules(),
+        "op7_fingerprints": oracles.fingerprints(),
+    }
