@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquill.llm import merkle, oracles, quality, simhash_dedup
+from sparkquill.llm import merkle, oracles, quality, simhash_dedup, substring_dedup
 from sparkquill.tables import table
 
 
@@ -18,6 +18,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed(table(spark, sf_dir, "documents"), length=100)
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprinted(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_fingerprints": op7_fingerprints,
         "op8_simhash_dedup": op8_simhash_dedup,
     }
