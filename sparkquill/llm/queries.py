@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquill.llm import merkle, oracles, quality, simhash_dedup, substring_dedup
+from sparkquill.llm import merkle, oracles, piece_codec, quality, simhash_dedup, substring_dedup
 from sparkquill.tables import table
 
 
@@ -31,12 +31,17 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encoded(table(spark, sf_dir, "documents"), piece_codec.MODEL, piece_codec.CHUNK)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_fingerprints": op7_fingerprints,
         "op8_simhash_dedup": op8_simhash_dedup,
+        "op9_piece_codec": op9_piece_codec,
     }
 
 
