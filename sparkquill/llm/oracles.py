@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkquill.llm import merkle, quality
+from sparkquill.llm import merkle, mixing, quality
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -90,3 +90,27 @@ def fingerprints() -> str:
     return f"""SELECT doc_id, length(text)::BIGINT n_chars, sha256(edited) edited_sha256, fingerprint, edited_fingerprint,
         {near('fingerprint', 'edited_fingerprint')} near_edited, {near('fingerprint', 'next_fingerprint')} near_next
         FROM {_tree('edited', 'edited_fingerprint', edited)}"""
+
+
+def source_mixing(entropy: float, max_repeats: float, seed: int, source: str = "documents") -> str:
+    w = "list_transform(ps, lambda p: pow(p, mid) / list_sum(list_transform(ps, lambda q: pow(q, mid))))"
+    h = f"-list_sum(list_transform({w}, lambda x: x * ln(x)))"
+    ratio = "list_transform(ps, lambda p: pow(p, mid) / p)"
+    reps = f"list_max({ratio}) / list_min({ratio})"
+
+    def search(name: str, low: str) -> str:
+        return f"""{name} AS (SELECT 0 i, 0.0::DOUBLE lo, 1.0::DOUBLE hi UNION ALL
+            SELECT i + 1, CASE WHEN {low} THEN mid ELSE lo END, CASE WHEN {low} THEN hi ELSE mid END
+            FROM (SELECT i, lo, hi, (lo + hi) / 2 mid, ps, goal FROM {name}, one) WHERE i < {mixing.ROUNDS})"""
+
+    return f"""WITH RECURSIVE tok AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORD}))::BIGINT n_tokens FROM {source}),
+    tot AS (SELECT source, sum(n_tokens)::BIGINT t FROM tok GROUP BY source HAVING sum(n_tokens) > 0),
+    one AS (SELECT list(t::DOUBLE / (SELECT sum(t) FROM tot)::DOUBLE ORDER BY source NULLS FIRST) ps, {entropy}::DOUBLE * ln(count(*)::DOUBLE) goal FROM tot HAVING count(*) > 0),
+    {search('ent', h + ' > goal')}, {search('rep', reps + f' > {max_repeats}')},
+    e AS (SELECT round(greatest((SELECT hi FROM ent WHERE i = {mixing.ROUNDS}), (SELECT hi FROM rep WHERE i = {mixing.ROUNDS})), {mixing.DIGITS}) mid),
+    wts AS (SELECT source, t, round(pow(t::DOUBLE / (SELECT sum(t) FROM tot)::DOUBLE, mid) / (SELECT list_sum(list_transform(ps, lambda q: pow(q, mid))) FROM one), {mixing.DIGITS}) w FROM tot, e),
+    plan AS (SELECT source, t, greatest(floor(w * budget), 1)::BIGINT target, ceil(budget / {mixing.BLOCK_TOKENS}) blocks FROM wts, (SELECT ceil(max(t / w)) budget FROM wts)),
+    ep AS (SELECT tok.*, t, target, blocks, unnest(range(0, (target - 1) // t + 1)) AS epoch FROM tok JOIN plan ON tok.source IS NOT DISTINCT FROM plan.source WHERE n_tokens > 0),
+    k AS (SELECT *, md5('{seed}:' || epoch || ':' || coalesce(doc_id::VARCHAR, 'null')) sort_key FROM ep),
+    r AS (SELECT *, epoch * t + sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY sort_key, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS "start" FROM k)
+    SELECT floor("start"::DOUBLE / target::DOUBLE * blocks::DOUBLE)::BIGINT AS block, sort_key, doc_id, source, epoch::BIGINT AS epoch, n_tokens FROM r WHERE "start" < target"""

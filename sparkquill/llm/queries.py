@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquill.llm import merkle, oracles, piece_codec, quality, simhash_dedup, substring_dedup
+from sparkquill.llm import html_main, merkle, mixing, oracles, piece_codec, quality, simhash_dedup, substring_dedup
 from sparkquill.tables import table
 
 
@@ -18,6 +18,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draws(table(spark, sf_dir, "documents"), entropy=0.92, max_repeats=4.0, seed=0)
+
+
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removed(table(spark, sf_dir, "documents"), length=100)
 
@@ -38,6 +46,8 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_source_mixing": op2_source_mixing,
+        "op5_html_main_text": op5_html_main_text,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_fingerprints": op7_fingerprints,
         "op8_simhash_dedup": op8_simhash_dedup,
@@ -48,5 +58,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": oracles.quality_rules(),
+        "op2_source_mixing": oracles.source_mixing(0.92, 4.0, 0),
         "op7_fingerprints": oracles.fingerprints(),
     }
