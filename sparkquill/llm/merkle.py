@@ -132,11 +132,10 @@ def with_next(docs: DataFrame, ident: str, columns: list[str]) -> DataFrame:
             F.when(F.col("__id") == F.lit(edges[-1]), place(F.lit(0), True)),
         )
     )
-    rows = docs.withColumn("__p", F.explode(places))
-    w = Window.partitionBy("__p.b").orderBy("__p.g", F.desc("__id"), *columns)
-    for c in columns:
-        rows = rows.withColumn(f"next_{c}", F.lead(c).over(w))
-    return rows.filter(~F.col("__p.g")).drop("__id", "__b", "__p")
+    rows = docs.select("*", F.inline(F.transform(places, lambda p: F.struct(p["b"].alias("__to"), p["g"].alias("__ghost")))))
+    w = Window.partitionBy("__to").orderBy("__ghost", F.desc("__id"), *columns)
+    rows = rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
+    return rows.filter(~F.col("__ghost")).drop("__id", "__b", "__to", "__ghost")
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
