@@ -30,6 +30,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -233,17 +234,26 @@ def _meet(batches, length: int, most: int):
     yield from _found(HUGE, cols, np.flatnonzero(go & (size > most)))
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Row and fields of every struct in a column of arrays, without Python objects; null arrays are empty."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    fields = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+    return np.repeat(np.arange(len(column)), sizes), fields
+
+
 def _cut(batches, length: int):
     """The bytes of each listed segment."""
     for batch in in_pieces(batches, "text", 4 << 20):
         data, offsets = raw(batch.column("text"))
-        out: list[tuple] = []
-        for i, (k, tie, spans) in enumerate(zip(batch.column("k").to_pylist(), batch.column("tie").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
-            at = int(offsets[i])
-            out += [(s["key"], k, tie, s["pos"], s["wins"], s["kind"], bytes(data[at + s["pos"] : at + s["pos"] + s["wins"] - 1 + length])) for s in spans]
-        for a in range(0, len(out), 50_000):
-            key, k, tie, pos, wins, kind, seg = zip(*out[a : a + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(k, pa.int64()), pa.array(tie, pa.int64()), pa.array(pos, pa.int32()), pa.array(wins, pa.int32()), pa.array(kind, pa.int32()), pa.array(seg, pa.binary())], names=["key", "k", "tie", "pos", "wins", "kind", "seg"])
+        row, f = _lists(batch.column("spans"))
+        k, tie = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("k", "tie"))
+        start = offsets[row] + f["pos"]
+        end = start + f["wins"] - 1 + length
+        for a in range(0, len(row), 10_000):
+            i = slice(a, a + 10_000)
+            seg = [bytes(data[s:e]) for s, e in zip(start[i].tolist(), end[i].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(f["key"][i]), pa.array(k[i]), pa.array(tie[i]), pa.array(f["pos"][i]), pa.array(f["wins"][i]), pa.array(f["kind"][i]), pa.array(seg, pa.binary())], names=["key", "k", "tie", "pos", "wins", "kind", "seg"])
 
 
 def suffix_order(x: np.ndarray, depth: int) -> np.ndarray:
@@ -383,12 +393,14 @@ def _cut_out(batches, length: int):
     for batch in in_pieces(batches, "text", 4 << 20):
         data, offsets = raw(batch.column("text"))
         removed, spans, digests = [], [], []
-        for i, found in enumerate(batch.column("spans").to_pylist()):
-            text = bytes(data[int(offsets[i]) : int(offsets[i + 1])])
+        row, f = _lists(batch.column("spans"))
+        first = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        for i in range(batch.num_rows):
+            text = data[int(offsets[i]) : int(offsets[i + 1])]
             gone, runs, at, kept = 0, 0, 0, hashlib.sha256()
-            if found:
-                pos = np.array([s["pos"] for s in found])
-                end = pos + np.array([s["wins"] for s in found]) - 1 + length
+            if first[i] < first[i + 1]:
+                pos = f["pos"][first[i] : first[i + 1]].astype(np.int64)
+                end = pos + f["wins"][first[i] : first[i + 1]] - 1 + length
                 order = np.argsort(pos, kind="stable")
                 pos, end = pos[order], np.maximum.accumulate(end[order])
                 opens = np.flatnonzero(np.r_[True, pos[1:] > end[:-1]])
