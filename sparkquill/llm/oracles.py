@@ -114,3 +114,11 @@ def source_mixing(entropy: float, max_repeats: float, seed: int, source: str = "
     k AS (SELECT *, md5('{seed}:' || epoch || ':' || coalesce(doc_id::VARCHAR, 'null')) sort_key FROM ep),
     r AS (SELECT *, epoch * t + sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY sort_key, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS "start" FROM k)
     SELECT floor("start"::DOUBLE / target::DOUBLE * blocks::DOUBLE)::BIGINT AS block, sort_key, doc_id, source, epoch::BIGINT AS epoch, n_tokens FROM r WHERE "start" < target"""
+
+
+def token_rollup() -> str:
+    lines = "array_to_string(list_distinct(string_split(coalesce(text, ''), chr(10))), chr(10))"
+    return f"""WITH left_in AS (SELECT * FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)),
+    both_versions AS (SELECT source, lang, 'words-1' AS version, len(regexp_extract_all({lines}, {WORD}))::BIGINT tokens FROM left_in
+        UNION ALL SELECT source, lang, 'pieces-1', len(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]'))::BIGINT FROM left_in)
+    SELECT source, lang, version, count(*)::BIGINT n_docs, sum(tokens)::BIGINT n_tokens FROM both_versions GROUP BY ALL"""

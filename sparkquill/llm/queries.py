@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquill.llm import html_main, merkle, mixing, oracles, piece_codec, quality, simhash_dedup, substring_dedup
+from sparkquill.llm import html_main, merkle, mixing, oracles, piece_codec, quality, secret_scan, simhash_dedup, substring_dedup, token_rollup
 from sparkquill.tables import table
 
 
@@ -22,6 +22,11 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draws(table(spark, sf_dir, "documents"), entropy=0.92, max_repeats=4.0, seed=0)
 
 
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    takedowns = table(spark, sf_dir, "labels").filter("toxic = 1")
+    return token_rollup.maintained(table(spark, sf_dir, "documents"), takedowns)
+
+
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extracted(table(spark, sf_dir, "pages"))
 
@@ -43,15 +48,21 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encoded(table(spark, sf_dir, "documents"), piece_codec.MODEL, piece_codec.CHUNK)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scanned(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_source_mixing": op2_source_mixing,
+        "op4_token_rollup": op4_token_rollup,
         "op5_html_main_text": op5_html_main_text,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_fingerprints": op7_fingerprints,
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_piece_codec": op9_piece_codec,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
@@ -59,5 +70,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": oracles.quality_rules(),
         "op2_source_mixing": oracles.source_mixing(0.92, 4.0, 0),
+        "op4_token_rollup": oracles.token_rollup(),
         "op7_fingerprints": oracles.fingerprints(),
     }
