@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquill.llm import html_main, merkle, mixing, oracles, piece_codec, quality, secret_scan, simhash_dedup, substring_dedup, token_rollup
+from sparkquill.llm import html_main, license_scan, merkle, mixing, oracles, piece_codec, quality, secret_scan, simhash_dedup, substring_dedup, token_rollup
 from sparkquill.tables import table
 
 
@@ -22,6 +22,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draws(table(spark, sf_dir, "documents"), entropy=0.92, max_repeats=4.0, seed=0)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, sf_dir, "documents"))
+
+
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     takedowns = table(spark, sf_dir, "labels").filter("toxic = 1")
     return token_rollup.maintained(table(spark, sf_dir, "documents"), takedowns)
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_source_mixing": op2_source_mixing,
+        "op3_license_scan": op3_license_scan,
         "op4_token_rollup": op4_token_rollup,
         "op5_html_main_text": op5_html_main_text,
         "op6_substring_dedup": op6_substring_dedup,
