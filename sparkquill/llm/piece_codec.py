@@ -518,7 +518,8 @@ def _encoded(batches, path: str, with_ids: bool):
         columns += [pa.array(n, pa.int64()), pa.array(sha), pa.array(back)]
         names += ["n_tokens", "ids_sha256", "round_trip"]
         if with_ids:
-            columns.append(pa.array([i for i in ids], pa.list_(pa.int32())))
+            bounds = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids))))
             names.append("ids")
         yield pa.RecordBatch.from_arrays(columns, names=names)
 

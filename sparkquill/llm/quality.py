@@ -13,8 +13,6 @@ A constant statistic has the variance of its floor, so no covariance is singular
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,21 +182,35 @@ def step(vec: DataFrame, params: DataFrame, keys: list[str], dims: dict[str, flo
 CONSISTENCY = 1.9
 
 
-def judge(docs: DataFrame, keys: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF, steps: int = STEPS) -> DataFrame:
-    """One row per row of `docs`: doc_id, the base statistics, base_failed, kept, d2.
+def fitted(docs: DataFrame, keys: list[str], steps: int = STEPS) -> tuple[DataFrame, DataFrame]:
+    """The statistics of all rows, written once to the shared folder, and each group's estimate after the steps.
 
-    Rows that fail the base rules take no part in the estimates. The statistics are written once to the shared folder,
-    for the texts are read once while each step reads the small vectors."""
+    Rows that fail the base rules take no part. The texts are read once, each step reads the small vectors."""
     keep = list(dict.fromkeys(["doc_id", *keys]))
     stats = written(vector(base_stats(docs.select(*keep, "text")).drop("text")), "quality")
-    group = list(keys)
-    fit = stats.filter(~F.col("base_failed")).select(*group, *DIMS)
-    params = start(fit, group)
+    fit = stats.filter(~F.col("base_failed")).select(*keys, *DIMS)
+    params = start(fit, keys)
     for _ in range(steps):
-        params = step(fit, params, group)
-    rows = _distance(_with(stats, params, group), list(DIMS))
-    good = ~F.col("base_failed") & (F.col("d2") <= F.lit(cutoff))
-    return rows.withColumn("kept", F.coalesce(good, F.lit(False))).withColumn("d2", F.round("d2", 3))
+        params = step(fit, params, keys)
+    return stats, params
+
+
+def _verdict(rows: DataFrame, params: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
+    rows = _distance(_with(rows, params, keys), list(DIMS))
+    return rows.withColumn("kept", F.coalesce(~F.col("base_failed") & (F.col("d2") <= F.lit(cutoff)), F.lit(False)))
+
+
+def judge(docs: DataFrame, keys: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF, steps: int = STEPS) -> DataFrame:
+    """One row per row of `docs`: doc_id, the base statistics, base_failed, kept, d2."""
+    stats, params = fitted(docs, list(keys), steps)
+    return _verdict(stats, params, list(keys), cutoff).withColumn("d2", F.round("d2", 3))
+
 
+def filtered(docs: DataFrame, keys: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF, steps: int = STEPS) -> DataFrame:
+    """The rows of `docs` that are kept, with all their columns.
 
-assert math.isclose(len(DIMS), 5)
+    The estimates are small: joining them and computing a row's statistics again moves no text between machines."""
+    _, params = fitted(docs, list(keys), steps)
+    params = written(params, "estimates")
+    rows = docs.select(F.struct(*docs.columns).alias("__doc"), *keys, "text")
+    return _verdict(vector(base_stats(rows)), params, list(keys), cutoff).filter("kept").select("__doc.*")

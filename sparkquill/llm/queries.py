@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sparkquill.llm import html_main, license_scan, merkle, mixing, oracles, piece_codec, quality, secret_scan, simhash_dedup, substring_dedup, token_rollup
 from sparkquill.tables import table
 
@@ -68,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_piece_codec": op9_piece_codec,
         "op10_secret_scan": op10_secret_scan,
+        "pipeline": corpus_pipeline.run,
     }
 
 
