@@ -32,8 +32,8 @@ from sparkquill.llm.components import components
 from sparkquill.tables import written
 
 BITS, SEED, TILE = 64, 42, 4096
-#: Fingerprints that a bucket should hold on average at most, and most blocks compared at once.
-BUCKET, AT_ONCE = 64, 1 << 18
+#: Fingerprints that a bucket should hold on average at most, blocks compared and rows laid out at once.
+BUCKET, AT_ONCE, ROWS = 64, 1 << 17, 1 << 15
 
 
 def shingle_hashes(text: bytes, size: int, block: int = 1 << 20) -> Iterator[np.ndarray]:
@@ -216,8 +216,13 @@ def _buckets(batches, radius: int):
         # Ids are not in order within a batch, but equal ones stand together: the last run starts after the last other id.
         others = np.flatnonzero(now["bucket"] != now["bucket"][-1])
         cut = int(others[-1]) + 1 if len(others) else 0
-        if cut:
-            yield from edges({c: v[:cut] for c, v in now.items()})
+        # Whole buckets, some ten thousand rows at a time: planes of many small buckets are larger than their rows.
+        ends = np.flatnonzero(np.r_[now["bucket"][1:cut] != now["bucket"][: max(cut - 1, 0)], True]) + 1 if cut else []
+        at = 0
+        for end in ends:
+            if end - at >= ROWS or end == cut:
+                yield from edges({c: v[at:end] for c, v in now.items()})
+                at = int(end)
         rest = {c: v[cut:] for c, v in now.items()}
     if rest is not None and len(rest["fp"]):
         yield from edges(rest)
