@@ -13,9 +13,16 @@ from pyspark.sql import types as T
 
 from sparkquill.functions.text import content_hash
 
-SOURCES = T.StructType.fromDDL("source_id long, content string, content_hash string, metadata string, created_at timestamp, name string, status string")
-CHUNKS = T.StructType.fromDDL("chunk_id long, source_id long, chunk_index int, content string, start_pos int, end_pos int, chunk_type string, embedding array<float>")
-DOCS = T.StructType.fromDDL("doc_id long, content string, content_hash string, embedding array<float>")
+_L, _S, _I, _V = T.LongType(), T.StringType(), T.IntegerType(), T.ArrayType(T.FloatType())
+
+
+def _shape(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+SOURCES = _shape(source_id=_L, content=_S, content_hash=_S, metadata=_S, created_at=T.TimestampType(), name=_S, status=_S)
+CHUNKS = _shape(chunk_id=_L, source_id=_L, chunk_index=_I, content=_S, start_pos=_I, end_pos=_I, chunk_type=_S, embedding=_V)
+DOCS = _shape(doc_id=_L, content=_S, content_hash=_S, embedding=_V)
 PENDING, COMPLETED = "pending", "completed"
 #: Rows of the recent buffer from which on a merge is due.
 MERGE_AT = 100

@@ -12,7 +12,6 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkquill.functions.text import document_kind, join_pages
 
@@ -47,7 +46,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content", document_kind(F.col("content")).alias("kind"))
 
 
-_TEXTS = T.StructType.fromDDL("path string, kind string, pages array<string>, error string")
+_TEXTS = "path string, kind string, pages array<string>, error string"
 
 
 def extracted(files: DataFrame, pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
