@@ -1,0 +1,77 @@
+"""Secret scans by held-out accuracy; main text of pages by cases."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkquill.llm import html_main, secret_scan
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.train(spark)
+
+
+def test_held_out(spark, forest):
+    rows = spark.createDataFrame(secret_scan.findings(1500, seed=99), "value string, before string, after string, label int")
+    cols = secret_scan.features(F.col("value"), F.col("before"), F.col("after"), forest.odds)
+    x = F.struct(*[c.cast("double").alias(n) for n, c in zip(secret_scan.FEATURES, cols, strict=True)])
+    got = rows.select("label", x.alias("x")).select("label", (forest.score(F.col("x")) >= 0.5).cast("int").alias("y")).collect()
+    assert sum(r["label"] == r["y"] for r in got) / len(got) > 0.97
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" b', 'a token = "[SECRET]" b'),
+        ('TOKEN = "F3EF4D6B2755A36D7D9C25BD72C4D5F67E061FDA"', 'TOKEN = "[SECRET]"'),
+        ("see commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 for it", None),
+        ("uuid 123e4567-e89b-12d3-a456-426614174000 here", None),
+        ("call 4845168114407329 now", None),
+        ("mail 34@mail7.example.com now", None),
+        ("/usr/share/doc/readme-2024.html is the path of it", None),
+        ("no candidate at all", None),
+    ],
+)
+def test_cases(spark, forest, text, want):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secret_scan.redacted(df, forest).first()["text"] == (want or text)
+
+
+def test_two_in_one(spark, forest):
+    a, b = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "c6e3f1a2b4d5968778695a4b3c2d1e0f"
+    df = spark.createDataFrame([(1, f'x token = "{a}" and password: {b}, commit {a} and token = "{a}"')], "doc_id long, text string")
+    r = secret_scan.scanned(df, forest).first()
+    assert (r["n_candidates"], r["n_secrets"]) == (4, 3)
+
+
+LONG = "This is the first of the paragraphs that is in the page and it has a lot of words that are in the list of the words so that it is long and it is good and there is not more to say about it than that it is."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>T</title><style>p{}</style></head><body><nav><a href='/'>Home</a></nav><article><h1>A</h1><p>One <b>two</b>three&nbsp;four<p>x<br>y</article><footer>f</footer>", "A\nOne twothree four\nx y"),
+        ("<article><p>Keep.</p><aside><p>Not.</p></aside><form><p>Nor</p></form><section class='comments'><p>I like the text</p></section><p>Me too.</p></article>", "Keep.\nMe too."),
+        ("<main><header><h2>Title &lt;1&gt;</h2></header><p>Body<!-- <p>no</p> --> text</p><div class='cookie-notice'>We use the cookies</div></main>", "Title <1>\nBody text"),
+        ('<article><script>var t="</p>";</script><p>a</p><p class="ad">b</p><p hidden>c</p><p>d</p>', "a\nd"),
+        (f"<body><div><a href=x>Home</a> <a>About</a></div><h1>The title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p><div>Copyright 2020</div>", f"The title\n{LONG}\nShort.\n{LONG}"),
+        ("<div>Menu</div><div>Home</div>", ""),
+        ("<article>1 < 2 & 3 > 2", "1 < 2 & 3 > 2"),
+        ("<article><p>a<script>x", "a"),
+        ("<article><p title='>'>quoted</p><p title='open>odd</p></article>", "quoted\nodd"),
+    ],
+)
+def test_main_text(page, want):
+    assert html_main.main_text(page) == want
+
+
+def test_second_pass():
+    block = lambda heading=False: html_main.Block("x", 0, 0, heading)
+    g, b, s, n = html_main.GOOD, html_main.POOR, html_main.OPEN_SHORT, html_main.NEAR
+    run = lambda *labels: html_main.second_pass([block() for _ in labels], list(labels))
+    assert run(g, s, g) == [True, True, True]
+    assert run(b, s, b) == [False, False, False]
+    assert run(g, s, s, s, b) == [True, True, False, False, False]
+    assert run(b, n, g) == [False, True, True]
+    assert run(s) == [False]
+    assert html_main.second_pass([block(True), block()], [s, g]) == [True, True]
