@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree of pieces, paragraphs and sections.
 
-Lines are paragraphs. A paragraph's leaves are its pieces: forty characters or more up to the next punctuation mark, at
-most 160. A paragraph's node hashes its leaves, a section ends after a paragraph whose node starts with 0 or 1 (eight
+Lines are paragraphs. A paragraph's leaves are its pieces: sixteen characters or more up to the next punctuation mark, at
+most 64. A paragraph's node hashes its leaves, a section ends after a paragraph whose node starts with 0 or 1 (eight
 paragraphs on average, and the same ones after an edit elsewhere), its node hashes its paragraphs' nodes, the root
 hashes the sections'. All bounds depend on the text near them only, so an edit changes one branch.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE = "[^\\n]{40,160}?[.!?;,]|[^\\n]{1,160}"
+PIECE = "[^\\n]{16,64}?[.!?;,]|[^\\n]{1,64}"
 LEAF, NODE = 8, 8
 #: Rows a bucket of neighbouring ids should hold, and the most buckets; beyond them buckets grow and sort to disk.
 ROWS, MOST = 2000, 65536
