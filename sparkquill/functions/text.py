@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 CJK = "\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7A3}"
 
 #: Words by the default Unicode word boundaries: ideographs and Hiragana one by one, Katakana runs, and runs of letters,
-#: marks, digits and underscores that apostrophes, points and commas join inside.
-_RUN = "(?:[\\p{L}\\p{N}_&&[^\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{3040}-\\x{30FF}]][\\p{M}]*)+"
+#: marks, digits and underscores that apostrophes, points and commas join inside. Possessive, ASCII first: no part of a
+#: run is tried twice.
+_LETTERS = "[\\p{L}\\p{N}&&[^\\p{ASCII}\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{3040}-\\x{30FF}]]"
+_RUN = f"(?:[A-Za-z0-9_]++|{_LETTERS}++)(?:[A-Za-z0-9_]++|{_LETTERS}++|\\p{{M}}++)*+"
 WORD = (
-    "[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{3040}-\\x{309F}]|[\\x{30A0}-\\x{30FF}]+|"
     f"{_RUN}(?:(?:(?<=\\p{{L}})['’.:·](?=\\p{{L}})|(?<=\\p{{N}})['’.,;](?=\\p{{N}})){_RUN})*"
+    "|[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{3040}-\\x{309F}]|[\\x{30A0}-\\x{30FF}]+"
 )
 KEPT_SINGLE = f"^[0-9b-hj-zB-HJ-Z{CJK}]$"
 SENTENCE = "[^.?!。]*[.?!。]|[^.?!。]+$"
@@ -50,7 +52,7 @@ def tokens(c: Column) -> Column:
     """Search terms of a text, lower-cased, repeats kept. Single letters are kept but for `a` and `i`, single digits and
     ideographs too, other single characters not; a null text has none."""
     words = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(WORD), F.lit(0))
-    kept = F.filter(words, lambda w: ((F.length(w) > 1) & w.rlike("[\\p{L}\\p{N}]")) | w.rlike(KEPT_SINGLE))
+    kept = F.filter(words, lambda w: ((F.length(w) > 1) & (F.btrim(w, F.lit("_")) != "")) | w.rlike(KEPT_SINGLE))
     return F.transform(kept, lambda w: F.lower(w))
 
 
@@ -89,9 +91,8 @@ def cut_to(c: Column, most: int) -> Column:
     """At most so many characters, then back to the last sentence end if there is one; 0: no limit."""
     if most <= 0:
         return c
-    head = F.substring(c, 1, most)
-    short = F.when(head.rlike("[.?!。]"), F.regexp_replace(head, "[^.?!。]*$", "")).otherwise(head)
-    return F.when(F.length(c) > most, short).otherwise(c)
+    ended = let(F.substring(c, 1, most), lambda head: F.when(head.rlike("[.?!。]"), F.regexp_extract(head, "(?s)^(.*[.?!。])", 1)).otherwise(head))
+    return F.when(F.length(c) > most, ended).otherwise(c)
 
 
 def compressed(c: Column, most: int = 0, remove_duplicates: bool = True) -> Column:
@@ -100,15 +101,17 @@ def compressed(c: Column, most: int = 0, remove_duplicates: bool = True) -> Colu
     n = F.length(text)
 
     def figures(x):
-        result = cut_to(x["joined"], most)
-        return F.struct(
-            result.alias("text"),
-            n.cast("long").alias("original_chars"),
-            F.length(result).cast("long").alias("compressed_chars"),
-            F.when(n > 0, F.round(F.length(result) / n, 6)).otherwise(F.lit(1.0)).alias("ratio"),
-            x["removed"].cast("long").alias("sentences_removed"),
-            F.lit(0).cast("long").alias("chars_saved_stopwords"),
-            (F.length(x["joined"]) - F.length(result)).cast("long").alias("chars_saved_truncation"),
+        return let(
+            cut_to(x["joined"], most),
+            lambda result: F.struct(
+                result.alias("text"),
+                n.cast("long").alias("original_chars"),
+                F.length(result).cast("long").alias("compressed_chars"),
+                F.when(n > 0, F.round(F.length(result) / n, 6)).otherwise(F.lit(1.0)).alias("ratio"),
+                x["removed"].cast("long").alias("sentences_removed"),
+                F.lit(0).cast("long").alias("chars_saved_stopwords"),
+                (F.length(x["joined"]) - F.length(result)).cast("long").alias("chars_saved_truncation"),
+            ),
         )
 
     def kept(all_of):

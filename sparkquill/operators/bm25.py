@@ -30,7 +30,7 @@ def query_terms(queries: DataFrame, ident: str = "qid", text: str = "query") ->
 
 @dataclass
 class Index:
-    """postings(term, doc_id, tf, dl), stats(n, total, avgdl)."""
+    """postings(term, doc_id, tf, dl, lead: one of a document's), stats(n, total, avgdl)."""
 
     postings: DataFrame
     stats: DataFrame
@@ -55,30 +55,34 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 
 
 def _postings(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    """Terms counted within their row: sorted, each run of equal ones is a posting. Nothing is shuffled."""
+    rows = found.select("doc_id", "dl", F.sort_array("tokens").alias("t"))
+    starts = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (F.get("t", i - 1) != x), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("s", starts)
+    end = lambda j: F.coalesce(F.get("s", j + 1), F.size("t"))
+    runs = F.transform("s", lambda i, j: F.struct(F.get("t", i).alias("term"), (end(j) - i).cast("long").alias("tf"), (j == 0).alias("lead")))
+    return rows.select("doc_id", "dl", F.inline(runs)).select("term", "doc_id", "tf", "dl", "lead")
+
+
+def _index(postings: DataFrame) -> Index:
+    kept = written(postings, "postings")
+    return Index(kept, corpus_stats(kept.filter("lead")))
 
 
 def build(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Index:
-    """An index of all texts, written to the shared folder: texts are tokenized once. A repeated id counts once: the
-    first of its texts in order."""
-    found = tokenized(docs, ident, text)
-    postings = written(_postings(found), "postings")
-    lengths = postings.groupBy("doc_id").agg(F.first("dl").alias("dl"))
-    return Index(postings, corpus_stats(lengths))
+    """An index of all texts, written to the shared folder: texts are tokenized once. Ids are expected to be unique."""
+    return _index(_postings(tokenized(docs, ident, text)))
 
 
 def add(index: Index, docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Index:
     """The index with more documents; those whose id is present, and those without a token, are left out."""
-    known = index.postings.select("doc_id").distinct()
-    fresh = _postings(tokenized(docs, ident, text).join(known, "doc_id", "left_anti"))
-    postings = written(index.postings.select("term", "doc_id", "dl", "tf").unionByName(fresh), "postings")
-    return Index(postings, corpus_stats(postings.groupBy("doc_id").agg(F.first("dl").alias("dl"))))
+    known = index.postings.filter("lead").select("doc_id")
+    return _index(index.postings.unionByName(_postings(tokenized(docs, ident, text).join(known, "doc_id", "left_anti"))))
 
 
 def remove(index: Index, ids: DataFrame) -> Index:
     """The index without the documents of `ids` (doc_id)."""
-    postings = written(index.postings.join(ids.select("doc_id"), "doc_id", "left_anti"), "postings")
-    return Index(postings, corpus_stats(postings.groupBy("doc_id").agg(F.first("dl").alias("dl"))))
+    return _index(index.postings.join(ids.select("doc_id"), "doc_id", "left_anti"))
 
 
 def scored(postings: DataFrame, stats: DataFrame, terms: DataFrame, floor: bool = False) -> DataFrame:

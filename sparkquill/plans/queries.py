@@ -14,7 +14,7 @@ from sparkquill.functions import hashing, text, vectors
 from sparkquill.operators import bm25, chunking, context, embed, evaluate, fusion, store, vector
 
 from sparkquill.streaming import ingest
-from sparkquill.tables import shared_dir, table, written
+from sparkquill.tables import shared_dir, spread, table, written
 
 QUERY = "Licensed under the Apache License"
 K = 10
@@ -25,7 +25,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +179,7 @@ def document_kind(spark, d):
 
 def subword_tokenize(spark, d):
     ids = embed.tokenize_column(TOKENIZER)
-    rows = table(spark, d, "documents").select("doc_id", ids(F.col("text")).alias("ids"))
+    rows = docs(spark, d).select("doc_id", ids(F.col("text")).alias("ids"))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), embed.decode_column(TOKENIZER)(F.col("ids")).alias("text"))
 
 

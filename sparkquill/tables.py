@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt out evenly if it is read in fewer splits than there are cores, as small files with one row group are.
+
+    So many splits are a small input, and moving it costs little; a large one stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Only where that is unset (local tests) a folder of our own is chosen."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,9 +35,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+@contextmanager
+def scratch(keep: list[DataFrame]) -> Iterator[None]:
+    """Tables written inside go at the end, but those that a DataFrame in `keep` reads."""
+    start = len(_made)
+    try:
+        yield
+    finally:
+        kept = {f for df in keep for f in df.inputFiles()}
+        for spark, path in _made[start:]:
+            if not any(f"/{path.rsplit('/', 1)[1]}/" in f for f in kept):
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _made[start:] = [m for m in _made[start:] if any(f"/{m[1].rsplit('/', 1)[1]}/" in f for f in kept)]
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` written once as Parquet to the shared folder and read again: lineage is cut, and losing an executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
