@@ -89,8 +89,13 @@ class Engine:
     def _embedded(self, queries: DataFrame) -> DataFrame:
         return queries if "embedding" in queries.columns else queries.withColumn("embedding", self.embed(F.col("query")))
 
-    def search(self, queries: DataFrame, k: int | None = None) -> DataFrame:
-        """Vector search: qid, rank, chunk_id, source_id, chunk_index, content, similarity, metadata."""
+    def search(self, queries: DataFrame, k: int | None = None, source_ids: list[int] | None = None) -> DataFrame:
+        """Vector search: qid, rank, chunk_id, source_id, chunk_index, content, similarity, metadata.
+
+        In named sources it is the hybrid search with all weight on vectors, and similarity is the fused score."""
+        if source_ids:
+            hits = self.search_hybrid(queries, k, fusion.Filter(source_ids), fusion.Fusion(60, 1.0, 0.0))
+            return hits.withColumn("similarity", F.col("score"))
         vectors = self.chunks.select(F.col("chunk_id").alias("id"), "embedding")
         hits = vector.topk(vectors, self._embedded(queries), k or self.config.top_k)
         return fusion.with_content(hits, self.chunks, self.sources).withColumnRenamed("doc_id", "chunk_id")

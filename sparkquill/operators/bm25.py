@@ -86,15 +86,17 @@ def remove(index: Index, ids: DataFrame) -> Index:
 
 
 def scored(postings: DataFrame, stats: DataFrame, terms: DataFrame, floor: bool = False) -> DataFrame:
-    """qid, doc_id, score from postings that may hold other terms too. floor: no average length under 1."""
-    hits = postings.join(terms, "term")
-    df = terms.select("term").distinct().join(postings, "term").groupBy("term").agg(F.count("*").alias("df"))
-    # Every query term's df, and one row of statistics: small against the postings.
-    hits = hits.join(df, "term").crossJoin(F.broadcast(stats.select("n", "avgdl")))
+    """qid, doc_id, score from postings that may hold other terms too. floor: no average length under 1.
+
+    Everything that is the same for all documents is worked out on the side of the query terms, a table of the batch's
+    size; the postings are joined once, and scores are summed before they are shuffled."""
+    df = postings.select("term").join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
     avgdl = F.greatest(F.col("avgdl"), F.lit(1.0)) if floor else F.col("avgdl")
+    weights = terms.join(df, "term").crossJoin(F.broadcast(stats.select("n", "avgdl")))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return hits.groupBy("qid", "doc_id").agg(F.sum(part * F.col("qtf")).alias("score"))
+    weights = weights.select("qid", "term", (F.col("qtf") * idf).alias("weight"), avgdl.alias("avgdl"))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return postings.join(weights, "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def ranked(scores: DataFrame, k: int | None, column: str = "score") -> DataFrame:

@@ -84,6 +84,7 @@ def test_engine(spark, tmp_path):
     assert {r["qid"] for r in e.search(q, 1).collect()} == {0, 1}
     only = e.search_hybrid(q, 3, fusion.Filter(source_ids=[2])).collect()
     assert {r["source_id"] for r in only} == {2}
+    assert {r["source_id"] for r in e.search(q, 3, [1]).collect()} == {1}
     out = {r["qid"]: r for r in e.answer_context(q, 2, adjacent=1, single_source=True).collect()}
     assert "Pears grow" in out[1]["text"]
     assert out[1]["prompt"].endswith("Question: apples orchard\n\nAnswer:")
