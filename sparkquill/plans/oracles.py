@@ -33,10 +33,14 @@ def sentences(x: str) -> str:
     return f"list_filter({parts}, lambda s: strlen(s) > 1 OR (length(s) > 0 AND NOT regexp_matches(s, '[.?!。]$')))"
 
 
+def let(value: str, name: str, use: str) -> str:
+    """`use` with the value under a name, computed once."""
+    return f"(list_transform([{value}], lambda {name}: {use})[1])"
+
+
 def distinct_sentences(x: str) -> str:
-    found = sentences(x)
-    keys = f"list_transform({found}, lambda s: {collapse('lower(s)')})"
-    return f"list_transform(list_filter(list_zip({found}, {keys}, range(1, len({found}) + 1)), lambda z: list_position({keys}, z[2]) = z[3]), lambda z: z[1])"
+    kept = "list_transform(list_filter(list_zip(fs, ks, range(1, len(fs) + 1)), lambda z: list_position(ks, z[2]) = z[3]), lambda z: z[1])"
+    return let(sentences(x), "fs", let(f"list_transform(fs, lambda s: {collapse('lower(s)')})", "ks", kept))
 
 
 def cut(x: str, most: int) -> str:
@@ -51,7 +55,7 @@ def utf16(x: str) -> str:
 def terms(x: str) -> str:
     parts = rf"regexp_split_to_array(coalesce({x}, ''), '[\s()\[\]{{}},.!?:;/|_\-]+')"
     kept = f"list_transform(list_filter({parts}, lambda w: w <> '' AND (regexp_matches(w, '[{CJK}]') OR {utf16('w')} >= 2)), lambda w: lower(w))"
-    return f"list_filter({kept}, lambda w, i: list_position({kept}, w) = i)"
+    return let(kept, "ws", "list_filter(ws, lambda w, i: list_position(ws, w) = i)")
 
 
 def has(x: str, phrases: list[str]) -> str:
