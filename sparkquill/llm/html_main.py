@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquill.llm.arrowio import in_pieces, sized
+from sparkquill.llm.arrowio import in_pieces, lean, sized
 
 #: Frequent function words of the languages that pages are judged in.
 STOP_WORDS = {
@@ -206,4 +206,4 @@ def _run(batches):
 def extracted(pages: DataFrame) -> DataFrame:
     """One row per row of `pages`: page_id, url, text, n_chars."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return sized(rows).mapInArrow(_run, "page_id long, url string, text string, n_chars long")
+    return sized(rows).mapInArrow(lean(_run), "page_id long, url string, text string, n_chars long")

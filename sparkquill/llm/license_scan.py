@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquill.llm.arrowio import in_pieces, sized
+from sparkquill.llm.arrowio import in_pieces, lean, sized
 
 SHINGLE, CONTAINED, BANDS = 5, 0.8, 48
 PIECE = 4 << 20
@@ -215,4 +215,4 @@ def scanned(docs: DataFrame, templates: list[tuple[str, str]] | None = None, ban
     """One row per document and template found in it: doc_id, license, template (its number), containment, first_word."""
     rows = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     chosen = TEMPLATES if templates is None else templates
-    return rows.mapInArrow(lambda it: _run(it, chosen, bands), "doc_id long, license string, template int, containment double, first_word long")
+    return rows.mapInArrow(lean(lambda it: _run(it, chosen, bands)), "doc_id long, license string, template int, containment double, first_word long")

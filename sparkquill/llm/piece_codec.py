@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquill.llm.arrowio import in_pieces, sized
+from sparkquill.llm.arrowio import in_pieces, lean, sized
 from sparkquill.tables import written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -141,7 +141,7 @@ class Pieces:
             return True
         known = self._fits.get((a, b))
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 100_000:
                 self._fits.clear()
             known = self._fits[a, b] = bool(self.fit(np.array([a], np.int32), np.array([b], np.int32))[0])
         return known
@@ -224,20 +224,25 @@ def trace(last: dict[int, tuple[int, int]], at: int, end: int) -> list[int]:
     return out[::-1]
 
 
-def encode_words(p: Pieces, words: list[str]) -> list[list[int]]:
-    """Ids of each word (space marks written as spaces). Words up to SHORT characters are scanned side by side."""
-    out: list[list[int] | None] = [None] * len(words)
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<i4").tobytes()
+
+
+def encode_words(p: Pieces, words: list[str]) -> list[bytes]:
+    """Ids of each word (space marks written as spaces) as little-endian 32-bit numbers in a row. Words up to SHORT
+    characters are scanned side by side."""
+    out = [b""] * len(words)
     marked = [w.replace(" ", MARK) for w in words]
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     for i in np.flatnonzero(sizes > SHORT).tolist():
         last = scan(p, marked[i], START, 0, len(marked[i]))
-        out[i] = p.token_ids(trace(last, 0, len(marked[i])), marked[i])
+        out[i] = _packed(p.token_ids(trace(last, 0, len(marked[i])), marked[i]))
     order = np.argsort(sizes, kind="stable")
     order = order[(sizes[order] <= SHORT) & (sizes[order] > 0)]
     for a in range(0, len(order), 20_000):
         rows = order[a : a + 20_000]
         _side_by_side(p, rows.tolist(), marked, sizes[rows], out)
-    return [o or [] for o in out]
+    return out
 
 
 def _side_by_side(p: Pieces, rows: list[int], marked: list[str], sizes: np.ndarray, out: list) -> None:
@@ -282,12 +287,12 @@ def _side_by_side(p: Pieces, rows: list[int], marked: list[str], sizes: np.ndarr
     place = np.concatenate([t[2] for t in taken])
     sort = np.lexsort((place, row))
     row, rank, place = row[sort], rank[sort], place[sort]
-    ids = p.ids[np.maximum(rank, 0)].tolist()
+    ids = p.ids[np.maximum(rank, 0)].astype("<i4").tobytes()
     bounds = np.searchsorted(row, np.arange(n + 1)).tolist()
     for k, i in enumerate(rows):
-        out[i] = ids[bounds[k] : bounds[k + 1]]
+        out[i] = ids[4 * bounds[k] : 4 * bounds[k + 1]]
     for k in np.unique(row[rank == UNKNOWN]).tolist():
-        out[rows[k]] = p.token_ids(rank[bounds[k] : bounds[k + 1]].tolist(), marked[rows[k]])
+        out[rows[k]] = _packed(p.token_ids(rank[bounds[k] : bounds[k + 1]].tolist(), marked[rows[k]]))
 
 
 _WORD = re.compile(" +[^ ]*")
@@ -296,19 +301,19 @@ _WORD = re.compile(" +[^ ]*")
 class Encoder:
     """Encodes texts batch by batch; words met before are kept, up to a number."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 300_000):
         self.p, self.keep = pieces(path), keep
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = [_WORD.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        if len(self.known) > self.keep:
-            self.known.clear()
-        new = list({w for ws in words for w in ws} - self.known.keys())
-        for w, ids in zip(new, encode_words(self.p, new), strict=True):
-            self.known[w] = np.array(ids, np.int32)
-        empty = np.zeros(0, np.int32)
-        return [np.concatenate([self.known[w] for w in ws]) if ws else empty for ws in words]
+        known = self.known
+        new = list({w for ws in words for w in ws if w not in known})
+        if len(known) + len(new) > self.keep:
+            known.clear()
+            new = list({w for ws in words for w in ws})
+        known.update(zip(new, encode_words(self.p, new), strict=True))
+        return [np.frombuffer(b"".join([known[w] for w in ws]), "<i4") for ws in words]
 
 
 def decode(p: Pieces, ids: np.ndarray) -> bytes:
@@ -490,11 +495,11 @@ def _traced(batches, path: str):
 def giant_ids(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """(row string, text) -> row, ids: by chunks, matrices and states."""
     limit = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    chunks = written(docs.mapInArrow(lambda it: _split(it, path, chunk), _CHUNKS).repartition(int(limit), "row", "c"), "chunks")
-    matrices = chunks.mapInArrow(lambda it: _matrices(it, path), "row string, c int, rows int, free array<int>, cols int")
+    chunks = written(docs.mapInArrow(lean(lambda it: _split(it, path, chunk)), _CHUNKS).repartition(int(limit), "row", "c"), "chunks")
+    matrices = chunks.mapInArrow(lean(lambda it: _matrices(it, path)), "row string, c int, rows int, free array<int>, cols int")
     ordered = matrices.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("c", "rows", "cols", "free"))).alias("chunks"))
-    states = ordered.mapInArrow(_states, "row string, c int, left int, right int")
-    traced = chunks.join(states, ["row", "c"]).mapInArrow(lambda it: _traced(it, path), "row string, c int, ids array<int>")
+    states = ordered.mapInArrow(lean(_states), "row string, c int, left int, right int")
+    traced = chunks.join(states, ["row", "c"]).mapInArrow(lean(lambda it: _traced(it, path)), "row string, c int, ids array<int>")
     parts = traced.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("c", "ids"))).alias("parts"))
     return parts.select("row", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
 
@@ -509,7 +514,7 @@ _RESULT = "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean"
 
 def _encoded(batches, path: str, with_ids: bool):
     p, encoder = pieces(path), Encoder(path)
-    for batch in in_pieces(batches, "text", 4 << 20):
+    for batch in in_pieces(batches, "text", 2 << 20):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         ids = encoder.encode(texts)
         columns = [batch.column("doc_id")]
@@ -538,10 +543,10 @@ def encoded(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK, with_ids: bo
     """One row per row of `docs`: doc_id, n_tokens, ids_sha256 (of little-endian 32-bit ids), round_trip, and ids if wanted."""
     docs = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     schema = _RESULT + (", ids array<int>" if with_ids else "")
-    small = docs.filter(F.length("text") <= chunk).mapInArrow(lambda it: _encoded(it, path, with_ids), schema)
+    small = docs.filter(F.length("text") <= chunk).mapInArrow(lean(lambda it: _encoded(it, path, with_ids)), schema)
     giant = docs.filter(F.length("text") > chunk)
     # Rows are matched by id and text; repeated rows have equal results, so one of each is encoded.
     giant = giant.withColumn("row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2("text", 256)))
     ids = giant_ids(giant.select("row", "text").dropDuplicates(["row"]), path, chunk)
-    large = giant.join(ids, "row").select("doc_id", "text", "ids").mapInArrow(lambda it: _giants(it, path, with_ids), schema)
+    large = giant.join(ids, "row").select("doc_id", "text", "ids").mapInArrow(lean(lambda it: _giants(it, path, with_ids)), schema)
     return small.unionByName(large)

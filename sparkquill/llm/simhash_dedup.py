@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquill.llm.arrowio import in_pieces, raw, sized
+from sparkquill.llm.arrowio import in_pieces, lean, raw, sized
 from sparkquill.llm.components import components
 from sparkquill.tables import written
 
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
             fps = np.fromiter((fingerprint(bytes(data[a:b]), size) for a, b in itertools.pairwise(offsets)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, "doc_id long, fp long")
+    return sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def masks(radius: int, extra: int, bits: int = BITS) -> list[int]:
@@ -248,7 +248,7 @@ def links(distinct: DataFrame, n: int, radius: int = 4, extra: int | None = None
         (F.col("p.a") != F.col("p.b")).alias("cross"),
     )
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", "tile", "fp")
-    return sized(rows).mapInArrow(lambda it: _buckets(it, radius), "u long, v long")
+    return sized(rows).mapInArrow(lean(lambda it: _buckets(it, radius)), "u long, v long")
 
 
 def classes(docs: DataFrame, size: int = 4, radius: int = 4, extra: int | None = None) -> DataFrame:
