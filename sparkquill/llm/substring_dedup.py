@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquill.llm.arrowio import in_pieces, raw, sized
+from sparkquill.llm.arrowio import in_pieces, lean, raw, sized
 from sparkquill.tables import written
 
 LENGTH, ANCHOR, PIECE = 100, 24, 1 << 17
@@ -282,9 +282,11 @@ class Occurrences:
 
     def __init__(self, bwt: np.ndarray, symbols: int):
         words = len(bwt) // 64 + 1
-        self.bits = np.zeros((words, symbols), np.uint64)
         places = np.arange(len(bwt))
-        np.bitwise_or.at(self.bits, (places >> 6, bwt), np.uint64(1) << (places & 63).astype(np.uint64))
+        cell = (places >> 5) * symbols + bwt
+        # Sums of up to 32 powers of two below 2 ** 32 are exact in a double.
+        half = np.bincount(cell, weights=np.exp2(places & 31), minlength=2 * words * symbols).astype(np.uint64).reshape(words, 2, symbols)
+        self.bits = half[:, 0] | half[:, 1] << np.uint64(32)
         per = np.bitwise_count(self.bits).astype(np.uint32)
         self.before = np.zeros((words, symbols), np.uint32)
         np.cumsum(per[:-1], axis=0, out=self.before[1:])
@@ -294,6 +296,34 @@ class Occurrences:
         return self.before[place >> 6] + np.bitwise_count(self.bits[place >> 6] & low[:, None])
 
 
+#: Intervals up to this size are extended place by place, larger ones symbol by symbol.
+NARROW = 64
+
+
+def _extend_narrow(low: np.ndarray, high: np.ndarray, bwt: np.ndarray, last: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All extensions of intervals, by the places they hold. last: where a place's symbol stands among the first symbols;
+    first: the place of each of these. A place is its symbol's first in an interval if the one before is outside."""
+    size = high - low
+    of = np.repeat(np.arange(len(low)), size)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + low[of]
+    to, symbol = last[at], bwt[at]
+    before, after = first[np.maximum(to - 1, 0)], first[np.minimum(to + 1, len(first) - 1)]
+    starts = (to == 0) | (bwt[before] != symbol) | (before < low[of])
+    ends = (to == len(first) - 1) | (bwt[after] != symbol) | (after >= high[of])
+    # Strings of one length have intervals apart, so the n-th start belongs to the n-th end.
+    return np.sort(to[starts]), np.sort(to[ends]) + 1
+
+
+def _extend_wide(low: np.ndarray, high: np.ndarray, occ: Occurrences, smaller: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    lows, highs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(low), 1 << 14):
+        lo = smaller + occ.at(low[a : a + (1 << 14)])
+        hi = smaller + occ.at(high[a : a + (1 << 14)])
+        lows.append(lo[hi > lo])
+        highs.append(hi[hi > lo])
+    return np.concatenate(lows), np.concatenate(highs)
+
+
 def shared_prefixes(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(sa, group): suffixes in order, and a number that neighbours share if their first `depth` symbols are equal.
 
@@ -302,24 +332,22 @@ def shared_prefixes(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     prefix they stand for, and the work is bounded by their number."""
     sa = suffix_order(x, depth)
     used, y = np.unique(x, return_inverse=True)
-    bwt = y[sa - 1]
+    bwt = y[sa - 1].astype(np.int16)
     occ = Occurrences(bwt, len(used))
     smaller = np.r_[0, np.cumsum(np.bincount(y, minlength=len(used)))][:-1]
     n = len(x)
+    first = np.argsort(bwt, kind="stable")
+    last = np.empty(n, np.int64)
+    last[first] = np.arange(n)
     bound = np.zeros(n + 1, bool)
     bound[0] = bound[n] = True
     low, high = np.array([0]), np.array([n])
     for _ in range(depth):
-        lows, highs = [], []
-        for a in range(0, len(low), 1 << 14):
-            lo = smaller + occ.at(low[a : a + (1 << 14)])
-            hi = smaller + occ.at(high[a : a + (1 << 14)])
-            lo, hi = lo[hi > lo], hi[hi > lo]
-            new = ~bound[hi] | ~bound[lo]
-            lo, hi = lo[new], hi[new]
-            lows.append(lo)
-            highs.append(hi)
-        low, high = np.concatenate(lows), np.concatenate(highs)
+        narrow = high - low <= NARROW
+        parts = [_extend_wide(low[~narrow], high[~narrow], occ, smaller), _extend_narrow(low[narrow], high[narrow], bwt, last, first)]
+        low, high = (np.concatenate(v) for v in zip(*parts, strict=True))
+        new = ~bound[low] | ~bound[high]
+        low, high = low[new], high[new]
         bound[low] = True
         bound[high] = True
         if not len(low):
@@ -422,16 +450,16 @@ def with_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, wi
     unique = docs.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     docs = docs.withColumn("tie", F.lit(0).cast("long") if unique else F.xxhash64("text"))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sized(docs.select("k", "tie", "text")).mapInArrow(lambda it: _deal(it, buckets, length, anchor), _DEALT)
-    found = written(dealt.repartition("bucket").mapInArrow(lambda it: _meet(it, length, wide_bytes), _FOUND), "repeats")
+    dealt = sized(docs.select("k", "tie", "text")).mapInArrow(lean(lambda it: _deal(it, buckets, length, anchor)), _DEALT)
+    found = written(dealt.repartition("bucket").mapInArrow(lean(lambda it: _meet(it, length, wide_bytes)), _FOUND), "repeats")
     placed = docs.withColumn("key2", F.struct("k", "tie")).repartition("key2")
     todo = found.filter(F.col("kind") != REPEAT).groupBy(F.struct("k", "tie").alias("key2"))
     todo = todo.agg(F.collect_list(F.struct("key", "pos", "wins", "kind")).alias("spans"))
     cut = placed.join(todo, "key2").select("k", "tie", "text", "spans")
-    cut = written(cut.mapInArrow(lambda it: _cut(it, length), "key long, k long, tie long, pos int, wins int, kind int, seg binary"), "segments")
+    cut = written(cut.mapInArrow(lean(lambda it: _cut(it, length)), "key long, k long, tie long, pos int, wins int, kind int, seg binary"), "segments")
     narrow = cut.filter(F.col("kind") == OPEN).repartition("key").sortWithinPartitions("key")
-    again = narrow.mapInArrow(lambda it: _blocks(it, length), "k long, tie long, pos int, wins int")
-    wide = cut.filter(F.col("kind") == HUGE).mapInArrow(lambda it: _windows(it, length), "h binary, k long, tie long, pos int")
+    again = narrow.mapInArrow(lean(lambda it: _blocks(it, length)), "k long, tie long, pos int, wins int")
+    wide = cut.filter(F.col("kind") == HUGE).mapInArrow(lean(lambda it: _windows(it, length)), "h binary, k long, tie long, pos int")
     earliest = wide.groupBy("h").agg(F.min(F.struct("k", "tie", "pos")).alias("first"))
     late = wide.join(earliest, "h").filter(F.struct("k", "tie", "pos") != F.col("first")).select("k", "tie", "pos", F.lit(1).alias("wins"))
     spans = found.filter(F.col("kind") == REPEAT).select("k", "tie", "pos", "wins").unionByName(again).unionByName(late)
@@ -442,5 +470,5 @@ def with_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, wi
 def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, wide_bytes: int = WIDE) -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return with_repeats(docs, length, anchor, wide_bytes).select("doc_id", "text", "spans").mapInArrow(
-        lambda it: _cut_out(it, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        lean(lambda it: _cut_out(it, length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
