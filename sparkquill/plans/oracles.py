@@ -101,7 +101,7 @@ ASKED = "SELECT item_id qid, text query FROM benchmark WHERE item_id IN (SELECT
 ASKED_VECTORS = "SELECT item_id qid, embedding FROM benchmark JOIN embeddings ON item_id = vec_id"
 DOCS = "SELECT doc_id id, text FROM documents"
 TURN_CHUNKS = "SELECT conv_id * 100000 + turn chunk_id, conv_id source_id, turn::INT chunk_index, text AS content, role chunk_type FROM conversations"
-ONE = f"SELECT 0 qid, {lit(QUERY)} query"
+ONE = f"SELECT 0::BIGINT qid, {lit(QUERY)} query"
 SRC = "source[4:]::BIGINT"
 
 
@@ -331,4 +331,11 @@ def all_of() -> dict[str, str]:
         "stream_ingest": "SELECT vec_id doc_id, len(embedding)::INT dim FROM embeddings",
         "events_by_window": "SELECT (epoch(date_trunc('hour', ts)))::BIGINT AS start, event_type, count(*) n FROM events GROUP BY ALL",
     }
-    return out
+    # row_number() is a BIGINT here and an INT in Spark.
+    return {n: f"SELECT * REPLACE (rank::INT AS rank) FROM ({sql})" if n in RANKED else sql for n, sql in out.items()}
+
+
+RANKED = frozenset(
+    "vector_topk_batch search_chunks search_similar bm25_topk bm25_batch bm25_scoped bm25_index_add bm25_index_remove rrf_hybrid rrf_weighted "
+    "hybrid_source_filter hybrid_metadata_like search_hybrid_simple incremental_search expand_adjacent order_chronological context_budget score_sentences".split()
+)
