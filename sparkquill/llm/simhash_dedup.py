@@ -18,7 +18,6 @@ gives an empty result, long texts are hashed in blocks of words.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -266,7 +265,3 @@ def deduplicated(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFrame:
     """The columns of `docs`, one row of each near-duplicate class: that of its smallest doc_id."""
     stay = classes(docs, size, radius).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-
-def expected_tables(radius: int, extra: int) -> int:
-    return math.comb(radius + extra, extra)
