@@ -17,9 +17,9 @@ K1, B = 1.2, 0.75
 
 
 def tokenized(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, tokens, dl of the documents that have a token."""
+    """doc_id, tokens, dl. There is no filter on dl here: it would be pushed below and tokenize every text once more."""
     df = docs.select(F.col(ident).cast("long").alias("doc_id"), tokens(F.col(text)).alias("tokens"))
-    return df.withColumn("dl", F.size("tokens").cast("long")).filter("dl > 0")
+    return df.withColumn("dl", F.size("tokens").cast("long"))
 
 
 def query_terms(queries: DataFrame, ident: str = "qid", text: str = "query") -> DataFrame:
@@ -50,8 +50,9 @@ class Index:
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
-    """n, total, avgdl of a table with a column dl."""
-    return lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), F.avg("dl").alias("avgdl"))
+    """n, total, avgdl of a table with a column dl. Documents without a token don't count."""
+    dl = F.when(F.col("dl") > 0, F.col("dl"))
+    return lengths.agg(F.count(dl).alias("n"), F.coalesce(F.sum(dl), F.lit(0)).alias("total"), F.avg(dl).alias("avgdl"))
 
 
 def _postings(found: DataFrame) -> DataFrame:
@@ -94,7 +95,10 @@ def scored(postings: DataFrame, stats: DataFrame, terms: DataFrame, floor: bool
     avgdl = F.greatest(F.col("avgdl"), F.lit(1.0)) if floor else F.col("avgdl")
     weights = terms.join(df, "term").crossJoin(F.broadcast(stats.select("n", "avgdl")))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = weights.select("qid", "term", (F.col("qtf") * idf).alias("weight"), avgdl.alias("avgdl"))
+    weights = written(weights.select("qid", "term", (F.col("qtf") * idf).alias("weight"), avgdl.alias("avgdl")), "weights")
+    # A batch of counted size goes to the postings, which then stay where they are; a larger one meets them by term.
+    if weights.count() <= MOST_BROADCAST:
+        weights = F.broadcast(weights)
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return postings.join(weights, "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
 
@@ -130,5 +134,7 @@ def scan(docs: DataFrame, queries: DataFrame, k: int | None, floor: bool = False
     return scores if k is None else ranked(scores, k)
 
 
+#: Rows of query terms, some 60 bytes each, that are sent to every executor at most.
+MOST_BROADCAST = 200_000
 #: A batch with more terms than this is answered from an index, where each token meets its term by hash.
 MOST_TERMS = 64
