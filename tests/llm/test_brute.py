@@ -157,6 +157,45 @@ def test_simhash(spark):
         assert got == {i: (fps[i], label[i]) for i in fps}
 
 
+def test_similar_texts(spark):
+    """The pipeline's stage against all pairs by exact five-word Jaccard; null and shared ids lose no text."""
+    r = random.Random(12)
+    texts = [prose(i, 120) for i in range(40)]
+    for i in range(160):
+        w = texts[i % 40].split(" ")
+        for _ in range(r.randint(1, 5)):
+            w[r.randrange(len(w))] = f"changed{i}"
+        texts.append(" ".join(w))
+    texts += ["", None, " \n", "one two three", "ONE two  three"]
+    rows = [(r.choice([i, None, i // 2]) if i > 60 else i, t) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[70]]
+    sets = [set(grams(t or "", 5)) for _, t in rows]
+    near = lambda a, b: not (a or b) or len(a & b) * 5 >= len(a | b) * 4
+    label = [None] * len(rows)
+    for i in range(len(rows)):
+        if label[i] is None:
+            label[i], todo = i, [i]
+            while todo:
+                a = todo.pop()
+                for b in range(len(rows)):
+                    if label[b] is None and near(sets[a], sets[b]):
+                        label[b] = i
+                        todo.append(b)
+    want = {c: min((rows[i][0] is None, rows[i][0] or 0) for i in range(len(rows)) if label[i] == c) for c in set(label)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(x) for x in simhash_dedup.deduplicated(df).collect()]
+    found = {label[next(i for i, (d, t) in enumerate(rows) if d == g and (t or "") == (u or ""))]: (g is None, g or 0) for g, u in got}
+    assert len(got) == len(want) and found == want
+
+
+def test_similar_texts_in_tiles(spark, monkeypatch):
+    base = prose(7, 150).split(" ")
+    texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(60)] + [prose(8, 100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(simhash_dedup, "TILE", 9)
+    assert sorted(x["doc_id"] for x in simhash_dedup.deduplicated(df).collect()) == [0, 60]
+
+
 def test_bit_planes():
     r = np.random.default_rng(2)
     base = r.integers(0, 1 << 63, 6, dtype=np.uint64)
