@@ -1,8 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more key characters with a digit in it, or what a word such as `password` is set to. Its
-features are its length, how its characters follow one another, how much of it dictionary words cover, its likeness to
-a path, and the words beside it. A random forest trained from labelled findings decides.
+A candidate is a run of 16 or more key characters with a digit in it, or what a word such as `password` is set to. Runs
+are taken whole, however long. A candidate's features are its length, how its characters follow one another, how much
+of it dictionary words cover, its likeness to a path, and the words beside it. A random forest trained from labelled
+findings decides.
 
 All of it runs inside the row: splitting at the pattern gives the text between candidates, so contexts and the redacted
 text need no positions, and the forest becomes one expression over the features. Nothing is exploded or shuffled.
@@ -27,8 +28,8 @@ from sparkquill.llm.html_main import STOP_WORDS
 KEY = "A-Za-z0-9+/_=.~-"
 NAMES = "passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credentials?"
 CANDIDATE = (
-    f"(?<![{KEY}])(?=[A-Za-z+/_=.~-]{{0,256}}[0-9])[{KEY}]{{16,512}}"
-    f"|(?<=[=:\"'\\s])(?<=(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key)[\"']?\\s{{0,2}}[:=]\\s{{0,2}}[\"']?)[^\\s\"'<>]{{8,512}}"
+    f"(?<![{KEY}])(?=[A-Za-z+/_=.~-]*+[0-9])[{KEY}]{{16,}}+"
+    f"|(?<=[=:\"'\\s])(?<=(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key)[\"']?\\s{{0,2}}[:=]\\s{{0,2}}[\"']?)[^\\s\"'<>]{{8,}}+"
 )
 MARK = "[SECRET]"
 BEFORE, AFTER = 48, 24
@@ -116,7 +117,9 @@ def _classes(value: Column) -> Column:
 
 
 def _pairs(classes: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(classes) - 1, F.lit(1))), lambda i: F.substring(classes, i, F.lit(2)))
+    """Neighbouring characters; the last has none, and null. Positions are not looked up, so long values stay linear."""
+    each = F.split(classes, "")
+    return F.zip_with(each, F.slice(each, F.lit(2), F.size(each)), lambda a, b: F.concat(a, b))
 
 
 @functools.lru_cache(maxsize=4)

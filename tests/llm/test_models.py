@@ -1,5 +1,8 @@
 """Secret scans by held-out accuracy; main text of pages by cases."""
 
+import random
+import string
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +40,19 @@ def test_cases(spark, forest, text, want):
     assert secret_scan.redacted(df, forest).first()["text"] == (want or text)
 
 
+@pytest.mark.parametrize("late", [False, True])
+@pytest.mark.parametrize("n", [513, 1700, 60_000])
+def test_long_secrets(spark, forest, n, late):
+    """The whole run goes, also where its first digit stands late."""
+    r = random.Random(n)
+    base = string.ascii_letters if late else string.ascii_letters + string.digits
+    value = "".join(r.choice(base) for _ in range(n)) + "7"
+    df = spark.createDataFrame([(1, f'a token = "{value}" and b'), (2, f"x {value}")], "doc_id long, text string")
+    assert secret_scan.redacted(df.filter("doc_id = 1"), forest).first()["text"] == 'a token = "[SECRET]" and b'
+    found = secret_scan.with_findings(df, forest).select(F.expr("transform(__found, x -> x.value)").alias("v")).collect()
+    assert [x["v"] for x in found] == [[value], [value]]
+
+
 def test_two_in_one(spark, forest):
     a, b = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "c6e3f1a2b4d5968778695a4b3c2d1e0f"
     df = spark.createDataFrame([(1, f'x token = "{a}" and password: {b}, commit {a} and token = "{a}"')], "doc_id long, text string")
