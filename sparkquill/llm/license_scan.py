@@ -11,7 +11,10 @@ Window minima are taken from minima of blocks, so all window sizes together cost
 templates are shared with the workers; texts stay where they are read, nothing is shuffled. Giant texts are scanned in
 overlapping pieces.
 
-Defined results. A null, empty or shorter text than five words has no shingles and no matches. A template found several
+A template of fewer than five words, such as a notice or a heading, has one shingle, its whole sequence, and is found
+by the same hash over runs of its own length; its containment is 1. One that ends with a line break must fill its line.
+
+Defined results. A null or empty text has no shingles and no matches. A template found several
 times has one row, of the best containment and then the first place. Rows without a match give none. Repeated rows give
 repeated matches. Extra columns are ignored.
 """
@@ -58,6 +61,20 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
 ]
 
+#: Short notices, headings that fill their line, and SPDX tags. They are numbered after TEMPLATES.
+_IDENTIFIERS = "MIT ISC Apache-2.0 BSD-2-Clause BSD-3-Clause 0BSD GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 AGPL-3.0 MPL-2.0 EPL-2.0 BSL-1.0 Zlib Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0"
+NOTICES: list[tuple[str, str]] = [
+    ("All-Rights-Reserved", "All rights reserved."),
+    ("MIT", "MIT License\n"),
+    ("MIT", "The MIT License\n"),
+    ("MIT", "The MIT License (MIT)\n"),
+    ("ISC", "ISC License\n"),
+    ("Apache-2.0", "Apache License 2.0\n"),
+    ("BSD-2-Clause", "BSD 2-Clause License\n"),
+    ("BSD-3-Clause", "BSD 3-Clause License\n"),
+    *[(x, f"SPDX-License-Identifier: {x}") for x in _IDENTIFIERS.split()],
+]
+
 _WORD = re.compile(r"[^\W_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -78,13 +95,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of SHINGLE word hashes."""
-    n = len(words) - SHINGLE + 1
+def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of all runs of `size` word hashes."""
+    n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = words[:n].copy()
-    for i in range(1, SHINGLE):
+    for i in range(1, size):
         out = out * _MULT + words[i : i + n]
     return _mixed(out)
 
@@ -100,10 +117,17 @@ class Templates:
     def __init__(self, templates: list[tuple[str, str]], bands: int):
         words = _Hashes()
         self.sets, self.sizes, self.n_words = [], [], []
-        for _, text in templates:
+        #: Templates under SHINGLE words, by their length: number, hash of the whole, and the line they must fill.
+        self.short: dict[int, list[tuple[int, np.uint64, re.Pattern | None]]] = {}
+        for i, (_, text) in enumerate(templates):
             found = _WORD.findall(text.lower())
             self.n_words.append(len(found))
-            s = np.unique(shingles(np.fromiter(map(words.__getitem__, found), np.uint64, len(found))))
+            hashed = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
+            if 0 < len(found) < SHINGLE:
+                gap = r"(?:[^\w\n]|_)"
+                line = re.compile(rf"^{gap}*+({(gap + '++').join(found)}){gap}*+$", re.M) if text.endswith("\n") else None
+                self.short.setdefault(len(found), []).append((i, shingles(hashed, len(found))[0], line))
+            s = np.unique(shingles(hashed))
             self.sets.append(s)
             self.sizes.append(len(found) - SHINGLE + 1)
         self.mult, self.add = _functions(bands)
@@ -140,15 +164,27 @@ def candidates(s: np.ndarray, valid: np.ndarray, t: Templates) -> dict[int, np.n
 
 def scan(texts: list[str], t: Templates, words: _Hashes) -> list[tuple[int, int, float, int]]:
     """(text, template, containment, first word) of the verified matches."""
-    found = [_WORD.findall(x.lower()) for x in texts]
+    texts = [x.lower() for x in texts]
+    found = [_WORD.findall(x) for x in texts]
     bounds = np.r_[0, np.cumsum([len(f) for f in found])]
     flat = np.fromiter((words[w] for f in found for w in f), np.uint64, int(bounds[-1]))
+    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    for n, members in t.short.items():
+        runs = shingles(flat, n)
+        for i, whole, line in members:
+            at = np.flatnonzero(runs == whole)
+            at = at[owner[at] == owner[at + n - 1]]
+            docs, first = np.unique(owner[at], return_index=True)
+            for doc, k in zip(docs.tolist(), first.tolist(), strict=True):
+                if line is None:
+                    best[doc, i] = (-1.0, int(at[k] - bounds[doc]))
+                elif m := line.search(texts[doc]):
+                    best[doc, i] = (-1.0, len(_WORD.findall(texts[doc], 0, m.start(1))))
     s = shingles(flat)
     if not len(s):
-        return []
-    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        return [(doc, i, -share, at) for (doc, i), (share, at) in sorted(best.items())]
     valid = owner[: len(s)] == owner[SHINGLE - 1 :]
-    best: dict[tuple[int, int], tuple[float, int]] = {}
     for i, windows in candidates(s, valid, t).items():
         size = 1 << (t.sizes[i] - 1).bit_length()
         step = max(1, size // 2)
@@ -214,5 +250,5 @@ def _run(batches, templates: list[tuple[str, str]], bands: int):
 def scanned(docs: DataFrame, templates: list[tuple[str, str]] | None = None, bands: int = BANDS) -> DataFrame:
     """One row per document and template found in it: doc_id, license, template (its number), containment, first_word."""
     rows = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    chosen = TEMPLATES if templates is None else templates
+    chosen = [*TEMPLATES, *NOTICES] if templates is None else templates
     return rows.mapInArrow(lean(lambda it: _run(it, chosen, bands)), "doc_id long, license string, template int, containment double, first_word long")

@@ -363,3 +363,17 @@ def test_license_in_pieces(monkeypatch):
     assert len(parts) > 2
     found = {(i, at + before) for (piece, before) in parts for _, i, _, at in license_scan.scan([piece], t, words)}
     assert found == {(i, at) for _, i, _, at in whole}
+
+
+def test_short_notices():
+    texts = ["Copyright. All rights\n reserved.", "/* SPDX-License-Identifier: MIT */", "# MIT License\n\nCopyright", "under the MIT License we", "all rights", "reserved", "one two All Rights Reserved"]
+    chosen = [*license_scan.TEMPLATES, *license_scan.NOTICES]
+    t = license_scan.Templates(chosen, license_scan.BANDS)
+    got = [(d, *chosen[i], share, at) for d, i, share, at in license_scan.scan(texts, t, license_scan._Hashes())]
+    assert got == [
+        (0, "All-Rights-Reserved", "All rights reserved.", 1.0, 1),
+        (1, "MIT", "SPDX-License-Identifier: MIT", 1.0, 0),
+        (2, "MIT", "MIT License\n", 1.0, 0),
+        (6, "All-Rights-Reserved", "All rights reserved.", 1.0, 2),
+    ]
+    assert license_scan.scan(["ALL rights reserved"], t, license_scan._Hashes()) == [(0, len(license_scan.TEMPLATES), 1.0, 0)]
