@@ -320,8 +320,10 @@ def search_hybrid_simple(spark, d):
 
 
 def content_fetch(spark, d):
-    """Hits 0 to 99 and some that don't exist: English documents shadow chunks of the same id."""
-    wanted = spark.range(0, 2000).select(F.lit(0).cast("long").alias("qid"), F.col("id").alias("doc_id"))
+    """Every id is a hit, and as many past the largest that don't exist: English documents shadow chunks of the same id."""
+    ids = docs(spark, d).select("doc_id").distinct()
+    past = ids.crossJoin(ids.agg((F.max("doc_id") + 1).alias("past"))).select((F.col("doc_id") + F.col("past")).alias("doc_id"))
+    wanted = ids.unionByName(past).select(F.lit(0).cast("long").alias("qid"), "doc_id")
     flat = docs(spark, d).filter("lang = 'en'").select("doc_id", F.col("text").alias("content"))
     out = fusion.with_content(wanted, doc_chunks(spark, d), publishers(spark, d), flat)
     return out.select("doc_id", "source_id", "chunk_index", "metadata", F.md5("content").alias("digest"))

@@ -164,3 +164,13 @@ def test_latency():
     got = evaluate.latency(lambda: calls.append(1), 3)
     assert len(calls) == 4
     assert got["min_ms"] <= got["avg_ms"] <= got["max_ms"]
+
+
+def test_content_of_all_ids(spark, tmp_path):
+    from sparkquill.plans import queries
+
+    ids = [0, 1999, 2000, 123_456]
+    rows = [(i, f"text {i}", "en" if i % 2 else "de", "src1", 6) for i in ids]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, [0.5])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(r["doc_id"] for r in queries.content_fetch(spark, str(tmp_path)).collect()) == ids
