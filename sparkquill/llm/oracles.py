@@ -26,43 +26,55 @@ def base_stats(source: str = "documents") -> str:
 
 def judged(source: str = "documents") -> str:
     """CTEs up to `judged`: kept and d2 of every row."""
-    names, floors = list(quality.DIMS), list(quality.DIMS.values())
+    names, floors, priors = list(quality.DIMS), list(quality.DIMS.values()), [quality.PRIOR[c] for c in quality.DIMS]
     d = range(len(names))
     pairs = [(i, j) for i in d for j in range(i + 1)]
+    estimates = [*[f"m_{i}" for i in d], *[f"l_{i}_{j}" for i, j in pairs], "logdet"]
     rate = lambda c, by: f"ln(1 + 100.0::DOUBLE * {c} / {by})"
     chars, n = "greatest(word_chars, 1)::DOUBLE", "greatest(n_words, 1)::DOUBLE"
     x = [f"ln({n})", f"ln({chars} / {n})", rate("n_symbols", chars), rate("n_dup_lines", n), rate("n_repeat_words", n)]
     out = base_stats(source) + ", vec AS MATERIALIZED (SELECT *, " + ", ".join(f"{e} AS {c}" for e, c in zip(x, names, strict=True)) + " FROM base)"
-    out += ", fit AS (SELECT * FROM vec WHERE NOT base_failed)"
+    out += ", fit AS MATERIALIZED (SELECT lang, source, " + ", ".join(names) + " FROM vec WHERE NOT base_failed)"
     each = " UNION ALL ".join(f"SELECT lang, source, {i} dim, floor({c} * {quality.STAT_BINS}) bin FROM fit" for i, c in enumerate(names))
     out += f""", bins AS (SELECT lang, source, dim, bin, count(*) n FROM ({each}) GROUP BY ALL),
-    mids AS (SELECT lang, source, dim, max(bin) bin FROM (SELECT *, sum(n) OVER w run, sum(n) OVER (PARTITION BY lang, source, dim) tot FROM bins
-             WINDOW w AS (PARTITION BY lang, source, dim ORDER BY bin ROWS UNBOUNDED PRECEDING)) WHERE 2 * (run - n) < tot GROUP BY ALL),
-    p0 AS (SELECT lang, source, {', '.join(f'max(CASE WHEN dim = {i} THEN (bin + 0.5::DOUBLE) / {quality.STAT_BINS} END) m_{i}' for i in d)},
-           {', '.join(f'{floors[i] if i == j else 0.0}::DOUBLE l_{i}_{j}' for i, j in pairs)} FROM mids GROUP BY lang, source)"""
-
-    def distance(rows: str, k: int) -> str:
-        sql = f"SELECT v.*, {', '.join(f'p.m_{i}' for i in d)}, {', '.join(f'p.l_{i}_{j}' for i, j in pairs)} FROM {rows} v LEFT JOIN p{k} p ON v.lang IS NOT DISTINCT FROM p.lang AND v.source IS NOT DISTINCT FROM p.source"
+    quarts AS (SELECT lang, source, dim, {', '.join(f'max(CASE WHEN 4 * (run - n) < {q} * tot THEN (bin + 0.5::DOUBLE) / {quality.STAT_BINS} END) q{q}' for q in (1, 2, 3))}
+        FROM (SELECT *, sum(n) OVER w run, sum(n) OVER (PARTITION BY lang, source, dim) tot FROM bins
+              WINDOW w AS (PARTITION BY lang, source, dim ORDER BY bin ROWS UNBOUNDED PRECEDING)) GROUP BY ALL),
+    wide AS (SELECT lang, source, {', '.join(f'max(CASE WHEN dim = {i} THEN q{q} END) q{q}_{i}' for q in (1, 2, 3) for i in d)} FROM quarts GROUP BY lang, source)"""
+    spread = [f"{v}::DOUBLE" for v in priors]
+    inner = [f"greatest({floors[i]}::DOUBLE, (q3_{i} - q1_{i}) / 1.35::DOUBLE)" for i in d]
+    first = lambda k, q, scale: f"SELECT lang, source, {k} AS st, {', '.join(f'q{q}_{i} AS m_{i}' for i in d)}, {', '.join(f'{scale[i] if i == j else 0.0}::DOUBLE AS l_{i}_{j}' for i, j in pairs)}, 'infinity'::DOUBLE AS logdet FROM wide"
+    out += ", p0 AS MATERIALIZED (" + " UNION ALL ".join([first(0, 2, spread), first(1, 2, inner), first(2, 1, spread), first(3, 3, spread)]) + ")"
+
+    def distance(rows: str, params: str, how: str) -> str:
+        sql = f"SELECT v.*, p.* EXCLUDE (lang, source) FROM {rows} v {how} JOIN {params} p ON v.lang IS NOT DISTINCT FROM p.lang AND v.source IS NOT DISTINCT FROM p.source"
         for i in d:
             sql = f"SELECT *, ({names[i]} - m_{i}" + "".join(f" - l_{i}_{q} * y_{q}" for q in range(i)) + f") / l_{i}_{i} AS y_{i} FROM ({sql})"
         return f"SELECT *, {' + '.join(f'y_{i} * y_{i}' for i in d)} AS d2 FROM ({sql})"
 
     for k in range(quality.STEPS):
         gaps = [f"({names[i]} - m_{i})" for i in d]
-        out += f""", r{k} AS (SELECT *, floor(ln(1 + d2) * {quality.DIST_BINS}) bin FROM ({distance('fit', k)})),
-        b{k} AS (SELECT lang, source, bin, count(*) n, {', '.join(f'sum({gaps[i]}) s_{i}, first(m_{i}) o_{i}' for i in d)},
-                 {', '.join(f'sum({gaps[i]} * {gaps[j]}) q_{i}_{j}' for i, j in pairs)} FROM r{k} GROUP BY lang, source, bin),
-        h{k} AS (SELECT lang, source, sum(n) h, {', '.join(f'sum(s_{i}) s_{i}, first(o_{i}) o_{i}' for i in d)}, {', '.join(f'sum(q_{i}_{j}) q_{i}_{j}' for i, j in pairs)}
-                 FROM (SELECT *, sum(n) OVER w run, sum(n) OVER (PARTITION BY lang, source) tot FROM b{k}
-                       WINDOW w AS (PARTITION BY lang, source ORDER BY bin ROWS UNBOUNDED PRECEDING)) WHERE 2 * (run - n) < tot GROUP BY lang, source)"""
-        sql = f"SELECT *, {', '.join(f'o_{i} + s_{i} / h AS m_{i}' for i in d)}, " + ", ".join(
-            f"{quality.CONSISTENCY}::DOUBLE * (q_{i}_{j} / h - (s_{i} / h) * (s_{j} / h)) + {floors[i] ** 2 if i == j else 0.0}::DOUBLE AS c_{i}_{j}" for i, j in pairs
-        ) + f" FROM h{k}"
+        out += f""", b{k} AS (SELECT lang, source, st, floor(ln(1 + d2) * {quality.DIST_BINS}) bin, count(*) n, {', '.join(f'sum({gaps[i]}) s_{i}, first(m_{i}) o_{i}' for i in d)},
+                 {', '.join(f'sum({gaps[i]} * {gaps[j]}) q_{i}_{j}' for i, j in pairs)} FROM ({distance('fit', f'p{k}', 'INNER')}) GROUP BY lang, source, st, bin),
+        h{k} AS (SELECT lang, source, st, sum(n)::DOUBLE h, {', '.join(f'sum(s_{i}) s_{i}, first(o_{i}) o_{i}' for i in d)}, {', '.join(f'sum(q_{i}_{j}) q_{i}_{j}' for i, j in pairs)}
+                 FROM (SELECT *, sum(n) OVER w run, sum(n) OVER (PARTITION BY lang, source, st) tot FROM b{k}
+                       WINDOW w AS (PARTITION BY lang, source, st ORDER BY bin ROWS UNBOUNDED PRECEDING)) WHERE 2 * (run - n) < tot GROUP BY lang, source, st)"""
+        cov = {}
+        for i, j in pairs:
+            cov[i, j] = f"{quality.CONSISTENCY}::DOUBLE * (q_{i}_{j} / h - (s_{i} / h) * (s_{j} / h))"
+            if i == j:
+                least = floors[i] ** 2
+                cov[i, j] = f"greatest({cov[i, j]}, {least}::DOUBLE) + {quality.RIDGE * least}::DOUBLE + {priors[i] ** 2 * quality.PRIOR_ROWS}::DOUBLE / h"
+        sql = f"SELECT *, {', '.join(f'o_{i} + s_{i} / h AS m_{i}' for i in d)}, " + ", ".join(f"{cov[i, j]} AS c_{i}_{j}" for i, j in pairs) + f" FROM h{k}"
         for i, j in pairs:
             rest = f"c_{i}_{j}" + "".join(f" - l_{i}_{q} * l_{j}_{q}" for q in range(j))
             sql = f"SELECT *, {f'sqrt({rest})' if i == j else f'({rest}) / l_{j}_{j}'} AS l_{i}_{j} FROM ({sql})"
-        out += f", p{k + 1} AS MATERIALIZED ({sql})"
-    return out + f", judged AS (SELECT *, coalesce(NOT base_failed AND d2 <= {quality.CUTOFF}, false) AS kept FROM ({distance('vec', quality.STEPS)}))"
+        sql = f"SELECT *, 2 * ({' + '.join(f'ln(l_{i}_{i})' for i in d)}) AS logdet FROM ({sql})"
+        falls = f"a.logdet < o.logdet - {quality.FALL}"
+        out += f""", p{k + 1} AS MATERIALIZED (SELECT o.lang, o.source, o.st, {', '.join(f'CASE WHEN {falls} THEN a.{c} ELSE o.{c} END AS {c}' for c in estimates)}
+            FROM p{k} o JOIN ({sql}) a ON o.lang IS NOT DISTINCT FROM a.lang AND o.source IS NOT DISTINCT FROM a.source AND o.st = a.st)"""
+    out += f""", best AS MATERIALIZED (SELECT * FROM p{quality.STEPS} QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY round(logdet, 6), st) = 1)"""
+    return out + f", judged AS (SELECT *, coalesce(NOT base_failed AND d2 <= {quality.CUTOFF}, false) AS kept FROM ({distance('vec', 'best', 'LEFT')}))"
 
 
 def quality_rules() -> str:

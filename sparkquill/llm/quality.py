@@ -1,14 +1,21 @@
 """Quality rules: base statistics of whole texts, and robust outliers by minimum covariance determinant.
 
-Every document becomes a vector of transformed statistics. Per language and source, concentration steps look for the
-half of the documents whose covariance has the smallest determinant; a document goes when its squared Mahalanobis
-distance from that half is over the cutoff. One step is one aggregation: rows are counted and their moments summed by
-group and by bin of squared distance, so a group of any size shrinks to some hundred rows before the shuffle, and the
-half is the run of lowest bins that holds it. No row is sorted, sampled or collected.
+Every document becomes a vector of transformed statistics. Per language and source the estimate looks for the half of
+the documents whose covariance has the smallest determinant: from several deterministic starts, concentration steps take
+the half that is nearest under the estimate so far, until the determinant falls no more (or after STEPS); the start that
+ends with the smallest determinant wins. A document goes when its squared Mahalanobis distance from the winner is over
+the cutoff. One step is one aggregation for all groups and starts: rows are counted and their moments summed by group
+and by bin of squared distance, so a group of any size shrinks to some hundred rows before the shuffle, and the half is
+the run of lowest bins that holds it. No row is sorted, sampled or collected; estimates, a row a group and start, are
+written after every step, and starts that have settled take no part in the next.
+
+Repeats and symbols are 0 in most documents, so the half has no variance there; a statistic's variance is its floor at
+least. Groups of few rows estimate poorly: a prior spread is added, weighed as PRIOR_ROWS rows against those of the half,
+so it fades as the group grows.
 
 Defined results. A null text has no words: base_failed. A null language or source is a group of its own. Repeated rows
 count as often as they occur, and each gets its row. An empty table gives an empty result. Extra columns are ignored.
-A constant statistic has the variance of its floor, so no covariance is singular, and equal vectors have distance 0.
+Statistics that are constant or depend on one another leave no covariance singular; equal vectors have distance 0.
 """
 
 from __future__ import annotations
@@ -21,12 +28,19 @@ from sparkquill.tables import written
 WHITE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 
-#: Names of the vector's dimensions with the least standard deviation each is given.
-DIMS: dict[str, float] = {"x_len": 2.0, "x_word": 0.25, "x_sym": 0.5, "x_dup": 0.8, "x_rep": 0.8}
-#: Bins of a statistic for the starting median, and bins of ln(1 + squared distance) for the half: both per unit.
-STAT_BINS, DIST_BINS = 32, 32
-STEPS = 4
-#: Cutoff on the squared distance. 99.99 % of a five-dimensional normal population lie
+#: Names of the vector's dimensions with the least standard deviation of each, and the spread that small groups are lent.
+DIMS: dict[str, float] = {"x_len": 0.4, "x_word": 0.05, "x_sym": 0.3, "x_dup": 0.3, "x_rep": 0.7}
+PRIOR: dict[str, float] = {"x_len": 2.0, "x_word": 0.25, "x_sym": 0.5, "x_dup": 0.8, "x_rep": 0.8}
+PRIOR_ROWS = 4.0
+#: Share of the squared floor that is always added, against statistics that depend on one another.
+RIDGE = 0.01
+#: Bins of a statistic for the starting quartiles, and bins of ln(1 + squared distance) for the half: both per unit.
+STAT_BINS, DIST_BINS = 32, 64
+#: Steps at most, starts, and by how much a log determinant must fall to count.
+STEPS, STARTS, FALL = 10, 4, 1e-9
+#: The variance of the nearest half understates that of the whole; this factor makes up for it in five normal dimensions.
+CONSISTENCY = 1.9
+#: Cutoff on the squared distance: 99.99 % of a five-dimensional normal population lie
 #: under it: a clean document lost costs more than a poor one kept.
 CUTOFF = 25.74
 
@@ -89,14 +103,11 @@ def vector(df: DataFrame) -> DataFrame:
     )
 
 
-def _half(counted: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Of rows (keys, order, n): those up to the first whose running count reaches half of the group's rows."""
+def _cumulated(counted: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows (keys, order, n) with __before, the count before a row, and __all, that of the whole group."""
     w = Window.partitionBy(*keys)
     run = F.sum("n").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("n").over(w)
-    return counted.withColumn("__run", run).withColumn("__all", total).filter(
-        2 * (F.col("__run") - F.col("n")) < F.col("__all")
-    )
+    return counted.withColumn("__before", run - F.col("n")).withColumn("__all", F.sum("n").over(w))
 
 
 def _cholesky(dims: list[str]) -> list[tuple[str, Column]]:
@@ -129,70 +140,98 @@ def _same(a: str, b: str, keys: list[str]) -> Column:
     return out
 
 
-def _with(rows: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
+def _with(rows: DataFrame, params: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Rows with their group's estimate. Groups are few, and Spark picks the join by the measured size."""
     p = params.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in params.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return rows.join(p, on, "left").drop(*[f"__{k}" for k in keys])
+    return rows.join(p, on, how).drop(*[f"__{k}" for k in keys])
+
 
+def _pairs(dims: dict[str, float]) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(dims)) for j in range(i + 1)]
 
-def start(vec: DataFrame, keys: list[str], dims: dict[str, float] = DIMS) -> DataFrame:
-    """First estimate of each group: its median in every dimension, by bins, with a diagonal of squared floors."""
-    each = F.array(*[F.struct(F.lit(i).alias("dim"), F.floor(F.col(c) * STAT_BINS).alias("bin")) for i, c in enumerate(dims)])
+
+def _estimates(dims: dict[str, float]) -> list[str]:
+    return [*[f"m_{i}" for i in range(len(dims))], *[f"l_{i}_{j}" for i, j in _pairs(dims)], "logdet"]
+
+
+def start(vec: DataFrame, keys: list[str], dims: dict[str, float] = DIMS, prior: dict[str, float] = PRIOR) -> DataFrame:
+    """First estimates of each group, a row a start: the median with the prior's spread, the median with that of the
+    quartiles, the lower and the upper quartile. Quartiles are by bins. No determinant counts before the first step."""
+    names, d = list(dims), range(len(dims))
+    each = F.array(*[F.struct(F.lit(i).alias("dim"), F.floor(F.col(c) * STAT_BINS).alias("bin")) for i, c in enumerate(names)])
     binned = vec.select(*keys, F.inline(each)).groupBy(*keys, "dim", "bin").agg(F.count("*").alias("n"))
-    at = _half(binned, [*keys, "dim"], "bin").groupBy(*keys, "dim").agg(F.max("bin").alias("bin"))
-    mids = [F.max(F.when(F.col("dim") == i, (F.col("bin") + 0.5) / STAT_BINS)).alias(f"m_{i}") for i in range(len(dims))]
-    out = at.groupBy(*keys).agg(*mids)
-    names = list(dims)
-    for i in range(len(names)):
-        for j in range(i + 1):
-            out = out.withColumn(f"l_{i}_{j}", F.lit(dims[names[i]] if i == j else 0.0))
-    return out
+    below = lambda q: 4 * F.col("__before") < q * F.col("__all")
+    at = _cumulated(binned, [*keys, "dim"], "bin").groupBy(*keys, "dim")
+    at = at.agg(*[F.max(F.when(below(q), (F.col("bin") + 0.5) / STAT_BINS)).alias(f"q{q}") for q in (1, 2, 3)])
+    wide = at.groupBy(*keys).agg(*[F.max(F.when(F.col("dim") == i, F.col(f"q{q}"))).alias(f"q{q}_{i}") for q in (1, 2, 3) for i in d])
+    spread = [F.lit(prior[c]) for c in names]
+    inner = [F.greatest(F.lit(dims[c]), (F.col(f"q3_{i}") - F.col(f"q1_{i}")) / F.lit(1.35)) for i, c in enumerate(names)]
+
+    def one(k: int, q: int, scale: list[Column]) -> Column:
+        lower = [(scale[i] if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i, j in _pairs(dims)]
+        return F.struct(F.lit(k).alias("start"), *[F.col(f"q{q}_{i}").alias(f"m_{i}") for i in d], *lower, F.lit(float("inf")).alias("logdet"))
 
+    return wide.select(*keys, F.inline(F.array(one(0, 2, spread), one(1, 2, inner), one(2, 1, spread), one(3, 3, spread))))
 
-def step(vec: DataFrame, params: DataFrame, keys: list[str], dims: dict[str, float] = DIMS) -> DataFrame:
-    """One concentration step: mean and factored covariance of the half that is nearest under `params`."""
-    names = list(dims)
-    rows = _distance(_with(vec, params, keys), names).withColumn("bin", F.floor(F.log1p("d2") * DIST_BINS))
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+
+def step(vec: DataFrame, params: DataFrame, keys: list[str], dims: dict[str, float] = DIMS, prior: dict[str, float] = PRIOR) -> DataFrame:
+    """One concentration step of every group and start: mean, factored covariance and log determinant of the half that is
+    nearest under `params`."""
+    names, d, pairs = list(dims), range(len(dims)), _pairs(dims)
+    rows = _distance(_with(vec, params, keys, "inner"), names).withColumn("bin", F.floor(F.log1p("d2") * DIST_BINS))
     # Moments about the old centre keep digits that sums of raw squares would lose.
     gap = [F.col(c) - F.col(f"m_{i}") for i, c in enumerate(names)]
-    sums = [F.sum(gap[i]).alias(f"s_{i}") for i in range(len(names))]
+    sums = [F.sum(gap[i]).alias(f"s_{i}") for i in d]
     squares = [F.sum(gap[i] * gap[j]).alias(f"q_{i}_{j}") for i, j in pairs]
-    old = [F.first(f"m_{i}").alias(f"o_{i}") for i in range(len(names))]
-    binned = rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"), *sums, *squares, *old)
-    near = _half(binned, keys, "bin").groupBy(*keys).agg(
-        F.sum("n").alias("h"),
-        *[F.sum(f"s_{i}").alias(f"s_{i}") for i in range(len(names))],
+    old = [F.first(f"m_{i}").alias(f"o_{i}") for i in d]
+    group = [*keys, "start"]
+    binned = rows.groupBy(*group, "bin").agg(F.count("*").alias("n"), *sums, *squares, *old)
+    near = _cumulated(binned, group, "bin").filter(2 * F.col("__before") < F.col("__all")).groupBy(*group)
+    near = near.agg(
+        F.sum("n").cast("double").alias("h"),
+        *[F.sum(f"s_{i}").alias(f"s_{i}") for i in d],
         *[F.sum(f"q_{i}_{j}").alias(f"q_{i}_{j}") for i, j in pairs],
-        *[F.first(f"o_{i}").alias(f"o_{i}") for i in range(len(names))],
+        *[F.first(f"o_{i}").alias(f"o_{i}") for i in d],
     )
-    for i in range(len(names)):
+    for i in d:
         near = near.withColumn(f"m_{i}", F.col(f"o_{i}") + F.col(f"s_{i}") / F.col("h"))
     for i, j in pairs:
-        inner = F.col(f"q_{i}_{j}") / F.col("h") - (F.col(f"s_{i}") / F.col("h")) * (F.col(f"s_{j}") / F.col("h"))
-        floor = dims[names[i]] ** 2 if i == j else 0.0
-        near = near.withColumn(f"c_{i}_{j}", F.lit(CONSISTENCY) * inner + F.lit(floor))
+        inner = F.lit(CONSISTENCY) * (F.col(f"q_{i}_{j}") / F.col("h") - (F.col(f"s_{i}") / F.col("h")) * (F.col(f"s_{j}") / F.col("h")))
+        if i == j:
+            least = dims[names[i]] ** 2
+            inner = F.greatest(inner, F.lit(least)) + F.lit(RIDGE * least) + F.lit(prior[names[i]] ** 2 * PRIOR_ROWS) / F.col("h")
+        near = near.withColumn(f"c_{i}_{j}", inner)
     for name, value in _cholesky(names):
         near = near.withColumn(name, value)
-    return near.select(*keys, *[f"m_{i}" for i in range(len(names))], *[f"l_{i}_{j}" for i, j in pairs])
+    near = near.withColumn("logdet", F.lit(2.0) * sum((F.log(f"l_{i}_{i}") for i in d), F.lit(0.0)))
+    return near.select(*group, *_estimates(dims))
 
 
-#: The variance of the nearest half understates that of the whole; this factor makes up for it in five normal dimensions.
-CONSISTENCY = 1.9
+def concentrated(fit: DataFrame, keys: list[str], steps: int = STEPS, dims: dict[str, float] = DIMS, prior: dict[str, float] = PRIOR) -> DataFrame:
+    """Each group's estimate of the smallest determinant: keys, m_i, l_i_j, logdet."""
+    names = _estimates(dims)
+    params = written(start(fit, keys, dims, prior).withColumn("settled", F.lit(False)), "estimates")
+    for _ in range(steps):
+        new = step(fit, params.filter("NOT settled"), keys, dims, prior)
+        new = new.select(*[F.col(k).alias(f"__{k}") for k in [*keys, "start"]], *[F.col(c).alias(f"new_{c}") for c in names])
+        both = params.join(new, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in [*keys, "start"]], "left")
+        falls = F.coalesce(F.col("new_logdet") < F.col("logdet") - FALL, F.lit(False))
+        chosen = [F.when(falls, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in names]
+        params = written(both.select(*keys, "start", *chosen, (~falls).alias("settled")), "estimates")
+        if params.filter("NOT settled").isEmpty():
+            break
+    best = F.min_by(F.struct(*names), F.struct(F.round("logdet", 6), "start"))
+    return params.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.*")
 
 
 def fitted(docs: DataFrame, keys: list[str], steps: int = STEPS) -> tuple[DataFrame, DataFrame]:
-    """The statistics of all rows, written once to the shared folder, and each group's estimate after the steps.
+    """The statistics of all rows, written once to the shared folder, and each group's estimate.
 
     Rows that fail the base rules take no part. The texts are read once, each step reads the small vectors."""
     keep = list(dict.fromkeys(["doc_id", *keys]))
     stats = written(vector(base_stats(docs.select(*keep, "text")).drop("text")), "quality")
-    fit = stats.filter(~F.col("base_failed")).select(*keys, *DIMS)
-    params = start(fit, keys)
-    for _ in range(steps):
-        params = step(fit, params, keys)
-    return stats, params
+    return stats, concentrated(stats.filter(~F.col("base_failed")).select(*keys, *DIMS), keys, steps)
 
 
 def _verdict(rows: DataFrame, params: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
@@ -207,10 +246,11 @@ def judge(docs: DataFrame, keys: tuple[str, ...] = ("lang", "source"), cutoff: f
 
 
 def filtered(docs: DataFrame, keys: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF, steps: int = STEPS) -> DataFrame:
-    """The rows of `docs` that are kept, with all their columns.
+    """The rows of `docs` that are kept, with all their columns; ids may be null or repeated, rows are judged one by one.
 
-    The estimates are small: joining them and computing a row's statistics again moves no text between machines."""
-    _, params = fitted(docs, list(keys), steps)
-    params = written(params, "estimates")
+    Rows that pass the base rules are written once beside their vectors, so texts are read and counted once; the steps
+    read the vectors alone, and joining the small estimates moves no text between machines."""
     rows = docs.select(F.struct(*docs.columns).alias("__doc"), *keys, "text")
-    return _verdict(vector(base_stats(rows)), params, list(keys), cutoff).filter("kept").select("__doc.*")
+    rows = vector(base_stats(rows)).filter(~F.col("base_failed")).select("__doc", *keys, "base_failed", *DIMS)
+    rows = written(rows, "quality")
+    return _verdict(rows, concentrated(rows.select(*keys, *DIMS), list(keys), steps), list(keys), cutoff).filter("kept").select("__doc.*")
