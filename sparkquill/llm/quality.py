@@ -251,6 +251,7 @@ def filtered(docs: DataFrame, keys: tuple[str, ...] = ("lang", "source"), cutoff
     Rows that pass the base rules are written once beside their vectors, so texts are read and counted once; the steps
     read the vectors alone, and joining the small estimates moves no text between machines."""
     rows = docs.select(F.struct(*docs.columns).alias("__doc"), *keys, "text")
-    rows = vector(base_stats(rows)).filter(~F.col("base_failed")).select("__doc", *keys, "base_failed", *DIMS)
-    rows = written(rows, "quality")
+    # A filter here would be pushed below and count every text once more for each of its uses: rows that fail lose their texts.
+    passed = F.when(~F.col("base_failed"), F.col("__doc")).alias("__doc")
+    rows = written(vector(base_stats(rows)).select(passed, *keys, "base_failed", *DIMS), "quality").filter(~F.col("base_failed"))
     return _verdict(rows, concentrated(rows.select(*keys, *DIMS), list(keys), steps), list(keys), cutoff).filter("kept").select("__doc.*")
