@@ -12,8 +12,13 @@ that each block holds every source in proportion to its weight, and the hash ord
 Running sums need no task that sees a source: documents are dealt into 4,096 ranges of the hash per source and epoch,
 the ranges' totals are summed up first (sources x epochs x 4,096 rows), then each range on its own.
 
+`mixed` realises the draws: it gives every draw the columns of its own row, brings each block's rows together and puts
+them in the order of the block's permutation. A row is known by a hash of its id, source and text; rows that share all
+three are numbered, so each has its own draws, and none is lost or drawn for another source.
+
 Defined results. A null text has no tokens. A null source is a source. Documents without tokens, and sources of these
-only, are not drawn. Repeated rows are drawn as often as they occur. An empty table gives an empty result.
+only, are not drawn. Null and repeated ids are drawn like others, each row for itself; rows that are repeated as a whole
+are drawn as often as they occur. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +33,15 @@ ROUNDS, RANGES, DIGITS = 60, 3, 12
 BLOCK_TOKENS = 1 << 16
 
 
+def _key() -> Column:
+    """A row's identity: equal for rows that share id, source and text. Nulls differ from any value."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), "text")
+
+
 def counted(docs: DataFrame) -> DataFrame:
-    """doc_id, source, n_tokens: words of the whole text."""
+    """doc_id, source, n_tokens (words of the whole text), __key."""
     words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), WHITE), ""))
-    return docs.select("doc_id", "source", words.cast("long").alias("n_tokens"))
+    return docs.select("doc_id", "source", words.cast("long").alias("n_tokens"), _key().alias("__key"))
 
 
 def _sum(a: Column) -> Column:
@@ -85,9 +95,8 @@ def weights(totals: DataFrame, entropy: float, max_repeats: float, budget: int |
     return rows.withColumn("target", F.greatest(F.floor(F.col("weight") * F.col("all_tokens")), F.lit(1)).cast("long"))
 
 
-def draws(docs: DataFrame, entropy: float = 0.92, max_repeats: float = 4.0, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 0) -> DataFrame:
-    """One row per draw: block, sort_key (orders the block), doc_id, source, epoch, n_tokens."""
-    tokens = written(counted(docs), "tokens")
+def _drawn(tokens: DataFrame, entropy: float, max_repeats: float, budget: int | None, block_tokens: int, seed: int) -> DataFrame:
+    """`draws` of rows as `counted` gives them, with their __key."""
     plan = weights(tokens.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), entropy, max_repeats, budget)
     plan = plan.withColumn("blocks", F.ceil(F.col("all_tokens") / F.lit(block_tokens)))
     plan = plan.select(F.col("source").alias("__source"), "tokens", "target", "blocks")
@@ -106,13 +115,26 @@ def draws(docs: DataFrame, entropy: float = 0.92, max_repeats: float = 4.0, budg
     start = F.col("epoch") * F.col("tokens") + F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens")
     rows = rows.withColumn("start", start).filter(F.col("start") < F.col("target"))
     block = F.floor(F.col("start").cast("double") / F.col("target").cast("double") * F.col("blocks").cast("double"))
-    return rows.select(block.cast("long").alias("block"), "sort_key", "doc_id", "source", F.col("epoch").cast("long").alias("epoch"), "n_tokens")
+    return rows.select(block.cast("long").alias("block"), "sort_key", "doc_id", "source", F.col("epoch").cast("long").alias("epoch"), "n_tokens", "__key")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The columns of `docs`, each document as often as it is drawn."""
-    times = draws(docs, **options).groupBy("doc_id").agg(F.count("*").alias("__times"))
-    # A doc_id that stands in several rows has its draws counted over all of them.
-    rows = docs.groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    times = times.join(rows, "doc_id").select("doc_id", F.ceil(F.col("__times") / F.col("__rows")).cast("int").alias("__times"))
-    return docs.join(times, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+def draws(docs: DataFrame, entropy: float = 0.92, max_repeats: float = 4.0, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 0) -> DataFrame:
+    """One row per draw: block, sort_key (orders the block), doc_id, source, epoch, n_tokens."""
+    return _drawn(written(counted(docs), "tokens"), entropy, max_repeats, budget, block_tokens, seed).drop("__key")
+
+
+def mixed(docs: DataFrame, entropy: float = 0.92, max_repeats: float = 4.0, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 0) -> DataFrame:
+    """The columns of `docs`, each row as often as it is drawn, with its draws' blocks whole and in the order of their permutations.
+
+    Draws move without texts; texts move to their draws and then to their blocks."""
+    tokens = written(counted(docs), "tokens")
+    drawn = _drawn(tokens, entropy, max_repeats, budget, block_tokens, seed).select("block", "sort_key", "epoch", "__key")
+    rows = docs.select(F.struct(*docs.columns).alias("__doc"), _key().alias("__key"))
+    on = ["__key"]
+    if not tokens.filter("n_tokens > 0").groupBy("__key").count().filter("count > 1").isEmpty():
+        # Rows that share id, source and text: the n-th of them takes the n-th draw of every epoch.
+        drawn = drawn.withColumn("__n", F.row_number().over(Window.partitionBy("__key", "epoch").orderBy("sort_key")))
+        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
+        on = ["__key", "__n"]
+    placed = rows.join(drawn, on).select("__doc", "block", "sort_key")
+    return placed.repartition("block").sortWithinPartitions("block", "sort_key").select("__doc.*")

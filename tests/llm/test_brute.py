@@ -126,6 +126,33 @@ def test_mixing_blocks(spark):
     assert epochs == 0
 
 
+def test_mixed_rows(spark):
+    """Each draw is its own row's: null and repeated ids, ids shared by sources, rows repeated as a whole."""
+    rows = [(i, prose(i, 40 + i % 30), "en", "abc"[i % 7 % 3], i) for i in range(120)]
+    rows += [(None, prose(700 + i, 50), "en", "ab"[i % 2], 0) for i in range(6)] + [(5, prose(800, 60), "en", "c", 0), (5, rows[5][1], "en", "b", 0)]
+    rows += [rows[7], rows[7], rows[121], (None, prose(900, 45), None, None, 1), (9, rows[9][1], "en", rows[9][3], 77), (400, "", "en", "a", 0), (401, None, "en", "a", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = mixing.mixed(df, block_tokens=500)
+    got, drawn = [tuple(x) for x in out.collect()], mixing.draws(df, block_tokens=500).collect()
+    words = lambda t: len((t or "").split())
+    count = lambda it: sorted(((k, list(it).count(k)) for k in set(it)), key=str)
+    assert count([(g[0], g[3], words(g[1])) for g in got]) == count([(d["doc_id"], d["source"], d["n_tokens"]) for d in drawn])
+    assert {g for g in got} == {r for r in rows if words(r[1])}
+    # Every source is drawn whole once at least, and rows that are alike differ by one draw at most.
+    times = {r: got.count(r) for r in set(rows)}
+    assert abs(times[rows[9]] - times[(9, rows[9][1], "en", rows[9][3], 77)]) <= 1
+    # A block's rows stand together and in order.
+    place = {}
+    for d in drawn:
+        place.setdefault((d["doc_id"], d["source"], d["n_tokens"]), []).append((d["block"], d["sort_key"]))
+    for part in out.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.collect_list(F.struct("doc_id", "source", "text")).alias("r")).collect():
+        now, left = (-1, ""), {k: sorted(v) for k, v in place.items()}
+        for r in part["r"]:
+            at = next(x for x in left[r["doc_id"], r["source"], words(r["text"])] if x >= now)
+            left[r["doc_id"], r["source"], words(r["text"])].remove(at)
+            now = at
+
+
 def test_rollup(spark, mixed_docs):
     labels = spark.createDataFrame([(1, 0, 1), (100, 1, 1), (101, 1, 0)], "doc_id long, quality int, toxic int")
     got = token_rollup.maintained(mixed_docs, labels.filter("toxic = 1"))
