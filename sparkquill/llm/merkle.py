@@ -3,11 +3,13 @@
 Lines are paragraphs. A paragraph's leaves are its pieces: sixteen characters or more up to the next punctuation mark, at
 most 64. A paragraph's node hashes its leaves, a section ends after a paragraph whose node starts with 0 or 1 (eight
 paragraphs on average, and the same ones after an edit elsewhere), its node hashes its paragraphs' nodes, the root
-hashes the sections'. All bounds depend on the text near them only, so an edit changes one branch.
+hashes the sections'. All bounds depend on the text near them only, so an edit changes one branch. Hashes have 128 bits
+at every level, so equal roots are equal texts.
 
-A fingerprint is `root:tree`; the tree holds the leaves, parted by `,` in a paragraph, `;` between paragraphs and `/`
-between sections. Equal roots are equal texts; `differing` descends the branches that differ. Every step is a built-in
-function, so a text is read once and nothing leaves the JVM.
+A fingerprint is `root:tree`; the tree lists the leaves, shortened to 64 bits where they are printed, parted by `,` in a
+paragraph, `;` between paragraphs and `/` between sections. `edits` descends the branches that differ. Likeness counts
+leaves, and leaves with the leaf that follows, as often as they occur: order and repetition matter. Texts whose roots
+differ are never quite alike. Every step is a built-in function, so a text is read once and nothing leaves the JVM.
 
 Defined results. A null text is empty; the empty text has a fingerprint. Two empty texts are alike (1.0), an empty and
 another are not (0.0). Repeated ids are ordered by their text; null ids come last. Extra columns are ignored.
@@ -19,70 +21,84 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIECE = "[^\\n]{16,64}?[.!?;,]|[^\\n]{1,64}"
-LEAF, NODE = 8, 8
+#: Hex digits of a root, and of a leaf as it is printed.
+ROOT, LEAF = 32, 16
+#: The most that texts with different roots can be alike.
+NOT_EQUAL = 0.999999
 #: Rows a bucket of neighbouring ids should hold, and the most buckets; beyond them buckets grow and sort to disk.
 ROWS, MOST = 2000, 65536
 LOWEST = -(1 << 63)
 
 
-def _hash(c: Column, digits: int) -> Column:
-    return F.substring(F.md5(c), 1, digits)
-
-
 def _bound(node: Column) -> Column:
     return F.when(node.startswith("0") | node.startswith("1"), F.lit("/")).otherwise(F.lit(";"))
 
 
 def with_tree(df: DataFrame, text: str, name: str) -> DataFrame:
     """`df` with the fingerprint of column `text` (not null) as `name`."""
-    leaves = F.transform(
-        F.split(text, "\n"),
-        lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), lambda x: _hash(x, LEAF)), ","),
-    )
-    df = df.withColumn("__leaves", leaves).withColumn("__nodes", F.transform("__leaves", lambda s: _hash(s, NODE)))
+    leaves = F.transform(F.split(text, "\n"), lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), F.md5))
+    df = df.withColumn("__leaves", leaves).withColumn("__nodes", F.transform("__leaves", lambda x: F.md5(F.array_join(x, ","))))
     marked = F.transform("__nodes", lambda h: F.concat(h, _bound(h)))
-    sections = F.transform(F.split(F.array_join(marked, ""), "/"), lambda s: _hash(s, NODE))
+    sections = F.transform(F.split(F.array_join(marked, ""), "/"), F.md5)
     root = F.md5(F.array_join(sections, "/"))
-    tree = F.array_join(F.zip_with("__leaves", "__nodes", lambda s, h: F.concat(s, _bound(h))), "")
+    printed = lambda x: F.array_join(F.transform(x, lambda h: F.substring(h, 1, LEAF)), ",")
+    tree = F.array_join(F.zip_with("__leaves", "__nodes", lambda x, h: F.concat(printed(x), _bound(h))), "")
     return df.withColumn(name, F.concat(root, F.lit(":"), tree)).drop("__leaves", "__nodes")
 
 
 def root(fingerprint: Column) -> Column:
-    return F.substring(fingerprint, 1, 32)
-
-
-def leaves(fingerprint: Column) -> Column:
-    """The distinct leaves of a fingerprint."""
-    return F.array_remove(F.array_distinct(F.split(F.substring(fingerprint, 34, 2147483647), "[,;/]")), "")
-
-
-def likeness(a: str, b: str, a_leaves: str, b_leaves: str) -> Column:
-    """1.0 for equal roots, else twice the shared leaves over all leaves of both, from columns already made."""
-    shared = F.size(F.array_intersect(a_leaves, b_leaves))
-    both = F.size(a_leaves) + F.size(b_leaves)
-    return F.when(root(F.col(a)) == root(F.col(b)), 1.0).otherwise(F.round(2.0 * shared / F.greatest(both, F.lit(1)), 6))
-
-
-def differing(a: Column, b: Column) -> Column:
-    """Where fingerprint `a` differs from `b`: array of (section, paragraph), counted from 0, whose branch is not in b.
-
-    Sections that b has too are not descended."""
-    parts = lambda f: F.split(F.substring(f, 34, 2147483647), "/")
-    other = parts(b)
-    paragraphs = F.flatten(F.transform(other, lambda s: F.split(s, ";")))
-    found = F.transform(
-        parts(a),
-        lambda s, i: F.when(F.array_contains(other, s), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(
-            F.filter(
-                F.transform(
-                    F.split(s, ";"),
-                    lambda p, j: F.when((p != "") & ~F.array_contains(paragraphs, p), F.struct(i.alias("section"), j.alias("paragraph"))),
-                ),
-                lambda x: x.isNotNull(),
-            )
-        ),
-    )
-    return F.when(root(a) == root(b), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(F.flatten(found))
+    return F.substring(fingerprint, 1, ROOT)
+
+
+def _tree(fingerprint: Column) -> Column:
+    return F.substring(fingerprint, ROOT + 2, 2147483647)
+
+
+def with_items(df: DataFrame, fingerprint: str, name: str) -> DataFrame:
+    """`df` with the leaves of a fingerprint, and each with the leaf after it, as hashes `name`. The n-th of equal ones is
+    told apart from the others, so that sets of items are compared as the lists they come from."""
+    df = df.withColumn("__flat", F.array_remove(F.split(_tree(F.col(fingerprint)), "[,;/]"), ""))
+    pairs = F.transform("__flat", lambda x, i: F.xxhash64(x, F.coalesce(F.get("__flat", i + 1), F.lit("$"))))
+    df = df.withColumn("__sorted", F.sort_array(F.concat(F.transform("__flat", lambda x: F.xxhash64(x)), pairs)))
+    fresh = F.transform("__sorted", lambda x, i: F.when((i == 0) | (F.get("__sorted", i - 1) != x), i))
+    df = df.withColumn("__starts", F.filter(fresh, lambda i: i.isNotNull()))
+    end = lambda j: F.coalesce(F.get("__starts", j + 1), F.size("__sorted"))
+    nth = F.transform("__starts", lambda i, j: F.transform(F.sequence(F.lit(1), end(j) - i), lambda n: F.xxhash64(F.get("__sorted", i), n)))
+    return df.withColumn(name, F.flatten(nth)).drop("__flat", "__sorted", "__starts")
+
+
+def likeness(a: str, b: str, a_items: str, b_items: str) -> Column:
+    """1.0 for equal roots, else twice the shared items over all items of both, from columns already made."""
+    shared = F.size(F.array_intersect(a_items, b_items))
+    both = F.size(a_items) + F.size(b_items)
+    part = F.least(F.round(2.0 * shared / F.greatest(both, F.lit(1)), 6), F.lit(NOT_EQUAL))
+    return F.when(root(F.col(a)) == root(F.col(b)), 1.0).otherwise(part)
+
+
+def _first_gap(a: Column, b: Column) -> Column:
+    """The first place (from 0) where two arrays differ."""
+    at = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when(at > 0, at - 1).otherwise(F.greatest(F.size(a), F.size(b)).cast("long"))
+
+
+def with_edits(df: DataFrame, a: str, b: str) -> DataFrame:
+    """`df` with edit_first, the paragraphs at the head of fingerprint `a` that `b` shares, and edit_last, those at its tail;
+    the edit lies between. Both are -1 for equal roots. Equal sections are passed over, one that differs is descended."""
+    for side, f in (("a", a), ("b", b)):
+        # Every paragraph ends with its mark; what follows the last mark is no paragraph.
+        df = df.withColumn(f"__s{side}", F.filter(F.split(_tree(F.col(f)), "(?<=/)"), lambda x: x != ""))
+        df = df.withColumn(f"__r{side}", F.reverse(f"__s{side}"))
+    lines = lambda s: F.filter(F.split(F.coalesce(s, F.lit("")), "(?<=[;/])"), lambda x: x != "")
+    whole = lambda s, n: F.aggregate(F.slice(s, F.lit(1), n.cast("int")), F.lit(0).cast("long"), lambda c, x: c + F.size(lines(x)))
+    for end, sa, sb, turn in (("edit_first", "__sa", "__sb", lambda x: x), ("edit_last", "__ra", "__rb", F.reverse)):
+        df = df.withColumn("__at", _first_gap(F.col(sa), F.col(sb)).cast("int"))
+        inside = _first_gap(turn(lines(F.get(sa, F.col("__at")))), turn(lines(F.get(sb, F.col("__at")))))
+        df = df.withColumn(end, whole(sa, F.col("__at")) + inside).drop("__at")
+    n = lambda s: whole(s, F.size(s))
+    equal = root(F.col(a)) == root(F.col(b))
+    df = df.withColumn("edit_last", F.least("edit_last", F.least(n("__sa"), n("__sb")) - F.col("edit_first")))
+    df = df.withColumn("edit_last", F.when(equal, -1).otherwise(F.greatest(F.col("edit_last"), F.lit(0))).cast("long"))
+    return df.withColumn("edit_first", F.when(equal, -1).otherwise(F.col("edit_first")).cast("long")).drop("__sa", "__sb", "__ra", "__rb")
 
 
 def _bucket(ident: Column, cuts: list[int]) -> Column:
@@ -139,7 +155,8 @@ def with_next(docs: DataFrame, ident: str, columns: list[str]) -> DataFrame:
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """One row per row of `docs`: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
+    edit_first, edit_last: where the edited text's tree differs from the text's.
 
     The edited text has its last third replaced by the start of the next document's, in descending order of ids."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -149,7 +166,8 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third)))
     df = with_tree(df, "edited", "edited_fingerprint")
     for name in ("fingerprint", "edited_fingerprint", "next_fingerprint"):
-        df = df.withColumn(f"__{name}", leaves(F.col(name)))
+        df = with_items(df, name, f"__{name}")
+    df = with_edits(df, "fingerprint", "edited_fingerprint")
     return df.select(
         "doc_id",
         "n_chars",
@@ -158,4 +176,6 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
         "edited_fingerprint",
         likeness("fingerprint", "edited_fingerprint", "__fingerprint", "__edited_fingerprint").alias("near_edited"),
         likeness("fingerprint", "next_fingerprint", "__fingerprint", "__next_fingerprint").alias("near_next"),
+        "edit_first",
+        "edit_last",
     )

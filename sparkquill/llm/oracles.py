@@ -81,27 +81,32 @@ def quality_rules() -> str:
     return f"WITH {judged()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"
 
 
-def _tree(text: str, name: str, rows: str) -> str:
-    bound = "CASE WHEN h[1] IN ('0', '1') THEN '/' ELSE ';' END"
-    piece = merkle.PIECE.replace("\\n", "\n")
-    return f"""(SELECT * EXCLUDE (ls, ns), md5(array_to_string(list_transform(string_split(
-            array_to_string(list_transform(ns, lambda h: h || {bound}), ''), '/'), lambda s: md5(s)[:{merkle.NODE}]), '/')) || ':' ||
-            array_to_string(list_transform(list_zip(ls, ns), lambda z: z[1] || CASE WHEN z[2][1] IN ('0', '1') THEN '/' ELSE ';' END), '') AS {name}
-        FROM (SELECT *, list_transform(ls, lambda s: md5(s)[:{merkle.NODE}]) ns FROM (SELECT *, list_transform(string_split({text}, chr(10)),
-            lambda p: array_to_string(list_transform(regexp_extract_all(p, '{piece}'), lambda x: md5(x)[:{merkle.LEAF}]), ',')) ls FROM {rows})))"""
-
-
 def fingerprints() -> str:
-    leaf = lambda f: f"list_filter(list_distinct(regexp_split_to_array({f}[34:], '[,;/]')), lambda x: x <> '')"
-    near = lambda a, b: f"CASE WHEN {a}[:32] = {b}[:32] THEN 1.0::DOUBLE ELSE round(2.0::DOUBLE * len(list_intersect({leaf(a)}, {leaf(b)})) / greatest(len({leaf(a)}) + len({leaf(b)}), 1), 6) END"
-    first = _tree("text", "fingerprint", "(SELECT doc_id, coalesce(text, '') AS text FROM documents)")
+    """From the definition: nodes in full at every level, likeness by counting, edits by comparing lines."""
+    piece = merkle.PIECE.replace("\\n", "\n")
+    ends = "CASE WHEN h[1] IN ('0', '1') THEN '/' ELSE ';' END"
     order = "ORDER BY doc_id DESC NULLS LAST, text"
-    rows = f"""(SELECT *, coalesce(lead(text) OVER ({order}), first(text) OVER ({order})) next_text,
-        coalesce(lead(fingerprint) OVER ({order}), first(fingerprint) OVER ({order})) next_fingerprint FROM {first})"""
-    edited = f"(SELECT *, text[:length(text) - length(text) // 3] || next_text[:length(text) // 3] AS edited FROM {rows})"
-    return f"""SELECT doc_id, length(text)::BIGINT n_chars, sha256(edited) edited_sha256, fingerprint, edited_fingerprint,
-        {near('fingerprint', 'edited_fingerprint')} near_edited, {near('fingerprint', 'next_fingerprint')} near_next
-        FROM {_tree('edited', 'edited_fingerprint', edited)}"""
+    near = lambda x: f"CASE WHEN a.root = {x}.root THEN 1.0::DOUBLE ELSE least(round(2.0::DOUBLE * coalesce(s{x}.n, 0) / greatest(a.n + {x}.n, 1), 6), {merkle.NOT_EQUAL}) END"
+    shared = lambda x: f"(SELECT a.rid, sum(least(a.n, o.n)) n FROM counts a JOIN counts o USING (rid, item) WHERE a.w = 'a' AND o.w = '{x}' GROUP BY a.rid)"
+    first_gap = lambda x, y: f"coalesce(list_min([i for i in range(1, greatest(len({x}), len({y})) + 1) if {x}[i] IS DISTINCT FROM {y}[i]]) - 1, greatest(len({x}), len({y})))"
+    return f"""WITH docs AS (SELECT row_number() OVER () rid, doc_id, coalesce(text, '') AS text FROM documents),
+    nexts AS (SELECT *, coalesce(lead(text) OVER ({order}), first(text) OVER ({order})) next_text FROM docs),
+    edits AS MATERIALIZED (SELECT *, text[:length(text) - length(text) // 3] || next_text[:length(text) // 3] AS edited FROM nexts),
+    texts AS (SELECT rid, 'a' w, text t FROM edits UNION ALL SELECT rid, 'b', edited FROM edits UNION ALL SELECT rid, 'c', next_text FROM edits),
+    leaves AS (SELECT *, list_transform(string_split(t, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{piece}'), lambda x: md5(x))) ls FROM texts),
+    nodes AS (SELECT *, list_transform(ls, lambda x: md5(array_to_string(x, ','))) ns FROM leaves),
+    trees AS MATERIALIZED (SELECT rid, w, md5(array_to_string(list_transform(string_split(array_to_string(list_transform(ns, lambda h: h || {ends}), ''), '/'), lambda x: md5(x)), '/')) root,
+        array_to_string(list_transform(list_zip(ls, ns), lambda z: array_to_string(list_transform(z[1], lambda x: x[:{merkle.LEAF}]), ',') || CASE WHEN z[2][1] IN ('0', '1') THEN '/' ELSE ';' END), '') tree,
+        list_transform(flatten(ls), lambda x: x[:{merkle.LEAF}]) flat, 2 * len(flatten(ls)) n FROM nodes),
+    counts AS MATERIALIZED (SELECT rid, w, item, count(*) n FROM (SELECT rid, w, unnest(flat) item FROM trees
+        UNION ALL SELECT rid, w, unnest([flat[i] || ' ' || coalesce(flat[i + 1], '$') for i in range(1, len(flat) + 1)]) FROM trees) GROUP BY ALL),
+    lines AS (SELECT rid, string_split(text, chr(10)) x, string_split(edited, chr(10)) y FROM edits),
+    gaps AS (SELECT rid, x, y, {first_gap('x', 'y')} head, {first_gap('list_reverse(x)', 'list_reverse(y)')} tail FROM lines)
+    SELECT doc_id, length(text)::BIGINT n_chars, sha256(edited) edited_sha256, a.root || ':' || a.tree fingerprint, b.root || ':' || b.tree edited_fingerprint,
+        {near('b')} near_edited, {near('c')} near_next, (CASE WHEN a.root = b.root THEN -1 ELSE head END)::BIGINT edit_first,
+        (CASE WHEN a.root = b.root THEN -1 ELSE greatest(0, least(tail, least(len(x), len(y)) - head)) END)::BIGINT edit_last
+    FROM edits JOIN trees a ON a.rid = edits.rid AND a.w = 'a' JOIN trees b ON b.rid = edits.rid AND b.w = 'b' JOIN trees c ON c.rid = edits.rid AND c.w = 'c'
+        JOIN gaps ON gaps.rid = edits.rid LEFT JOIN {shared('b')} sb ON sb.rid = edits.rid LEFT JOIN {shared('c')} sc ON sc.rid = edits.rid"""
 
 
 def source_mixing(entropy: float, max_repeats: float, seed: int, source: str = "documents") -> str:

@@ -343,19 +343,41 @@ def test_merkle_buckets(spark, mixed_docs, monkeypatch):
         assert sorted(map(tuple, merkle.fingerprinted(one).collect())) == want
 
 
+def merkle_pair(spark, a, b):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    df = merkle.with_tree(merkle.with_tree(df, "a", "fa"), "b", "fb")
+    df = merkle.with_edits(merkle.with_items(merkle.with_items(df, "fa", "ia"), "fb", "ib"), "fa", "fb")
+    return df.select("fa", "fb", merkle.likeness("fa", "fb", "ia", "ib").alias("near"), "edit_first", "edit_last").first()
+
+
 def test_merkle_locates_edits(spark):
     lines = [prose(i, 30).replace("\n", " ") for i in range(60)]
-    edited = [*lines[:41], "quite another line, it is", *lines[42:]]
-    df = spark.createDataFrame([("\n".join(lines), "\n".join(edited))], "a string, b string")
-    df = merkle.with_tree(merkle.with_tree(df, "a", "fa"), "b", "fb")
-    a, b = F.col("fa"), F.col("fb")
-    r = df.select("fa", "fb", merkle.differing(a, b).alias("d"), merkle.differing(a, a).alias("none")).first()
-    assert r["none"] == []
-    assert len(r["d"]) == 1
-    section, paragraph = r["d"][0]
-    before = sum(len([p for p in s.split(";") if p]) for s in r["fa"][33:].split("/")[:section])
-    assert before + paragraph == 41
-    assert r["fa"][:32] != r["fb"][:32]
+    join = "\n".join
+    r = merkle_pair(spark, join(lines), join([*lines[:41], "quite another line, it is", *lines[42:]]))
+    assert (r["edit_first"], r["edit_last"]) == (41, 18) and 0.9 < r["near"] < 1 and r["fa"][:32] != r["fb"][:32]
+    r = merkle_pair(spark, join(lines), join([*lines[:7], "one more", *lines[7:]]))
+    assert (r["edit_first"], r["edit_last"]) == (7, 53)
+    r = merkle_pair(spark, join(lines), join([*lines[:7], lines[6], *lines[7:]]))
+    assert (r["edit_first"], r["edit_last"]) == (7, 53)
+    assert merkle_pair(spark, join(lines), join(lines))[2:] == (1.0, -1, -1)
+    assert merkle_pair(spark, "", "")[2:] == (1.0, -1, -1)
+    assert merkle_pair(spark, "", "some text that is here")["near"] == 0.0
+
+
+def test_merkle_order_and_repeats_count(spark):
+    lines = [prose(i, 30).replace("\n", " ") for i in range(60)]
+    assert merkle_pair(spark, "\n".join(lines), "\n".join(lines[::-1]))["near"] < 0.95
+    assert merkle_pair(spark, lines[0], "\n".join([lines[0]] * 50))["near"] < 0.2
+    assert merkle_pair(spark, "a line here.\n", "a line here.")["near"] < 1
+
+
+def test_merkle_roots_tell_texts_apart(spark):
+    """Lines whose hashes agree in their first 32 bits, as a short node would have them."""
+    r = merkle_pair(spark, "record number 15379 of it", "record number 43782 of it")
+    assert r["fa"][:32] != r["fb"][:32] and r["near"] == 0.0
+    df = spark.range(44_000).select(F.concat(F.lit("record number "), F.col("id").cast("string"), F.lit(" of it")).alias("a"))
+    got = merkle.with_tree(df, "a", "f").agg(F.countDistinct(F.substring("f", 1, 32)), F.countDistinct(F.substring("f", 1, 8))).first()
+    assert got[0] == 44_000
 
 
 @pytest.mark.parametrize("chunk", [200, 5000])
