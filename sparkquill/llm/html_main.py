@@ -1,21 +1,29 @@
 """Main text of web pages by two passes of block rules.
 
-Markup is read once into blocks: runs of text between block-level tags. First pass: a block inside menus, headers,
-footers, sidebars, forms, notices, adverts or comments (by tag, role, class or id) is bad; a block of an article element
-is good unless it is nearly all links; other blocks are decided by link density, length and density of stop words, and
-what is short or between the bounds stays open. Second pass: an open block takes the label of its nearest decided
-neighbours, and a heading that of what follows it. Where a page has an article element, all text outside of it is bad.
+Markup is read once into elements and blocks: runs of text between block-level tags. A page's largest article or main
+element is its body; what wraps it is never boilerplate, whatever its class says. Menus, footers, sidebars, forms,
+notices, adverts and comments, by tag or by a whole class, id or role, are bad. Other names that often mark boilerplate
+make a block suspect, and being inside or beside the body shifts the bounds; link density, length and stop words decide.
+
+First pass. Outside of any body: a block with many links is bad, a long one with many stop words good, a short one or one
+between the bounds open. Inside, only nearly all links make a block bad, and dense text good; what is short or has few
+stop words is open. Suspect blocks must be dense to be more than bad. Beside a body that holds most of the dense text, a
+block must be twice as long; beside a smaller one, as a teaser is, it is judged as on a page without.
+Second pass. An open block takes the label of its nearest decided neighbours, inside the body those inside, with the body
+itself as good where there is none; a heading takes that of what follows it.
 
 A page is one row and one scan without backtracking over what was read, so no step looks at more than a page. Defined
 results. A null or empty page has the empty text; so has one without good blocks. Unclosed tags end with what holds
-them, unclosed comments and scripts with the page; text after a bare `<` stays text. Repeated rows each get their
-result. Extra columns are ignored.
+them, unclosed comments, scripts and styles with the page, other embedded elements without an end at the next block; text
+after a bare `<` stays text. Repeated rows each get their result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,43 +40,113 @@ STOP_WORDS = {
 }
 STOPS = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 
-#: Bounds of the first pass: characters, share of stop words, share of link characters.
-SHORT, LONG, STOP_LOW, STOP_HIGH, LINKED, ALL_LINKS = 70, 200, 0.15, 0.30, 0.3, 0.9
+#: Bounds of the first pass: characters, share of stop words, share of link characters; the share of a page's text that
+#: makes a wrapper of it.
+SHORT, LONG, STOP_LOW, STOP_HIGH, LINKED, ALL_LINKS, MOST = 70, 200, 0.15, 0.30, 0.3, 0.6, 0.6
 
-_RAW = "script|style|title|noscript|template|svg|math|iframe|object|select|textarea|button|canvas|video|audio"
+_ATTRS = r"""(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+"""
 _TOKEN = re.compile(
     rf"""<!--(?:>|->|.*?(?:--!?>|\Z))
-    |<(?P<raw>{_RAW})(?=[\s/>])(?:[^>"']++|"[^"<]*+"|'[^'<]*+')*+>(?:.*?</(?P=raw)\s*+>|.*\Z)
-    |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"<]*+"|'[^'<]*+')*+)>
-    |<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^<>]*+)>
-    |<[!?/][^>]*+>""",
+    |<(?P<raw>script|style)(?=[\s/>]){_ATTRS}>(?:.*?</(?P=raw)\s*+>|.*\Z)
+    |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/><]*+)(?P<attrs>{_ATTRS})>
+    |<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/><]*+)(?P<attrs2>[^<>]*+)>
+    |<[!?/][^<>]*+>""",
     re.S | re.I | re.X,
 )
+#: Elements by what they mean for text.
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _HELD = _BLOCK - frozenset("hr html body li dd dt td th tr thead tbody tfoot caption summary option optgroup legend".split())
-_BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
+_EMBEDDED = frozenset("title noscript template svg math iframe object select textarea button canvas video audio".split())
+_BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset header".split())
+_BODY = frozenset(("article", "main"))
+_ENDS_WITH_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
+
 _HINT = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_BAD_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alert|alertdialog|newsletter|subscri\w*|signup|popup|modal|paywall|overlay|sidebar|side|widget|related|recommend\w*|share|sharing|social|nav|navigation|navbar|menu|breadcrumbs?|footer|contentinfo|complementary|masthead|topbar|comments?|commentlist|disqus|replies|respond|login|search|pagination|pager|toolbar|skip|site-header|page-header|copyright|disclaimer)(?:$|[\s_-])",
-    re.I,
+#: Parts of names that mark boilerplate, that may mark it, that say nothing, and that deny what follows.
+_MARKS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification alert alertdialog newsletter subscribe subscription signup popup modal paywall overlay sidebar share sharing sharebar nav navigation navbar breadcrumb breadcrumbs footer contentinfo complementary masthead topbar comment comments commentlist disqus reply replies respond login pagination pager toolbar skip copyright disclaimer related recommended recommendations".split()
 )
-BAD, OPEN, INSIDE = -1, 0, 1
-
-
-def _hinted(attrs: str) -> bool:
-    if "=" not in attrs and "hidden" not in attrs:
-        return False
-    return any(_BAD_HINT.search(m[1] or m[2] or m[3] or "") for m in _HINT.finditer(attrs)) or bool(_HIDDEN.search(attrs))
+_MAY_MARK = frozenset("menu search social side widget recommend promoted tags meta byline hidden".split())
+_FILLERS = frozenset(
+    "site page main top bottom left right upper lower list box block container wrapper wrap area section bar slot unit link links button buttons btn post posts article articles item items content form primary secondary global header inner outer text msg message google wp the my js is fixed sticky mobile desktop row col column group panel region zone big small level1 level2 1 2 3".split()
+)
+_DENIALS = frozenset("has with no not without hide hides".split())
+SUSPECT, BAD, OPEN, INSIDE = -2, -1, 0, 1
+
+
+def _hint(attrs: str) -> int:
+    """BAD, SUSPECT or OPEN by the names an element bears. A name marks boilerplate as a whole: `cookie-notice` and
+    `site-footer` do, `has-sidebar` and `social-history` don't."""
+    if "=" not in attrs and "hidden" not in attrs.lower():
+        return OPEN
+    found = OPEN
+    for m in _HINT.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = [x for x in re.split(r"[-_]+", name) if x]
+            if not parts or parts[0] in _DENIALS or not all(x in _MARKS or x in _MAY_MARK or x in _FILLERS for x in parts):
+                continue
+            if any(x in _MARKS for x in parts):
+                return BAD
+            if any(x in _MAY_MARK for x in parts):
+                found = SUSPECT
+    return BAD if _HIDDEN.search(attrs) else found
 
 
 class Block:
-    __slots__ = ("heading", "linked", "state", "text")
-
-    def __init__(self, text: str, linked: int, state: int, heading: bool):
-        self.text, self.linked, self.state, self.heading = text, linked, state, heading
+    __slots__ = ("body", "element", "heading", "linked", "state", "text")
+
+    def __init__(self, text: str, linked: int, state: int, heading: bool, element: int = 0, body: bool = False):
+        self.text, self.linked, self.state, self.heading, self.element, self.body = text, linked, state, heading, element, body
+
+
+class _Elements:
+    """The elements that hold blocks: parent, tag, hint and characters of text. The first is the page."""
+
+    def __init__(self):
+        self.parent, self.tag, self.hint, self.chars = [0], [""], [OPEN], [0]
+
+    def open(self, parent: int, tag: str, hint: int) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.hint.append(hint)
+        self.chars.append(0)
+        return len(self.tag) - 1
+
+    def _largest(self, tag: str, within: int) -> int:
+        """The element of a kind with the most text that no name marks, 0 if there is none."""
+        inside = [i == within for i in range(len(self.tag))]
+        best = 0
+        for i in range(1, len(self.tag)):
+            inside[i] = inside[i] or inside[self.parent[i]]
+            if self.tag[i] == tag and self.hint[i] != BAD and inside[i] and self.chars[i] > (self.chars[best] if best else 0):
+                best = i
+        return best
+
+    def states(self) -> list[tuple[int, bool]]:
+        """Of each element its state (BAD, SUSPECT, OPEN, INSIDE) and whether it lies in an article or main element."""
+        for i in range(len(self.tag) - 1, 0, -1):
+            self.chars[self.parent[i]] += self.chars[i]
+        main = self._largest("main", 0)
+        wraps = set()
+        for i in (main, self._largest("article", main)):
+            while i:
+                wraps.add(i)
+                i = self.parent[i]
+        out = [(OPEN, False)]
+        for i in range(1, len(self.tag)):
+            above, body = out[self.parent[i]]
+            tag, hint = self.tag[i], self.hint[i]
+            if i in wraps or (hint != BAD and tag in ("form", "header") and self.chars[i] > max(2 * LONG, MOST * self.chars[0])):
+                hint = OPEN
+            elif tag in _BAD_TAGS and not (tag == "header" and body):
+                hint = BAD
+            body = body or tag in _BODY
+            state = BAD if BAD in (above, hint) else SUSPECT if hint == SUSPECT or (above == SUSPECT and tag not in _BODY) else INSIDE if body else OPEN
+            out.append((state, body))
+        return out
 
 
 def blocks(page: str) -> list[Block]:
@@ -76,8 +154,14 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     links: list[str] = []
-    held: list[tuple[str, int]] = []
-    in_link, heading, own = False, False, OPEN
+    elements = _Elements()
+    held: list[int] = []
+    n_held: Counter[str] = Counter()
+    #: Elements that end with the next block, such as list items, count for their own block alone.
+    own = 0
+    in_link = heading = skipping = False
+    skip_to = 0
+    closes: dict[str, list[tuple[int, bool]]] = {}
 
     def flush() -> None:
         nonlocal parts, links, own
@@ -85,9 +169,11 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 linked = len(" ".join(html.unescape("".join(links)).split())) if links else 0
-                out.append(Block(text, linked, own or (held[-1][1] if held else OPEN), heading))
+                at = own or (held[-1] if held else 0)
+                elements.chars[at] += len(text)
+                out.append(Block(text, linked, OPEN, heading, at))
             parts, links = [], []
-        own = OPEN
+        own = 0
 
     def add(text: str) -> None:
         if text:
@@ -95,16 +181,37 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 links.append(text)
 
+    def pop() -> str:
+        tag = elements.tag[held.pop()]
+        n_held[tag] -= 1
+        return tag
+
+    def end_of(tag: str, at: int) -> int:
+        """Where the embedded element that starts before `at` ends; 0 if another one starts first or none ends."""
+        if tag not in closes:
+            closes[tag] = [(m.end(), bool(m[1])) for m in re.finditer(rf"<(/?){tag}(?=[\s/>])[^<>]*+>", page, re.I)]
+        marks = closes[tag]
+        i = bisect.bisect_right(marks, (at, True))
+        return marks[i][0] if i < len(marks) and marks[i][1] else 0
+
     at = 0
     for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
+        if m.start() >= skip_to and not skipping:
+            add(page[max(at, skip_to) : m.start()])
         at = m.end()
-        if m["raw"]:
+        if m.start() < skip_to or m["raw"]:
             continue
         tag = m["tag"] or m["tag2"]
         if not tag:
             continue
         tag, end, attrs = tag.lower(), m["end"] or m["end2"], m["attrs"] or m["attrs2"] or ""
+        if tag in _EMBEDDED:
+            if end:
+                skipping = False
+            elif not attrs.rstrip().endswith("/"):
+                skip_to = end_of(tag, at)
+                skipping = not skip_to
+            continue
         if tag == "a":
             in_link = not end
             continue
@@ -113,25 +220,30 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in _BLOCK:
             continue
+        skipping = False
         flush()
         heading = not end and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
         if end:
             in_link = False
-            if any(t == tag for t, _ in held):
-                while held.pop()[0] != tag:
+            if n_held[tag]:
+                while pop() != tag:
                     pass
             continue
-        while held and held[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-            held.pop()
-        above = held[-1][1] if held else OPEN
-        bad = tag in _BAD_TAGS or (tag == "header" and above != INSIDE) or (tag != "body" and _hinted(attrs))
-        state = BAD if above == BAD or bad else INSIDE if above == INSIDE or tag in ("article", "main") else OPEN
+        while held and elements.tag[held[-1]] in _ENDS_WITH_BLOCK:
+            pop()
+        parent = held[-1] if held else 0
+        hint = _hint(attrs) if tag != "body" else OPEN
         if tag in _HELD:
-            held.append((tag, state))
-        elif state == BAD:
-            own = BAD
-    add(page[at:])
+            held.append(elements.open(parent, tag, hint))
+            n_held[tag] += 1
+        elif hint != OPEN:
+            own = elements.open(parent, tag, hint)
+    if not skipping:
+        add(page[max(at, skip_to) :])
     flush()
+    states = elements.states()
+    for b in out:
+        b.state, b.body = states[b.element]
     return out
 
 
@@ -143,37 +255,50 @@ def _stop_share(text: str) -> float:
 GOOD, NEAR, OPEN_SHORT, POOR = "good", "near", "short", "bad"
 
 
+def _label(b: Block, state: int, longer: int = 1) -> str:
+    share = b.linked / len(b.text)
+    if state == BAD:
+        return POOR
+    if state == INSIDE:
+        if share >= ALL_LINKS and not b.heading:
+            return POOR
+        return OPEN_SHORT if len(b.text) < SHORT else GOOD if _stop_share(b.text) >= STOP_LOW else NEAR
+    if share > LINKED:
+        return POOR
+    if len(b.text) < SHORT:
+        return POOR if (b.linked or state == SUSPECT) and not b.heading else OPEN_SHORT
+    stops = _stop_share(b.text)
+    if stops >= STOP_HIGH and len(b.text) > longer * LONG:
+        return GOOD
+    return NEAR if stops >= STOP_LOW and state != SUSPECT else POOR
+
+
 def first_pass(found: list[Block]) -> list[str]:
-    article = any(b.state == INSIDE for b in found)
-    out = []
-    for b in found:
-        share = b.linked / len(b.text)
-        if b.state == BAD or (article and b.state != INSIDE):
-            out.append(POOR)
-        elif b.state == INSIDE:
-            out.append(POOR if share >= ALL_LINKS and not b.heading else GOOD)
-        elif share > LINKED:
-            out.append(POOR)
-        elif len(b.text) < SHORT:
-            out.append(POOR if b.linked and not b.heading else OPEN_SHORT)
-        else:
-            stops = _stop_share(b.text)
-            out.append((GOOD if len(b.text) > LONG else NEAR) if stops >= STOP_HIGH else NEAR if stops >= STOP_LOW else POOR)
-    return out
+    labels = [_label(b, b.state) for b in found]
+    inside = sum(len(b.text) for b, x in zip(found, labels, strict=True) if b.body and x != POOR)
+    beside = sum(len(b.text) for b, x in zip(found, labels, strict=True) if not b.body and x == GOOD)
+    if inside and inside >= beside:
+        for i, b in enumerate(found):
+            if not b.body and labels[i] != POOR:
+                labels[i] = GOOD if _label(b, b.state, 2) == GOOD else POOR
+    return labels
 
 
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
-    """Open blocks inherit from the nearest decided block on each side. Where these differ, a near one is good, a heading
-    is what follows it, and a short one is what the nearer side is, at equal distances bad."""
+    """Open blocks inherit from the nearest decided block on each side, those of a body from blocks of a body. Where the
+    two differ, a near one and one of a body are good, a heading is what follows it, and a short one is what the nearer
+    side is, at equal distances bad."""
     n = len(labels)
     sides: list[list[tuple[str, int]]] = []
     for order in (range(n), range(n - 1, -1, -1)):
-        # The page's edges count as bad neighbours.
-        seen, at, side = POOR, order.start - order.step, [(POOR, n)] * n
+        # The page's edges count as bad neighbours, those of a body as good ones.
+        side = [(POOR, n)] * n
+        seen = {False: (POOR, order.start - order.step), True: (GOOD, order.start - order.step)}
         for i in order:
-            side[i] = (seen, abs(i - at))
+            body = found[i].body
+            side[i] = (seen[body][0], abs(i - seen[body][1]))
             if labels[i] in (GOOD, POOR):
-                seen, at = labels[i], i
+                seen[body] = (labels[i], i)
         sides.append(side)
     out = []
     for i, label in enumerate(labels):
@@ -182,7 +307,7 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
             out.append(label == GOOD)
         elif a == b:
             out.append(a == GOOD)
-        elif label == NEAR:
+        elif label == NEAR or found[i].body:
             out.append(True)
         elif found[i].heading:
             out.append(b == GOOD)

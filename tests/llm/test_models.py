@@ -1,7 +1,10 @@
 """Secret scans by held-out accuracy; main text of pages by cases."""
 
+import html.parser
+import os
 import random
 import string
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,12 +78,72 @@ LONG = "This is the first of the paragraphs that is in the page and it has a lot
         ("<article>1 < 2 & 3 > 2", "1 < 2 & 3 > 2"),
         ("<article><p>a<script>x", "a"),
         ("<article><p title='>'>quoted</p><p title='open>odd</p></article>", "quoted\nodd"),
+        ('<div class="layout has-sidebar"><article><p>Kept.</p></article></div>', "Kept."),
+        ('<body><div class="page with-sidebar"><main><p>Kept.</p></main><div class="sidebar"><p>Not</p></div></div>', "Kept."),
+        (f'<article><div class="social-history"><p>Of old.</p></div><div class="search"><p>{LONG}</p></div><div class="menu"><p>{LONG}</p></div></article>', f"Of old.\n{LONG}\n{LONG}"),
+        ('<article><p>a</p><svg width="1"/><p>b</p><button>Share<p>c</p><video src=x><p>d</p><object>e</object><select><option>f</select><p>g</p></article>', "a\nb\nc\nd\ng"),
+        ("<article><video><p>No video here</p></video><p>a</p><canvas>x</canvas><textarea>y</textarea> b</article>", "a\nb"),
+        (f'<form id="aspnet"><article><p>a</p><form><p>Search</p></form></article></form>', "a"),
+        (f"<article class='teaser'><p>A teaser of it.</p></article><div><p>{LONG}</p><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>", f"A teaser of it.\n{LONG}\n{LONG}\nShort.\n{LONG}"),
+        (f"<div>Cookies are in use here and that is it.</div><article><p>{LONG}</p></article><div>{LONG}</div>", LONG),
+        ("<article><p>Short.</p><p><a href=x>Share</a> <a href=y>Send</a></p><p>One <a href=z>link</a> here, and more.</p></article>", "Short.\nOne link here, and more."),
+        ("<article><p>a</p><article class='comment'><p>I like the text</p></article></article>", "a"),
+        ("<aside><article><p>Teaser one</p></article></aside><main><p>Text</p></main>", "Text"),
     ],
 )
 def test_main_text(page, want):
     assert html_main.main_text(page) == want
 
 
+class Tree(html.parser.HTMLParser):
+    """A second extractor: text of the article element of pages whose rest is menus, adverts and footers."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.parts, self.out = False, [], []
+
+    def flush(self):
+        text = " ".join("".join(self.parts).split())
+        self.out += [text] if text and self.inside else []
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag in ("article", "p", "h1", "h2", "div", "footer"):
+            self.flush()
+            self.inside = tag == "article" or (self.inside and tag != "footer")
+
+    def handle_endtag(self, tag):
+        if tag in ("article", "p", "h1", "h2", "div", "footer"):
+            self.flush()
+            self.inside = self.inside and tag != "article"
+
+    def handle_data(self, data):
+        self.parts.append(data)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_main_text_of_all_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_main.extracted(pages).collect()}
+    for r in pages.collect():
+        tree = Tree()
+        tree.feed(r["html"])
+        tree.close()
+        tree.flush()
+        assert got[r["page_id"]] == "\n".join(tree.out)
+
+
+@pytest.mark.parametrize("page", ["x" * 20_000_000, "<p " * 3_000_000, "<svg>" * 1_000_000 + "x", '<p a="' * 1_000_000, "<button>" * 500_000 + "<p>x", "&amp;" * 1_000_000, "<!--" * 1_000_000, "<div>" * 100_000 + "</p>" * 300_000 + "x"])
+def test_long_pages(page):
+    """Pages without white space, tags or ends: one pass, in seconds."""
+    began = time.perf_counter()
+    html_main.main_text(page)
+    html_main.main_text("<article>" + page)
+    assert time.perf_counter() - began < 30
+
+
 def test_second_pass():
     block = lambda heading=False: html_main.Block("x", 0, 0, heading)
     g, b, s, n = html_main.GOOD, html_main.POOR, html_main.OPEN_SHORT, html_main.NEAR
