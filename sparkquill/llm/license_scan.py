@@ -11,27 +11,32 @@ Window minima are taken from minima of blocks, so all window sizes together cost
 templates are shared with the workers; texts stay where they are read, nothing is shuffled. Giant texts are scanned in
 overlapping pieces.
 
-A template of fewer than five words, such as a notice or a heading, has one shingle, its whole sequence, and is found
-by the same hash over runs of its own length; its containment is 1. One that ends with a line break must fill its line.
+A template of fewer than EXACT shingles, such as a notice or a heading, is too small for a share: it is found by the hash
+of its whole sequence of words over runs of its own length; its containment is 1. One that ends with a line break must
+fill its line.
 
 Defined results. A null or empty text has no shingles and no matches. A template found several
 times has one row, of the best containment and then the first place. Rows without a match give none. Repeated rows give
-repeated matches. Extra columns are ignored.
+repeated matches. A word is cut at 4 Mi characters, where a giant text without white space goes on to its next piece;
+texts are scanned whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquill.llm.arrowio import in_pieces, lean, sized
 
 SHINGLE, CONTAINED, BANDS = 5, 0.8, 48
+#: Shingles below which a template must stand whole.
+EXACT = 3
 PIECE = 4 << 20
 
 #: Notices and grants by SPDX identifier, as licenses and their stewards publish them.
@@ -75,6 +80,33 @@ NOTICES: list[tuple[str, str]] = [
     *[(x, f"SPDX-License-Identifier: {x}") for x in _IDENTIFIERS.split()],
 ]
 
+#: Full texts of licenses that are short enough to stand in a page, without their titles and copyright lines.
+_NO_WARRANTY = "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, " + _NO_WARRANTY
+FULL_TEXTS: list[tuple[str, str]] = [
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", _BSD + _BSD_END),
+    ("BSD-3-Clause", _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_END),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."),
+    ("WTFPL", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."),
+]
+
+
+def all_templates() -> list[tuple[str, str]]:
+    """TEMPLATES, NOTICES and FULL_TEXTS, numbered in this order."""
+    return [*TEMPLATES, *NOTICES, *FULL_TEXTS]
+
+
+def templates_of(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """Templates from a folder of license texts, named by their files; a bounded list such as a system's common licenses."""
+    rows = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value").collect()
+    return sorted((r["name"].removesuffix(".txt"), r["value"]) for r in rows)
+
+
 _WORD = re.compile(r"[^\W_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -86,7 +118,9 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
         return h
 
 
@@ -117,19 +151,20 @@ class Templates:
     def __init__(self, templates: list[tuple[str, str]], bands: int):
         words = _Hashes()
         self.sets, self.sizes, self.n_words = [], [], []
-        #: Templates under SHINGLE words, by their length: number, hash of the whole, and the line they must fill.
+        #: Templates under EXACT shingles, by their words: number, hash of the whole, and the line they must fill.
         self.short: dict[int, list[tuple[int, np.uint64, re.Pattern | None]]] = {}
         for i, (_, text) in enumerate(templates):
             found = _WORD.findall(text.lower())
             self.n_words.append(len(found))
             hashed = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-            if 0 < len(found) < SHINGLE:
+            short = 0 < len(found) < SHINGLE + EXACT - 1
+            if short:
                 gap = r"(?:[^\w\n]|_)"
                 line = re.compile(rf"^{gap}*+({(gap + '++').join(found)}){gap}*+$", re.M) if text.endswith("\n") else None
                 self.short.setdefault(len(found), []).append((i, shingles(hashed, len(found))[0], line))
             s = np.unique(shingles(hashed))
             self.sets.append(s)
-            self.sizes.append(len(found) - SHINGLE + 1)
+            self.sizes.append(0 if short else len(found) - SHINGLE + 1)
         self.mult, self.add = _functions(bands)
         self.classes: dict[int, list[int]] = {}
         for i, n in enumerate(self.sizes):
@@ -202,20 +237,22 @@ def scan(texts: list[str], t: Templates, words: _Hashes) -> list[tuple[int, int,
     return [(doc, i, -share, at) for (doc, i), (share, at) in sorted(best.items())]
 
 
-def _parts(text: str, overlap: int) -> list[tuple[str, int]]:
-    """A giant text in pieces that share `overlap` characters and begin at white space, with the words before each."""
-    if len(text) <= PIECE:
-        return [(text, 0)]
-    out, at, before = [], 0, 0
+def _parts(text: str, overlap: int) -> Iterator[tuple[str, int]]:
+    """A giant text in pieces that share `overlap` characters, with the words before each. A piece begins at white space
+    if there is some in the overlap, else at its start: every piece but the last advances by PIECE - 2 * overlap or more."""
+    at = before = 0
     while True:
         end = min(len(text), at + PIECE)
-        out.append((text[at:end], before))
+        yield text[at:end], before
         if end == len(text):
-            return out
+            return
         nxt = end - overlap
-        while nxt > at + 1 and (text[nxt - 1].isalnum() or text[nxt - 1] == "_"):
+        least = max(nxt - overlap, at + 1)
+        while nxt > least and (text[nxt - 1].isalnum() or text[nxt - 1] == "_"):
             nxt -= 1
-        before += len(_WORD.findall(text, at, nxt))
+        if nxt == least:
+            nxt = end - overlap
+        before += sum(1 for _ in _WORD.finditer(text, at, nxt))
         at = nxt
 
 
@@ -224,16 +261,24 @@ def _run(batches, templates: list[tuple[str, str]], bands: int):
     overlap = 16 * max(t.n_words, default=1) * 4
     for batch in in_pieces(batches, "text", 4 << 20):
         ids = batch.column("doc_id").to_pylist()
-        pieces = [(i, *p) for i, x in enumerate(batch.column("text").to_pylist()) for p in _parts(x or "", overlap)]
         best: dict[tuple[int, int], tuple[float, int]] = {}
         group: list[tuple[int, str, int]] = []
-        for k, piece in enumerate(pieces):
-            group.append(piece)
-            if k + 1 == len(pieces) or sum(len(g[1]) for g in group) > PIECE:
-                for row, i, share, at in scan([g[1] for g in group], t, words):
-                    key, value = (group[row][0], i), (-share, at + group[row][2])
-                    best[key] = min(best.get(key, value), value)
-                group = []
+
+        def flush(group=group, best=best):
+            for row, i, share, at in scan([g[1] for g in group], t, words):
+                key, value = (group[row][0], i), (-share, at + group[row][2])
+                best[key] = min(best.get(key, value), value)
+            group.clear()
+
+        held = 0
+        for i, x in enumerate(batch.column("text").to_pylist()):
+            for part, before in _parts(x or "", overlap):
+                group.append((i, part, before))
+                held += len(part)
+                if held > PIECE:
+                    flush()
+                    held = 0
+        flush()
         rows = sorted(best.items())
         yield pa.RecordBatch.from_arrays(
             [
@@ -250,5 +295,5 @@ def _run(batches, templates: list[tuple[str, str]], bands: int):
 def scanned(docs: DataFrame, templates: list[tuple[str, str]] | None = None, bands: int = BANDS) -> DataFrame:
     """One row per document and template found in it: doc_id, license, template (its number), containment, first_word."""
     rows = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    chosen = [*TEMPLATES, *NOTICES] if templates is None else templates
+    chosen = all_templates() if templates is None else templates
     return rows.mapInArrow(lean(lambda it: _run(it, chosen, bands)), "doc_id long, license string, template int, containment double, first_word long")

@@ -411,7 +411,7 @@ def test_license(spark):
     r = random.Random(9)
     texts = [prose(i, 200) for i in range(60)]
     for i in range(50):
-        w = r.choice(license_scan.TEMPLATES)[1].split()
+        w = r.choice(license_scan.all_templates())[1].split()
         for _ in range(r.choice([0, 0, 1, 2])):
             j = r.randrange(len(w))
             w[j : j + 1] = r.choice([[], ["xx"], [w[j], "yy"]])
@@ -422,14 +422,21 @@ def test_license(spark):
     want = set()
     for d, t in enumerate(texts):
         z = shingle(t)
-        for i, (_, template) in enumerate(license_scan.TEMPLATES):
+        for i, (_, template) in enumerate(license_scan.all_templates()):
+            if template.endswith("\n"):
+                continue
             s = set(shingle(template))
+            if len(s) < license_scan.EXACT:
+                own, words = license_scan._WORD.findall(template.lower()), license_scan._WORD.findall(t.lower())
+                want |= {(d, i)} if any(words[k : k + len(own)] == own for k in range(len(words))) else set()
+                continue
             at = [k for k, x in enumerate(z) if x in s]
             if any(len({z[q] for q in at if p <= q < p + len(s) * 1.25 + 2}) >= 0.8 * len(s) for p in at):
                 want.add((d, i))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    headings = {i for i, (_, template) in enumerate(license_scan.all_templates()) if template.endswith("\n")}
     got = {(x["doc_id"], x["template"]) for x in license_scan.scanned(df).collect()}
-    assert got == want
+    assert {x for x in got if x[1] not in headings} == want
 
 
 def test_license_in_pieces(monkeypatch):
@@ -437,12 +444,33 @@ def test_license_in_pieces(monkeypatch):
     t, words = license_scan.Templates(license_scan.TEMPLATES, license_scan.BANDS), license_scan._Hashes()
     whole = license_scan.scan([text], t, words)
     monkeypatch.setattr(license_scan, "PIECE", 50_000)
-    parts = license_scan._parts(text, 4000)
+    parts = list(license_scan._parts(text, 4000))
     assert len(parts) > 2
     found = {(i, at + before) for (piece, before) in parts for _, i, _, at in license_scan.scan([piece], t, words)}
     assert found == {(i, at) for _, i, _, at in whole}
 
 
+def test_license_in_unbroken_text(monkeypatch):
+    """Without white space a piece is cut where it is: pieces advance, whatever the text, and one is held at a time."""
+    text = "x" * 3_000_000 + " Released under the MIT License. " + "é" * 17_000_000
+    parts = [(len(part), before) for part, before in license_scan._parts(text, 40_000)]
+    assert len(parts) <= len(text) // (license_scan.PIECE - 80_000) + 1
+    assert sum(n for n, _ in parts) < len(text) + 80_000 * len(parts)
+    t, words = license_scan.Templates(license_scan.all_templates(), license_scan.BANDS), license_scan._Hashes()
+    found = {t_ for part, _ in license_scan._parts(text, 40_000) for _, t_, _, _ in license_scan.scan([part], t, words)}
+    assert {license_scan.all_templates()[i][0] for i in found} == {"MIT"}
+    monkeypatch.setattr(license_scan, "PIECE", 2000)
+    assert len(list(license_scan._parts("y" * 3000, 400))) < 5
+
+
+def test_license_templates_of_a_folder(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("You may use this work as you like if you say whose it is and ask for nothing more than that.")
+    found = license_scan.templates_of(spark, str(tmp_path))
+    assert [n for n, _ in found] == ["Own-1.0"]
+    df = spark.createDataFrame([(1, prose(1, 50) + " " + found[0][1]), (2, prose(2, 50))], "doc_id long, text string")
+    assert [(x["doc_id"], x["license"]) for x in license_scan.scanned(df, found).collect()] == [(1, "Own-1.0")]
+
+
 def test_short_notices():
     texts = ["Copyright. All rights\n reserved.", "/* SPDX-License-Identifier: MIT */", "# MIT License\n\nCopyright", "under the MIT License we", "all rights", "reserved", "one two All Rights Reserved"]
     chosen = [*license_scan.TEMPLATES, *license_scan.NOTICES]
