@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +23,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where that is unset (local tests) a folder of our own is chosen."""
+    """The folder named in spark.checkpoint.dir. Only where that is unset a folder of our own is chosen, in local mode; a
+    cluster's machines share none, so there it must be named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             named = current.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             named = f"/tmp/checkpoints/sparkquill-{uuid.uuid4().hex}"
             spark.sparkContext.setCheckpointDir(named)
@@ -53,10 +56,38 @@ def scratch(keep: list[DataFrame]) -> Iterator[None]:
         _made[start:] = [m for m in _made[start:] if any(f"/{m[1].rsplit('/', 1)[1]}/" in f for f in kept)]
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s result, without the working tables that it doesn't read."""
+    keep: list[DataFrame] = []
+    with scratch(keep):
+        keep.append(make())
+    return keep[0]
+
+
+def _counted(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    _made.append((spark, path))
+
+
+def _new(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder for working files: `scratch` deletes it where it is no longer read, the application's end otherwise."""
+    path = _new(spark, label)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+    _counted(spark, path)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` written once as Parquet to the shared folder and read again: lineage is cut, and losing an executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    """`df` written once as Parquet to the shared folder and read again: lineage is cut, and losing an executor loses nothing.
+
+    The table is a working table, deleted as `scratch_dir` says."""
+    path = _new(df.sparkSession, label)
     df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _counted(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

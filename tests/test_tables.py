@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkquill import tables
@@ -23,3 +24,29 @@ def test_spread(spark):
     many = spark.range(0, 100, 1, 500)
     assert tables.spread(many) is many
     assert tables.spread(one).agg(F.sum("id")).first()[0] == 4950
+
+
+def test_settled(spark):
+    parts = []
+
+    def make():
+        parts.append(tables.written(spark.range(10), "gone"))
+        return tables.written(parts[0].filter("id > 4"), "kept").filter("id > 5")
+
+    assert tables.settled(make).count() == 4
+    assert not os.path.exists(parts[0].inputFiles()[0].removeprefix("file://"))
+
+
+def test_shared_dir_is_never_local_to_a_machine():
+    class Conf:
+        get = staticmethod(lambda name, default: default)
+
+    class Empty:
+        isDefined = staticmethod(lambda: False)
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: Empty)}))})
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        tables.shared_dir(type("Session", (), {"conf": Conf, "sparkContext": Context}))
