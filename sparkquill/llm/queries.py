@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkquill.llm import html_main, license_scan, merkle, mixing, oracles, piece_codec, quality, secret_scan, simhash_dedup, substring_dedup, token_rollup
-from sparkquill.tables import spread, table
+from sparkquill.tables import settled, spread, table
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,14 +17,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(_documents(spark, sf_dir))
+    judged = settled(lambda: quality.judge(_documents(spark, sf_dir)))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.draws(_documents(spark, sf_dir), entropy=0.92, max_repeats=4.0, seed=0)
+    return settled(lambda: mixing.draws(_documents(spark, sf_dir), entropy=0.92, max_repeats=4.0, seed=0))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     takedowns = table(spark, sf_dir, "labels").filter("toxic = 1")
-    return token_rollup.maintained(_documents(spark, sf_dir), takedowns)
+    return settled(lambda: token_rollup.maintained(_documents(spark, sf_dir), takedowns))
 
 
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.removed(_documents(spark, sf_dir), length=100)
+    return settled(lambda: substring_dedup.removed(_documents(spark, sf_dir), length=100))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +49,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash_dedup.classes(_documents(spark, sf_dir), size=4, radius=4)
+    found = settled(lambda: simhash_dedup.classes(_documents(spark, sf_dir), size=4, radius=4))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.encoded(_documents(spark, sf_dir), piece_codec.MODEL, piece_codec.CHUNK)
+    return settled(lambda: piece_codec.encoded(_documents(spark, sf_dir), piece_codec.MODEL, piece_codec.CHUNK))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,21 @@
 
 A change is an insert (+tokens), a delete (-tokens) or a revised count (+new -old); its sign makes totals additive, so a
 batch of changes, whatever its size, becomes one small table of sums: partial sums in every task, then one row a group.
-No total is read to apply a batch. A batch has an id. Its sums are written to a folder of this attempt, then a marker
-named by the batch id is created, which can succeed once only; totals add up marked attempts alone. Applying a batch
-again, after a lost driver or twice at a time, changes nothing. `compact` folds marked batches into one, ids included.
+No total is read to apply a batch.
 
-All paths go through Spark and the Hadoop file system, so the store can stand wherever executors can write.
+Commits. A batch has an id. Its sums are written to a folder of this attempt; then a marker named by the batch id, whose
+content names the attempt, is put in place in one step that fails if there is one. Totals add up marked attempts alone.
+Applying a batch again, after a lost driver or twice at a time, changes nothing.
+`compact` writes the sums of all batches committed so far and the list of their attempts as tables, then puts a numbered
+fold in place, again in one step that fails if another was first. Totals are the newest fold's sums and those of marked
+attempts that it doesn't list: before that step nothing has changed, after it the same totals come from fewer files.
+Files that a fold replaced go with the next fold, so readers that have begun can end.
+
+Markers and lists are read as tables, not by the driver. All paths go through the Hadoop file system, so the store can
+stand wherever executors can write and a rename doesn't replace, as on HDFS; on a local file system a hard link is made.
+
+Counts. `words` and `pieces` count by pattern, in the scan; `model_tokens` counts by a SentencePiece model, exactly as the
+encoder does.
 
 Defined results. A null text counts 0 tokens, a null source or language is a group of its own, repeated rows count as
 often as they occur, groups whose documents and tokens are both 0 are absent. A batch without changes is committed too.
@@ -15,13 +25,15 @@ often as they occur, groups whose documents and tokens are both 0 are absent. A
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkquill.llm.quality import WHITE
-from sparkquill.tables import shared_dir, written
+from sparkquill.tables import scratch_dir, written
 
 GROUP = ["source", "lang", "version"]
 SUMS = "source string, lang string, version string, n_docs long, n_tokens long"
@@ -53,6 +65,21 @@ def summed(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*GROUP).agg(F.sum("docs").cast("long").alias("n_docs"), F.sum("tokens").cast("long").alias("n_tokens"))
 
 
+def model_tokens(docs: DataFrame, path: str, name: str = "tokens") -> DataFrame:
+    """`docs` with the number of tokens that the SentencePiece model at `path` makes of the whole text."""
+    from sparkquill.llm.arrowio import in_pieces, lean, sized
+    from sparkquill.llm.piece_codec import Encoder
+
+    def run(batches):
+        encoder = Encoder(path)
+        for batch in in_pieces(batches, "text", 2 << 20):
+            counts = [len(ids) for ids in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=[*batch.schema.names, name])
+
+    rows = docs.drop(name)
+    return sized(rows).mapInArrow(lean(run), T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())]))
+
+
 class Rollup:
     """A store of totals under `root`, a folder that driver and executors share."""
 
@@ -63,85 +90,120 @@ class Rollup:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _marker(self, batch: str) -> str:
-        return f"{self.root}/_commits/{batch}"
-
-    def committed(self, batch: str) -> bool:
-        fs, p = self._fs(self._marker(batch))
-        return fs.exists(p)
-
-    def _mark(self, batch: str, attempt: str) -> bool:
-        """Creates the marker; False if there is one. Its content, the attempt, is written before it gets its name."""
-        fs, p = self._fs(self._marker(batch))
+    def _put(self, path: str, content: str) -> bool:
+        """Makes a file with its whole content in one step; False, without doing anything, if there is one."""
+        fs, p = self._fs(path)
         _, draft = self._fs(f"{self.root}/_drafts/{uuid.uuid4().hex}")
         out = fs.create(draft, False)
-        out.write(bytearray(attempt.encode()))
+        out.write(bytearray(content.encode()))
         out.close()
         fs.mkdirs(p.getParent())
-        won = not fs.exists(p) and fs.rename(draft, p)
-        if not won:
-            fs.delete(draft, False)
-        return bool(won)
+        try:
+            if fs.getScheme() != "file":
+                return bool(fs.rename(draft, p))
+            # A local rename replaces; a link doesn't.
+            local = self.spark._jvm.java.io.File
+            self.spark._jvm.java.nio.file.Files.createLink(local(p.toUri().getPath()).toPath(), local(draft.toUri().getPath()).toPath())
+            return True
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            return False
+        finally:
+            if fs.exists(draft):
+                fs.delete(draft, False)
+
+    def _delete(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+
+    def _has(self, path: str) -> bool:
+        fs, p = self._fs(path)
+        return fs.exists(p)
+
+    def committed(self, batch: str) -> bool:
+        return self._has(f"{self.root}/_commits/{batch}")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Applies a batch; False, without doing anything, if it was applied before."""
         if self.committed(batch):
             return False
         attempt = uuid.uuid4().hex
-        summed(changes).write.parquet(f"{self.root}/sums/{attempt}")
-        if self._mark(batch, attempt):
+        summed(changes).write.parquet(f"{self.root}/sums/attempt={attempt}")
+        if self._put(f"{self.root}/_commits/{batch}", attempt):
             return True
-        fs, p = self._fs(f"{self.root}/sums/{attempt}")
-        fs.delete(p, True)
+        self._delete(f"{self.root}/sums/attempt={attempt}")
         return False
 
-    def _attempts(self) -> dict[str, str]:
-        fs, p = self._fs(f"{self.root}/_commits")
-        if not fs.exists(p):
-            return {}
-        rows = self.spark.read.text(f"{self.root}/_commits", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1), "value").collect()
-        return {name: value for name, value in rows}
-
-    def totals(self) -> DataFrame:
-        """source, lang, version, n_docs, n_tokens over all committed batches."""
-        attempts = sorted({a for a in self._attempts().values()})
-        empty = self.spark.createDataFrame([], SUMS)
-        parts = [self.spark.read.schema(SUMS).parquet(*[f"{self.root}/sums/{a}" for a in attempts])] if attempts else []
-        rows = reduce(DataFrame.unionByName, parts, empty)
+    def _fold(self) -> tuple[int, str | None]:
+        """Number and folder of the newest fold; 0 and None without one."""
+        fs, p = self._fs(f"{self.root}/_folds")
+        newest = max((int(f.getPath().getName()) for f in fs.listStatus(p)), default=0) if fs.exists(p) else 0
+        if not newest:
+            return 0, None
+        return newest, f"{self.root}/folds/{self.spark.read.text(f'{self.root}/_folds/{newest}', wholetext=True).first()[0]}"
+
+    def _marked(self, fold: str | None) -> DataFrame:
+        """attempt: those of all markers that `fold` doesn't list."""
+        if not self._has(f"{self.root}/_commits"):
+            return self.spark.createDataFrame([], "attempt string")
+        marked = self.spark.read.text(f"{self.root}/_commits", wholetext=True).select(F.col("value").alias("attempt"))
+        return marked.join(self.spark.read.schema("attempt string").parquet(f"{fold}/attempts"), "attempt", "left_anti") if fold else marked
+
+    def _sums(self, fold: str | None, attempts: DataFrame) -> DataFrame:
+        """The totals of a fold and of attempts that it doesn't list."""
+        rows = self.spark.createDataFrame([], SUMS)
+        if self._has(f"{self.root}/sums"):
+            all_rows = self.spark.read.schema(SUMS + ", attempt string").parquet(f"{self.root}/sums")
+            rows = rows.unionByName(all_rows.join(attempts, "attempt", "left_semi").drop("attempt"))
+        if fold:
+            rows = rows.unionByName(self.spark.read.schema(SUMS).parquet(f"{fold}/sums"))
         out = rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return out.filter("n_docs <> 0 OR n_tokens <> 0")
 
-    def compact(self) -> None:
-        """Folds all committed batches into one table of sums; their ids stay committed.
-
-        The folded table has each marker's new content before any old table goes, so readers find one or the other."""
-        attempts = self._attempts()
-        if len(set(attempts.values())) < 2:
-            return
-        folded = uuid.uuid4().hex
-        self.totals().write.parquet(f"{self.root}/sums/{folded}")
-        for batch in attempts:
-            fs, p = self._fs(self._marker(batch))
-            out = fs.create(p, True)
-            out.write(bytearray(folded.encode()))
-            out.close()
-        for old in set(attempts.values()):
-            fs, p = self._fs(f"{self.root}/sums/{old}")
-            fs.delete(p, True)
+    def totals(self) -> DataFrame:
+        """source, lang, version, n_docs, n_tokens over all committed batches."""
+        _, fold = self._fold()
+        return self._sums(fold, self._marked(fold))
+
+    def compact(self) -> bool:
+        """Folds all batches committed so far; their ids stay committed. False if there is nothing to fold, or another
+        fold was first. If it ends early, totals are what they were and left-over files count for nothing."""
+        number, old = self._fold()
+        if self._marked(old).isEmpty():
+            return False
+        folder = f"{self.root}/folds/{uuid.uuid4().hex}"
+        # The attempts to fold are fixed before they are summed up: batches committed meanwhile stay for the next fold.
+        self._marked(old).write.parquet(f"{folder}/new")
+        new = self.spark.read.schema("attempt string").parquet(f"{folder}/new")
+        listed = new.unionByName(self.spark.read.schema("attempt string").parquet(f"{old}/attempts")) if old else new
+        listed.write.parquet(f"{folder}/attempts")
+        self._sums(old, new).write.parquet(f"{folder}/sums")
+        if not self._put(f"{self.root}/_folds/{number + 1}", folder.rsplit("/", 1)[1]):
+            self._delete(folder)
+            return False
+        if old:
+            # What the fold before this one replaced: no reader that began since needs it.
+            for r in self.spark.read.schema("attempt string").parquet(f"{old}/new").toLocalIterator():
+                self._delete(f"{self.root}/sums/attempt={r['attempt']}")
+            for f in range(1, number):
+                self._delete(f"{self.root}/_folds/{f}")
+        return True
 
 
 def maintained(docs: DataFrame, takedowns: DataFrame, root: str | None = None) -> DataFrame:
     """Totals after a run of batches over `docs`: all rows inserted under two tokenizer versions; the first one's counts
-    revised to leave out lines that a text repeats; the documents of `takedowns` (doc_id) deleted; the first batch
-    delivered once more, which changes nothing."""
+    revised to leave out lines that a text repeats; the batches so far folded; the documents of `takedowns` (doc_id)
+    deleted; the first batch delivered once more, which changes nothing. Without `root` the store is for this run alone."""
     spark = docs.sparkSession
     lines = F.array_join(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n")), "\n")
     counts = docs.select("doc_id", "source", "lang", words(F.col("text")).alias("words"), pieces(F.col("text")).alias("pieces"), words(lines).alias("revised"))
     counts = written(counts, "counts")
-    store = Rollup(spark, root or f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    store = Rollup(spark, root or scratch_dir(spark, "rollup"))
     store.commit("load-words-1", inserts(counts, "words-1", "words"))
     store.commit("load-pieces-1", inserts(counts, "pieces-1", "pieces"))
     store.commit("revise-words-1", revisions(counts.filter("revised <> words"), "words-1", "words", "revised"))
+    store.compact()
     gone = counts.join(takedowns.select("doc_id").distinct(), "doc_id", "left_semi")
     store.commit("takedowns", deletes(gone, "words-1", "revised").unionByName(deletes(gone, "pieces-1", "pieces")))
     store.commit("load-words-1", inserts(counts, "words-1", "words"))

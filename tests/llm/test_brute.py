@@ -170,14 +170,93 @@ def test_rollup_batches(spark, tmp_path):
     total = lambda: sorted(map(tuple, store.totals().collect()), key=str)
     want = sorted([("s", "en", "v1", 1, 3), ("s", None, "v1", 1, 2)], key=str)
     assert total() == want
-    store.compact()
+    assert store.compact() and not store.compact()
     assert total() == want
     assert not store.commit("two", token_rollup.inserts(counts, "v1", "n"))
     assert store.commit("gone", token_rollup.deletes(counts, "v1", "m"))
     assert total() == []
     # An attempt without a marker, as a lost driver leaves it, doesn't count.
-    token_rollup.summed(token_rollup.inserts(counts, "v9", "n")).write.parquet(f"{store.root}/sums/left-over")
+    token_rollup.summed(token_rollup.inserts(counts, "v9", "n")).write.parquet(f"{store.root}/sums/attempt=left-over")
     assert total() == []
+    assert store.compact() and store.commit("more", token_rollup.inserts(counts, "v2", "n")) and store.compact()
+    assert total() == sorted([("s", "en", "v2", 1, 5), ("s", None, "v2", 1, 2)], key=str)
+    assert not any(store.commit(b, token_rollup.inserts(counts, "v1", "n")) for b in ("one", "two", "none", "gone", "more"))
+    # Files of batches folded twice over are gone.
+    assert len([d for d in os.listdir(f"{store.root}/sums") if d.startswith("attempt=")]) < 5
+
+
+def test_rollup_stopped_anywhere(spark, tmp_path, monkeypatch):
+    """`compact` and `commit` stopped before each of their steps on files: totals are those of before or after, never else."""
+    counts = spark.createDataFrame([("s", "en", 5)], "source string, lang string, n long")
+    store = token_rollup.Rollup(spark, str(tmp_path / "r"))
+    total = lambda: sorted(map(tuple, token_rollup.Rollup(spark, store.root).totals().collect()), key=str)
+
+    class Stop(Exception):
+        pass
+
+    def stopped(run, names, at):
+        """Runs with the `at`-th call of the named methods replaced by a stop; whether it was reached."""
+        left = [at]
+        with monkeypatch.context() as m:
+            for name in names:
+                real = getattr(token_rollup.Rollup, name)
+
+                def call(self, *a, real=real):
+                    left[0] -= 1
+                    if left[0] < 0:
+                        raise Stop
+                    return real(self, *a)
+
+                m.setattr(token_rollup.Rollup, name, call)
+            try:
+                run()
+            except Stop:
+                return True
+        return False
+
+    n = 0
+    stops = []
+    for at in [0, 1, 2, 3, 99, 0, 1, 2, 3, 4, 5, 6, 99, 99]:
+        store.commit(f"b{n}", token_rollup.inserts(counts, "v", "n"))
+        store.commit(f"c{n}", token_rollup.inserts(counts, "v", "n"))
+        n += 1
+        want = [("s", "en", "v", 2 * n, 10 * n)]
+        assert total() == want
+        reached = stopped(store.compact, ["_put", "_delete", "_sums", "_marked"], at)
+        assert total() == want
+        assert not store.commit(f"b{n - 1}", token_rollup.inserts(counts, "v", "n"))
+        stops.append(reached)
+    # The first fold has nothing to delete; later ones do.
+    assert stops == [True] * 4 + [False] + [True] * 7 + [False] * 2, stops
+    assert stopped(lambda: store.commit("late", token_rollup.inserts(counts, "v", "n")), ["_put"], 0)
+    assert total() == want
+    assert store.commit("late", token_rollup.inserts(counts, "v", "n"))
+    assert total() == [("s", "en", "v", 2 * n + 1, 10 * n + 5)]
+
+
+def test_rollup_committers_race(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    counts = spark.createDataFrame([("s", "en", 5)], "source string, lang string, n long")
+    root = str(tmp_path / "r")
+    run = lambda i: token_rollup.Rollup(spark, root).commit("same", token_rollup.inserts(counts, "v", "n"))
+    with ThreadPoolExecutor(6) as pool:
+        assert sum(pool.map(run, range(6))) == 1
+    with ThreadPoolExecutor(4) as pool:
+        assert sum(pool.map(lambda i: token_rollup.Rollup(spark, root).compact(), range(4))) == 1
+        assert sum(pool.map(lambda i: token_rollup.Rollup(spark, root)._put(f"{root}/one", str(i)), range(50))) == 1
+    assert [tuple(r) for r in token_rollup.Rollup(spark, root).totals().collect()] == [("s", "en", "v", 1, 5)]
+
+
+def test_rollup_by_a_model(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_codec.MODEL)
+    texts = [prose(i, 80) for i in range(20)] + ["", None, " ", "漢字" * 100]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = token_rollup.model_tokens(df, piece_codec.MODEL)
+    assert got.columns == [*df.columns, "tokens"]
+    assert {r["doc_id"]: r["tokens"] for r in got.collect()} == {i: len(sp.encode(t or "")) for i, t in enumerate(texts)}
 
 
 def grams(text, size):
