@@ -8,14 +8,20 @@
    turn a plane into 64 differences, three planes at a time are added to bit-sliced counters by carry-save adders, and a
    block is abandoned once all its lanes are over the radius.
 4. A bucket emits a spanning forest of its links, at most one edge a row; components are joined over all buckets.
-A bucket of more than TILE rows is cut into tiles, each pair of which is a task of its own.
+A bucket of more than TILE rows is parted once more: close pairs agree in one of radius + 1 parts of its other bits, so
+each part makes buckets of its own. What is still over TILE then is cut into tiles, each pair of which is a task.
 
-Defined results. Null or empty texts have fingerprint zero, linked like any other. Fewer words than the shingle: the
-whole sequence is the only shingle. Repeated rows give repeated results. Extra columns are ignored, an empty table
-gives an empty result, long texts are hashed in blocks of words.
+`deduplicated`, the pipeline's stage, links texts whose shingle sets have an exact Jaccard similarity of 0.8 or more. Such
+texts are some ten of 64 bits apart, too far for buckets of equal parts, so candidates agree in one of BANDS bands of
+minima. Inside a group of candidates the fingerprints are compared by bit planes as above, within SCREEN bits, and pairs
+that pass are verified exactly.
+
+Hot fingerprints, buckets and classes: joins deal a key with more rows than a share of a task over several (`skew`).
 
-`deduplicated`, the pipeline's stage, takes similar texts instead: those whose shingle sets have a Jaccard similarity of
-0.8 or more, retrieved by MinHash bands and verified exactly.
+Defined results. Null or empty texts have fingerprint zero, linked like any other. Fewer words than the shingle: the
+whole sequence is the only shingle. Repeated rows give repeated results. Null ids are rows like others; a class of null
+ids alone has a null component_id. Extra columns are ignored, an empty table gives an empty result, long texts are hashed
+in blocks of words.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ from pyspark.sql import functions as F
 
 from sparkquill.llm.arrowio import in_pieces, lean, raw, sized
 from sparkquill.llm.components import components
+from sparkquill.llm.skew import dealt_join, share
 from sparkquill.tables import written
 
 BITS, SEED, TILE = 64, 42, 4096
@@ -38,6 +45,11 @@ BITS, SEED, TILE = 64, 42, 4096
 BUCKET, AT_ONCE, ROWS = 64, 1 << 17, 1 << 15
 #: Bands and minima a band of the search for similar texts.
 BANDS, BAND_ROWS = 24, 4
+#: Differing bits up to which candidates are verified. Sets at 0.8 differ in 10 bits on average; in more than 28 with a
+#: probability under 1e-6, whatever their size.
+SCREEN = 28
+#: Keys, of eight bytes, that are sent to every executor at most.
+MOST_KEYS = 1_000_000
 
 
 def shingle_hashes(text: bytes, size: int, block: int = 1 << 20) -> Iterator[np.ndarray]:
@@ -142,9 +154,9 @@ def _next_run(run: np.ndarray, n: int) -> np.ndarray:
 def _compare(fps, planes, query, block, valid, starts, radius) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     if not len(query):
         return
-    assert radius < 7
-    zero = np.zeros(len(query), np.uint64)
-    ones, twos, fours, over = zero, zero.copy(), zero.copy(), zero.copy()
+    digits = max(2, (radius + 1).bit_length())
+    counter = [np.zeros(len(query), np.uint64) for _ in range(digits)]
+    over = np.zeros(len(query), np.uint64)
     words = fps[query]
     for b in range(0, BITS, 3):
         diff = [planes[x][block] ^ (np.uint64(0) - ((words >> np.uint64(x)) & np.uint64(1))) for x in range(b, min(b + 3, BITS))]
@@ -152,32 +164,38 @@ def _compare(fps, planes, query, block, valid, starts, radius) -> Iterator[tuple
             diff.append(np.zeros(len(query), np.uint64))
         x, y, z = diff
         half = x ^ y
-        total, carry = half ^ z, (x & y) | (half & z)
-        up = ones & total
-        ones = ones ^ total
-        half = twos ^ carry
-        up2 = (twos & carry) | (half & up)
-        twos = half ^ up
-        over |= fours & up2
-        fours = fours ^ up2
-        if b % 9 == 6 or b + 3 >= BITS:
-            alive = valid & ~(over | _above(ones, twos, fours, radius))
+        total, twice = half ^ z, (x & y) | (half & z)
+        up = counter[0] & total
+        counter[0] = counter[0] ^ total
+        half = counter[1] ^ twice
+        counter[1], up = half ^ up, (counter[1] & twice) | (half & up)
+        for k in range(2, digits):
+            counter[k], up = counter[k] ^ up, counter[k] & up
+        over |= up
+        # Nothing is over the radius before that many bits are counted; then every third round tells.
+        if b + 3 > radius and (b % 9 == 6 or b + 3 >= BITS):
+            alive = valid & ~(over | _above(counter, radius))
             keep = alive != 0
             if not keep.all():
-                query, block, valid, ones, twos, fours, over, words = (v[keep] for v in (query, block, valid, ones, twos, fours, over, words))
+                query, block, valid, over, words = (v[keep] for v in (query, block, valid, over, words))
+                counter = [c[keep] for c in counter]
                 if not len(query):
                     return
-    alive = valid & ~(over | _above(ones, twos, fours, radius))
+    alive = valid & ~(over | _above(counter, radius))
     hit = np.flatnonzero(np.unpackbits(alive.view(np.uint8), bitorder="little"))
     yield query[hit // 64], starts[block[hit // 64]] + hit % 64
 
 
-def _above(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose three-bit count is over the radius."""
-    out = np.zeros_like(ones)
-    for value in range(radius + 1, 8):
-        out |= (ones if value & 1 else ~ones) & (twos if value & 2 else ~twos) & (fours if value & 4 else ~fours)
-    return out
+def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose count is over the radius: compared digit by digit from the highest."""
+    above, equal = np.zeros_like(counter[0]), ~np.zeros_like(counter[0])
+    for k in range(len(counter) - 1, -1, -1):
+        if radius >> k & 1:
+            equal = equal & counter[k]
+        else:
+            above |= equal & counter[k]
+            equal = equal & ~counter[k]
+    return above
 
 
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -232,14 +250,32 @@ def _buckets(batches, radius: int):
         yield from edges(rest)
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def _inner_masks(mask: int, radius: int) -> list[int]:
+    """The bits outside of a table's key, in radius + 1 parts: a close pair of its bucket agrees in one of them."""
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    edges = [round(i * len(free) / (radius + 1)) for i in range(radius + 2)]
+    return [sum(1 << b for b in free[i:j]) for i, j in itertools.pairwise(edges)]
+
+
+def _oversize(rows: DataFrame) -> DataFrame:
+    """`rows` with n, the size of a bucket of more than TILE rows, else null. At most one bucket in TILE rows is listed."""
+    large = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > TILE), "oversize")
+    small = large.count() <= MOST_KEYS
+    return rows.join(F.broadcast(large) if small else large, "bucket", "left")
+
+
 def links(distinct: DataFrame, n: int, radius: int = 4, extra: int | None = None) -> DataFrame:
     """Spanning edges (u, v) of the graph of fingerprints within the radius. distinct: column fp, `n` rows."""
     tables = masks(radius, extra or extra_parts(n, radius))
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in tables]
-    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)])
-    rows = distinct.select("fp", F.explode(keys).alias("bucket"))
-    large = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > TILE)
-    rows = rows.join(large, "bucket", "left")
+    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(tables)])
+    rows = _oversize(distinct.select("fp", F.posexplode(keys).alias("t", "bucket")))
+    inner = F.array(*[F.array(*[F.lit(_signed(x)) for x in _inner_masks(m, radius)]) for m in tables])
+    parted = F.transform(F.get(inner, F.col("t")), lambda x, j: F.xxhash64("bucket", j, F.col("fp").bitwiseAND(x)))
+    rows = _oversize(rows.select("fp", F.explode(F.when(F.col("n").isNull(), F.array("bucket")).otherwise(parted)).alias("bucket")))
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), tiles).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda o: F.struct(F.least(o, mine).alias("a"), F.greatest(o, mine).alias("b")))
@@ -258,12 +294,14 @@ def links(distinct: DataFrame, n: int, radius: int = 4, extra: int | None = None
 def classes(docs: DataFrame, size: int = 4, radius: int = 4, extra: int | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, fp, component_id (the smallest doc_id reachable over links)."""
     fps = written(fingerprints(docs, size), "simhash")
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    n = first.count()
-    roots = components(links(first.select("fp"), n, radius, extra))
-    named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    return fps.join(named.join(least, "root").select("fp", "component_id"), "fp")
+    first = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), "first")
+    n, rows = first.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    roots = components(links(first.select("fp"), n, radius, extra)).withColumnRenamed("node", "fp")
+    linked = written(first.join(roots, "fp"), "linked")
+    least = linked.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count("*").alias("members"))
+    linked = dealt_join(linked, least, "root", "members", share(linked, n), ["fp"]).select("fp", F.col("component_id").alias("least"))
+    named = first.join(linked, "fp", "left").select("fp", F.coalesce("least", "first_doc").alias("component_id"), "n")
+    return dealt_join(fps, named, "fp", "n", share(fps, rows), ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def _shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -296,26 +334,49 @@ def _banded(batches, size: int):
         yield pa.RecordBatch.from_arrays([batch.column("key"), lists], names=["key", "bands"])
 
 
-def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Spanning edges of the graph of sets whose exact Jaccard similarity is `similarity` or more."""
+def _majority(hashes: np.ndarray) -> int:
+    counts = np.zeros(BITS, np.int64)
+    for part in np.array_split(hashes, len(hashes) // 65536 + 1):
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float, screen: int = SCREEN) -> list[tuple[int, int]]:
+    """Spanning edges of the graph of sets whose exact Jaccard similarity is `similarity` or more. Fingerprints are
+    compared by bit planes first; only pairs within `screen` bits are verified."""
     n, out = len(sets), []
     sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner, waiting = flat[order], owner[order], np.ones(n, bool)
+    fps = np.fromiter((_majority(s) for s in sets), np.uint64, n)
+    lane, starts = np.arange(n) % 64, np.arange(0, n, 64)
+    planes = _planes(fps, np.arange(n) // 64, lane, starts)
+    waiting = np.ones(-(-n // 64) * 64, bool)
+    waiting[n:] = False
     for first in range(n):
         if not waiting[first]:
             continue
         waiting[first], todo = False, [first]
-        while todo and waiting.any():
+        while todo:
             i = todo.pop()
-            a, b = np.searchsorted(flat, sets[i]), np.searchsorted(flat, sets[i], side="right")
-            at = np.repeat(a - np.r_[0, np.cumsum(b - a)][: len(a)], b - a) + np.arange(int((b - a).sum()))
-            shared = np.bincount(owner[at], minlength=n)
-            hits = np.flatnonzero(waiting & (shared >= similarity * (sizes + sizes[i] - shared) - 1e-9)).tolist()
-            waiting[hits] = False
-            out += [(i, j) for j in hits]
-            todo += hits
+            valid = np.packbits(waiting, bitorder="little").view(np.uint64)
+            block = np.flatnonzero(valid)
+            if not len(block):
+                return out
+            for _, near in _compare(fps, planes, np.full(len(block), i), block, valid[block], starts, screen):
+                near = near[sizes[near] >= similarity * sizes[i] - 1e-9]
+                near = near[sizes[i] >= similarity * sizes[near] - 1e-9]
+                if not len(near):
+                    continue
+                flat = np.concatenate([sets[j] for j in near.tolist()])
+                same = np.zeros(len(flat), bool)
+                if sizes[i]:
+                    same = sets[i][np.minimum(np.searchsorted(sets[i], flat), sizes[i] - 1)] == flat
+                run = np.r_[0, np.cumsum(same)]
+                ends = np.cumsum(sizes[near])
+                shared = run[ends] - run[ends - sizes[near]]
+                hits = near[shared >= similarity * (sizes[near] + sizes[i] - shared) - 1e-9].tolist()
+                waiting[hits] = False
+                out += [(i, j) for j in hits]
+                todo += hits
     return out
 
 
@@ -350,11 +411,19 @@ def similar_links(texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """Edges (u, v) between keys whose texts are similar. texts: key, text; equal texts have one key."""
     banded = sized(texts).mapInArrow(lean(lambda it: _banded(it, size)), "key long, bands array<long>")
     rows = written(banded.dropDuplicates(["key"]), "bands").select("key", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most")
-    groups = written(components(rows.join(shared.drop("most"), "bucket").select(F.col("key").alias("u"), F.col("least").alias("v"))), "groups")
+    shared = rows.groupBy("bucket").agg(F.min("key").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    shared = written(shared, "shared")
+    stars = dealt_join(rows, shared, "bucket", "n", share(rows, rows.count()), ["key"])
+    groups = written(components(stars.select(F.col("key").alias("u"), F.col("least").alias("v"))), "groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    groups = groups.join(sizes, "root").select(F.col("node").alias("key"), "root", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    members = texts.join(groups, "key").dropDuplicates(["key"])
+    n = groups.count()
+    groups = dealt_join(groups, sizes, "root", "n", share(groups, n), ["node"])
+    groups = groups.select(F.col("node").alias("key"), "root", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    if n <= MOST_KEYS:
+        # A counted number of keys goes to the texts: those without a candidate stay where they are.
+        texts = texts.join(F.broadcast(groups.select("key")), "key", "left_semi")
+    # Copies of a text are one row before they leave their task, so a text that a third of the rows share is no large group.
+    members = texts.dropDuplicates(["key"]).join(groups, "key")
     mine = F.pmod(F.xxhash64("key", F.lit(7)), F.col("tiles")).cast("int")
     # Each pair of tiles is a task; one tile alone is a pair with itself.
     others = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: (F.col("tiles") == 1) | (o != mine))
@@ -364,11 +433,11 @@ def similar_links(texts: DataFrame, size: int, similarity: float) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The columns of `docs`, one row of each near-duplicate class: that of its smallest doc_id, null ids last.
+    """The columns of `docs`, one row of each near-duplicate class: that of its smallest doc_id, null ids last, then of
+    the least text hash. Rows that share an id but not a class all stay, null ids too: one of each class.
 
-    Texts are linked by the exact Jaccard similarity of their sets of shingles. Fingerprints can't retrieve 0.8: such
-    texts are some ten of 64 bits apart, and parts that survive so many changes are too short for buckets. Candidates
-    agree in one of BANDS bands of BAND_ROWS minima instead: at 0.8 all but four in a million pairs do, nearer ones more."""
+    Texts are linked by the exact Jaccard similarity of their sets of shingles; at 0.8 the bands retrieve all but four in
+    a million pairs, nearer ones more."""
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     texts = docs.select(key.alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     roots = components(similar_links(texts, size, similarity)).withColumnRenamed("node", "key")

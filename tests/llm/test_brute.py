@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkquill.llm import components, license_scan, merkle, mixing, oracles, piece_codec, quality, simhash_dedup, substring_dedup, token_rollup
+from sparkquill.llm import components, license_scan, merkle, mixing, oracles, piece_codec, quality, simhash_dedup, skew, substring_dedup, token_rollup
 
 from .conftest import SCHEMA, prose, rows_of_edges
 
@@ -264,7 +264,7 @@ def grams(text, size):
     return [b" ".join(w[i : i + size]) for i in range(len(w) - size + 1)] or ([b" ".join(w)] if w else [])
 
 
-def test_simhash(spark):
+def test_simhash(spark, monkeypatch):
     r = random.Random(5)
     texts = [prose(i, 80) for i in range(60)]
     for i in range(40):
@@ -287,7 +287,10 @@ def test_simhash(spark):
                 if label[a] is None:
                     label[a] = i
                     todo += [b for b in fps if label[b] is None and (fps[a] ^ fps[b]).bit_count() <= 4]
-    for extra in (None, 2, 4):
+    # Buckets over the size are parted, then tiled; keys over the share are dealt.
+    for extra, tile, few in ((None, 4096, 256), (2, 3, 256), (4, 4096, 1)):
+        monkeypatch.setattr(simhash_dedup, "TILE", tile)
+        monkeypatch.setattr(skew, "FEW", few)
         got = {x["doc_id"]: (x["fp"] % (1 << 64), x["component_id"]) for x in simhash_dedup.classes(df, extra=extra).collect()}
         assert got == {i: (fps[i], label[i]) for i in fps}
 
@@ -323,6 +326,34 @@ def test_similar_texts(spark):
     assert len(got) == len(want) and found == want
 
 
+def test_screen_and_forest():
+    """Bit planes before exact sets lose no pair; sets at 0.8 are nearer than the screen by far."""
+    r = np.random.default_rng(9)
+    sets = []
+    for i in range(60):
+        base = r.integers(0, 1 << 63, int(r.integers(0, 200)) if i else 0, dtype=np.uint64) * np.uint64(2)
+        for _ in range(int(r.integers(1, 5))):
+            drop = base[r.random(len(base)) > r.choice([0, 0.05, 0.1, 0.2])]
+            sets.append(np.unique(drop))
+    near = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])]
+    fps = [simhash_dedup._majority(x) for x in sets]
+    assert max((fps[i] ^ fps[j]).bit_count() for i, j in pairs) <= simhash_dedup.SCREEN - 4
+    got = simhash_dedup.similar_forest(sets, 0.8)
+    assert all(near(sets[i], sets[j]) for i, j in got)
+    label = simhash_dedup._forest(len(sets), np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+    own = simhash_dedup._forest(len(sets), np.array([p[0] for p in got]), np.array([p[1] for p in got]))
+    assert np.array_equal(label, own)
+
+
+def test_dealt_join(spark, monkeypatch):
+    monkeypatch.setattr(skew, "FEW", 10)
+    rows = spark.range(1000).select("id", F.when(F.col("id") < 700, 0).otherwise(F.col("id") % 50).alias("k"))
+    lookup = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m"))
+    got = skew.dealt_join(rows, lookup, "k", "n", skew.share(rows, 1000), ["id"])
+    assert sorted(map(tuple, got.select("id", "k", "n", "m").collect())) == sorted(map(tuple, rows.join(lookup, "k").select("id", "k", "n", "m").collect()))
+
+
 def test_similar_texts_in_tiles(spark, monkeypatch):
     base = prose(7, 150).split(" ")
     texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(60)] + [prose(8, 100)]
@@ -336,7 +367,7 @@ def test_bit_planes():
     base = r.integers(0, 1 << 63, 6, dtype=np.uint64)
     fps = np.concatenate([base[r.integers(0, 6, 300)] ^ (np.uint64(1) << r.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 300).astype(np.uint64)), r.integers(0, 1 << 63, 100, dtype=np.uint64)])
     bucket = np.sort(r.integers(0, 3, 400))
-    for radius in range(7):
+    for radius in (*range(9), 15, 28, 31, 40, 63):
         got = {(int(a), int(b)) for x, y in simhash_dedup.close_pairs(fps, bucket, np.zeros(400, int), np.zeros(400, bool), radius) for a, b in zip(x, y, strict=True)}
         want = {(i, j) for i in range(400) for j in range(i + 1, 400) if bucket[i] == bucket[j] and (int(fps[i]) ^ int(fps[j])).bit_count() <= radius}
         assert got == want
