@@ -163,41 +163,70 @@ def features(value: Column, before: Column, after: Column, odds: dict[str, float
 # The forest
 
 
-def _node(node, x) -> Column:
-    if node.subtreeDepth() == 0:
-        stats = node.impurityStats().stats()
-        return F.lit(float(stats[1]) / max(1e-9, float(stats[0]) + float(stats[1])))
-    split = node.split()
-    return F.when(x[FEATURES[split.featureIndex()]] <= F.lit(float(split.threshold())), _node(node.leftChild(), x)).otherwise(_node(node.rightChild(), x))
-
-
 class Forest:
-    """A trained forest: `score` is its mean probability as an expression over a struct of features."""
+    """A trained forest as arrays over all nodes: the feature and bound of a split, its two children, and a leaf's
+    probability. Leaves lead to themselves, so a walk of DEPTH steps ends in one."""
 
-    def __init__(self, model, odds: dict[str, float]):
-        self.roots = [t._java_obj.rootNode() for t in model.trees]
+    def __init__(self, odds: dict[str, float]):
         self.odds = odds
+        self.roots: list[int] = []
+        self.feature: list[int] = []
+        self.bound: list[float] = []
+        self.low: list[int] = []
+        self.high: list[int] = []
+        self.value: list[float] = []
+
+    def add(self, node) -> int:
+        """Takes over a node of a trained tree and all below it; its number."""
+        at = len(self.value)
+        for column, empty in ((self.feature, 0), (self.bound, 0.0), (self.low, at), (self.high, at), (self.value, 0.0)):
+            column.append(empty)
+        if node.subtreeDepth() == 0:
+            stats = node.impurityStats().stats()
+            self.value[at] = float(stats[1]) / max(1e-9, float(stats[0]) + float(stats[1]))
+        else:
+            split = node.split()
+            self.feature[at], self.bound[at] = split.featureIndex(), float(split.threshold())
+            self.low[at], self.high[at] = self.add(node.leftChild()), self.add(node.rightChild())
+        return at
 
     def score(self, x: Column) -> Column:
-        total = F.lit(0.0)
-        for root in self.roots:
-            total = total + _node(root, x)
-        return total / F.lit(float(len(self.roots)))
+        """The trees' mean probability, as an expression over a struct of features."""
+        table = lambda values, kind: F.from_json(F.lit(str(values)), f"array<{kind}>")
+        feature, bound, low, high = table(self.feature, "int"), table(self.bound, "double"), table(self.low, "int"), table(self.high, "int")
+        leaf = table(self.value, "double")
+
+        def walked(features: Column, root: Column) -> Column:
+            step = lambda at, _: F.when(F.get(features, F.get(feature, at)) <= F.get(bound, at), F.get(low, at)).otherwise(F.get(high, at))
+            return F.get(leaf, F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), root, step))
+
+        total = lambda features: F.aggregate(F.transform(table(self.roots, "int"), lambda r: walked(features, r)), F.lit(0.0), lambda a, p: a + p)
+        return F.get(F.transform(F.array(F.array(*[x[n] for n in FEATURES])), total), F.lit(0)) / F.lit(float(len(self.roots)))
+
+
+_fitted: dict[int, Forest] = {}
 
 
 def train(spark: SparkSession, labelled: list[tuple[str, str, str, int]] | None = None) -> Forest:
-    """Fits the forest on labelled findings. They must be a bounded sample: the default has 2,400 rows."""
+    """The forest of labelled findings, which must be a bounded sample: the default has 2,400 rows. A sample is fitted
+    once; the forest holds plain numbers, so it serves any session of the process."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     sample = tuple(labelled or findings())
+    known = _fitted.get(hash(sample))
+    if known is not None:
+        return known
     odds = _odds(sample)
     rows = spark.createDataFrame(list(sample), "value string, before string, after string, label int").coalesce(1)
     cols = features(F.col("value"), F.col("before"), F.col("after"), odds)
     rows = rows.select(F.col("label").cast("double").alias("label"), *[c.cast("double").alias(n) for n, c in zip(FEATURES, cols, strict=True)])
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(vectors)
-    return Forest(model, odds)
+    forest = Forest(odds)
+    forest.roots = [forest.add(t._java_obj.rootNode()) for t in model.trees]
+    _fitted[hash(sample)] = forest
+    return forest
 
 
 def with_findings(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 """Secret scans by held-out accuracy; main text of pages by cases."""
 
+import hashlib
 import html.parser
 import os
 import random
@@ -7,6 +8,7 @@ import string
 import time
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from sparkquill.llm import html_main, secret_scan
@@ -56,6 +58,61 @@ def test_long_secrets(spark, forest, n, late):
     assert [x["v"] for x in found] == [[value], [value]]
 
 
+def plain_score(forest, value, before, after):
+    """Features and the forest's walk, written without Spark."""
+    n = len(value)
+    kinds = "".join("C" if c in string.ascii_uppercase else "v" if c in "aeiouy" else "c" if c in string.ascii_lowercase else "d" if c in string.digits else "s" for c in value)
+    known = len(regex.sub("|".join(secret_scan.LISTED), "", value.lower()))
+    runs = sum(1 for i in range(n) if i == 0 or kinds[i] != kinds[i - 1])
+    beside = lambda names: regex.search(rf"(?i){names}[\"']?\s*[:=]?\s*[\"']?$", before) is not None
+    x = [
+        n,
+        sum(forest.odds[a + b] for a, b in zip(kinds, kinds[1:], strict=False)) / max(n - 1, 1),
+        runs / n,
+        1 - known / n,
+        bool(regex.search(r"[a-z]/[a-z]|[a-z]\.[a-z]{2,5}$|://", value) or regex.search("[/@]$", before)) + sum(c in "/." for c in value) / n,
+        sum(c in string.digits for c in value) / n,
+        bool(regex.fullmatch("[0-9a-f]+", value) and regex.search("[a-f]", value)),
+        bool(regex.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value)),
+        len(set(value)) / min(n, 40),
+        beside(f"(?:{secret_scan.NAMES})"),
+        regex.search("[:=]\\s*[\"']?$", before) is not None,
+        beside(rf"\b(?:{secret_scan.AGAINST})"),
+        sum(c not in string.ascii_letters + string.digits for c in value) / n,
+    ]
+    total = 0.0
+    for at in forest.roots:
+        while forest.low[at] != at:
+            at = forest.low[at] if x[forest.feature[at]] <= forest.bound[at] else forest.high[at]
+        total += forest.value[at]
+    return total / len(forest.roots)
+
+
+def test_scan_against_plain_python(spark, forest):
+    """Whole scans of texts full of findings: candidates, verdicts and redacted texts."""
+    r = random.Random(17)
+    made = secret_scan.findings(240, seed=5)
+    texts = []
+    for i in range(0, 240, 4):
+        texts.append("\n".join(b + v + a for v, b, a, _ in made[i : i + r.randint(1, 4)]))
+    texts += ["", None, "no candidate", "token = 'short'", "é漢😀 pwd: abcdefgh1 é", made[0][0] + made[1][0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in secret_scan.scanned(df, forest).collect()}
+    found = 0
+    for i, text in enumerate(texts):
+        t, out, at, n, secrets = text or "", "", 0, 0, 0
+        spans = [m.span() for m in regex.finditer(secret_scan.CANDIDATE, t)]
+        for k, (a, b) in enumerate(spans):
+            before, after = t[at:a][-secret_scan.BEFORE :], t[b : spans[k + 1][0] if k + 1 < len(spans) else len(t)][: secret_scan.AFTER]
+            hit = round(plain_score(forest, t[a:b], before, after), 6) >= 0.5
+            out += t[at:a] + (secret_scan.MARK if hit else t[a:b])
+            at, n, secrets = b, n + 1, secrets + hit
+        out += t[at:]
+        assert (got[i]["n_candidates"], got[i]["n_secrets"], got[i]["redacted_sha256"]) == (n, secrets, hashlib.sha256(out.encode()).hexdigest())
+        found += secrets
+    assert found > 30
+
+
 def test_two_in_one(spark, forest):
     a, b = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "c6e3f1a2b4d5968778695a4b3c2d1e0f"
     df = spark.createDataFrame([(1, f'x token = "{a}" and password: {b}, commit {a} and token = "{a}"')], "doc_id long, text string")
