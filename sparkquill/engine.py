@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,8 @@ class Config:
     max_chunk_chars: int = 500
     overlap_chars: int = 50
     top_k: int = 10
+    #: Vectors from which on a search asks the approximate index; fewer are scanned.
+    approximate_from: int = 10_000
     token_budget: int = 2000
     fusion: fusion.Fusion = fusion.SERVICE
 
@@ -49,7 +52,8 @@ class Engine:
     def add(self, incoming: DataFrame) -> DataFrame:
         """incoming (seq, content, name, metadata): chunked, embedded and stored; repeats are found before any of that.
 
-        Returns seq, source_id, is_duplicate, message, chunk_count."""
+        Sources stay pending until their chunks are stored, and pending sources are chunked anew: a call that was stopped
+        anywhere is made good by the next, without a chunk twice. Returns seq, source_id, is_duplicate, message, chunk_count."""
         sources, results = store.add_sources(self.sources, incoming)
         self.store.put("results", results)
         self.store.mark_dirty()
@@ -57,19 +61,36 @@ class Engine:
         results = self.store.get("results")
         fresh = self.sources.filter(F.col("status") == store.PENDING)
         new = embedded(chunking.chunked(fresh, self.config.max_chunk_chars, self.config.overlap_chars), self.embed)
-        self.store.put("chunks", store.add_chunks(self.chunks, new), ["source_id"])
+        kept = self.chunks.join(fresh.select("source_id"), "source_id", "left_anti").select(store.CHUNKS.names)
+        self.store.put("chunks", store.add_chunks(kept, new), ["source_id"])
         done = fresh.select("source_id", F.lit(store.COMPLETED).alias("status"), F.lit(1).alias("seq"))
         self.store.put("sources", store.update_status(self.sources, done))
         counts = store.chunk_counts(self.chunks)
         return results.join(counts, "source_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
 
     def rebuild(self) -> None:
-        """The keyword index from the chunks; vectors are read from their table."""
+        """The keyword index from the chunks, and the vector index where there are enough of them."""
         index = bm25.build(self.chunks, "chunk_id", "content")
         self.store.put("postings", index.postings, ["term"])
         self.store.put("stats", index.stats)
+        cells = vector.CellIndex.build(self._vectors()) if self._vectors().count() >= self.config.approximate_from else None
+        if cells is not None:
+            version = uuid.uuid4().hex
+            cells.save(f"{self.store.root}/vectors/{version}")
+            self.store.point("vectors", version)
         self.store.clean()
 
+    def _vectors(self) -> DataFrame:
+        return self.chunks.select(F.col("chunk_id").alias("id"), "embedding").filter(F.size("embedding") > 0)
+
+    def vector_index(self) -> vector.CellIndex | None:
+        """The saved vector index, or None where vectors are few and scanned."""
+        if self.store.dirty:
+            self.rebuild()
+        if not self.store.exists("vectors") or self._vectors().count() < self.config.approximate_from:
+            return None
+        return vector.CellIndex.load(self.spark, f"{self.store.root}/vectors/{self.store.version('vectors')}")
+
     def index(self) -> bm25.Index:
         if self.store.dirty:
             self.rebuild()
@@ -89,15 +110,17 @@ class Engine:
     def _embedded(self, queries: DataFrame) -> DataFrame:
         return queries if "embedding" in queries.columns else queries.withColumn("embedding", self.embed(F.col("query")))
 
-    def search(self, queries: DataFrame, k: int | None = None, source_ids: list[int] | None = None) -> DataFrame:
-        """Vector search: qid, rank, chunk_id, source_id, chunk_index, content, similarity, metadata.
+    def search(self, queries: DataFrame, k: int | None = None, source_ids: list[int] | None = None, exact: bool = False) -> DataFrame:
+        """Vector search: qid, rank, chunk_id, source_id, chunk_index, content, similarity, metadata. Many vectors are
+        searched through the approximate index unless exact.
 
         In named sources it is the hybrid search with all weight on vectors, and similarity is the fused score."""
         if source_ids:
             hits = self.search_hybrid(queries, k, fusion.Filter(source_ids), fusion.Fusion(60, 1.0, 0.0))
             return hits.withColumn("similarity", F.col("score"))
-        vectors = self.chunks.select(F.col("chunk_id").alias("id"), "embedding")
-        hits = vector.topk(vectors, self._embedded(queries), k or self.config.top_k)
+        cells = None if exact else self.vector_index()
+        asked, k = self._embedded(queries), k or self.config.top_k
+        hits = cells.search(asked, k) if cells is not None else vector.topk(self._vectors(), asked, k)
         return fusion.with_content(hits, self.chunks, self.sources).withColumnRenamed("doc_id", "chunk_id")
 
     def search_hybrid(self, queries: DataFrame, k: int | None = None, chosen: fusion.Filter | None = None, config: fusion.Fusion | None = None) -> DataFrame:

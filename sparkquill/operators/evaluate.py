@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkquill.functions.text import collapse, utf16_length
-from sparkquill.operators.fusion import Fusion, fuse
+from sparkquill.operators.fusion import rrf_score
 
 #: Fixed values: (vector weight, keyword weight) of a sweep, in order; of equal summaries the first is the best.
 WEIGHTS = [(0.0, 1.0), (0.2, 0.8), (0.4, 0.6), (0.5, 0.5), (0.6, 0.4), (0.8, 0.2), (1.0, 0.0)]
@@ -73,15 +73,19 @@ def hit_metrics(ranks: DataFrame, by: list[str]) -> DataFrame:
 
 
 def weight_sweep(vector_ranks: DataFrame, bm25_ranks: DataFrame, expected: DataFrame, k: int = 3) -> DataFrame:
-    """Hit metrics of every pair of weights, over the same candidates: setting, weights, figures, is_best.
+    """Hit metrics of every pair of weights, over candidates that are joined once: setting, weights, figures, is_best.
 
     expected (qid, doc_id). The best has the most at 1000 x hit1 + 10 x mrr3, of equal ones the first."""
-    out = None
-    for i, (v, b) in enumerate(WEIGHTS):
-        top = fuse(vector_ranks, bm25_ranks, k, Fusion(60, v, b))
-        own = expected.join(top.select("qid", "doc_id", "rank"), ["qid", "doc_id"], "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
-        one = hit_metrics(own.withColumn("setting", F.lit(i)).withColumn("vector_weight", F.lit(v)).withColumn("bm25_weight", F.lit(b)), ["setting", "vector_weight", "bm25_weight"])
-        out = one if out is None else out.unionByName(one)
+    v = vector_ranks.select("qid", "doc_id", F.col("rank").alias("vector_rank"))
+    b = bm25_ranks.select("qid", "doc_id", F.col("rank").alias("bm25_rank"))
+    both = v.join(b, ["qid", "doc_id"], "full_outer")
+    part = lambda c, w: F.coalesce(F.lit(w) * rrf_score(F.col(c), 60), F.lit(0.0))
+    settings = F.array(*[F.struct(F.lit(i).alias("setting"), F.lit(x).alias("vector_weight"), F.lit(y).alias("bm25_weight"), (part("vector_rank", x) + part("bm25_rank", y)).alias("score")) for i, (x, y) in enumerate(WEIGHTS)])
+    order = Window.partitionBy("qid", "setting").orderBy(F.desc(F.round("score", 12)), F.asc("doc_id"))
+    top = both.select("qid", "doc_id", F.inline(settings)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    weights = F.array(*[F.struct(F.lit(i).alias("setting"), F.lit(x).alias("vector_weight"), F.lit(y).alias("bm25_weight")) for i, (x, y) in enumerate(WEIGHTS)])
+    own = expected.select("qid", "doc_id", F.inline(weights)).join(top.select("qid", "doc_id", "setting", "rank"), ["qid", "doc_id", "setting"], "left")
+    out = hit_metrics(own.withColumn("rank", F.coalesce("rank", F.lit(0))), ["setting", "vector_weight", "bm25_weight"])
     # One row per setting.
     w = Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round(1000 * F.col("hit1") + 10 * F.col("mrr3"), 9)), "setting")
     return out.withColumn("is_best", F.row_number().over(w) == 1)

@@ -1,7 +1,7 @@
 """Sources, chunks and flat documents as tables: ingest without repeats, changes, the recent buffer and its merge.
 
-Tables are values: an operation takes DataFrames and returns new ones. `Store` keeps them in a folder as numbered
-snapshots; a snapshot counts once its folder is complete and the pointer names it, so readers see old or new."""
+Tables are values: an operation takes DataFrames and returns new ones. `Store` keeps them in a folder as snapshots; a
+snapshot counts once its folder is complete and a pointer of a higher number names it, so readers see old or new."""
 
 from __future__ import annotations
 
@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkquill.files import Files
 from sparkquill.functions.text import content_hash
+from sparkquill.skew import dealt_join, share
+from sparkquill.tables import written
 
 _L, _S, _I, _V = T.LongType(), T.StringType(), T.IntegerType(), T.ArrayType(T.FloatType())
 
@@ -48,45 +51,49 @@ def migrated(df: DataFrame, schema: T.StructType, defaults: dict[str, Column] |
 def numbered(rows: DataFrame, order: list[str], name: str, first: int) -> DataFrame:
     """Consecutive ids from `first` on in the given order, without a task that sees all rows.
 
-    Rows are sorted into ranges; the ranges' sizes give each its first id."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    Rows are sorted into ranges and written once with their range's number, so that no second evaluation can deal them
+    otherwise; the ranges' sizes give each its first id."""
+    ranged = written(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "numbered")
     w = Window.partitionBy("__p").orderBy(*order)
     here = ranged.withColumn("__n", F.row_number().over(w))
-    sizes = here.groupBy("__p").agg(F.max("__n").alias("__size"))
+    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__size"))
     # One row per range: a window over them sees as many rows as there are partitions.
     before = sizes.withColumn("__before", F.sum("__size").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))
     joined = here.join(before.select("__p", F.coalesce("__before", F.lit(0)).alias("__before")), "__p")
     return joined.withColumn(name, (F.col("__before") + F.col("__n") + F.lit(first - 1)).cast("long")).drop("__p", "__n", "__before")
 
 
-def first_of_each_text(incoming: DataFrame, seq: str) -> DataFrame:
-    """is_first and first_seq of every incoming row (columns content, seq), by content hash.
+def _texts(incoming: DataFrame, seq: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows seq, content_hash; texts content_hash, first_seq, n and the columns of `known` by hash). No text moves: hashes
+    are grouped with partial minima, so a text that a third of the rows share is no large group."""
+    rows = written(incoming.select(seq, content_hash(F.col("content")).alias("content_hash")), "hashes")
+    firsts = rows.groupBy("content_hash").agg(F.min(seq).alias("first_seq"), F.count("*").alias("n"))
+    return rows, firsts.join(known, "content_hash", "left")
 
-    Hashes are grouped with partial minima: a text that a third of the rows share is no large group."""
-    rows = incoming.withColumn("content_hash", content_hash(F.col("content")))
-    firsts = rows.groupBy("content_hash").agg(F.min(seq).alias("first_seq"))
-    return rows.join(firsts, "content_hash").withColumn("is_first", F.col(seq) == F.col("first_seq"))
+
+def _answers(rows: DataFrame, texts: DataFrame, seq: str) -> DataFrame:
+    """Every row with what its text has; a text of many rows is dealt over several tasks."""
+    return dealt_join(rows, texts, "content_hash", "n", share(rows, rows.count()), [seq])
 
 
 def add_sources(sources: DataFrame, incoming: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
     """incoming (seq, content, and if there are any metadata, name) -> (sources with the new ones, results).
 
     A text that is stored, or came before in the batch, is a duplicate of it. Results: seq, source_id, is_duplicate,
-    message. New ids follow the largest, in order of seq; new sources are pending."""
+    message. New ids follow the largest, in order of seq; new sources are pending. Only new texts move, once."""
     for c in ("metadata", "name"):
         if c not in incoming.columns:
             incoming = incoming.withColumn(c, F.lit(None).cast("string"))
-    rows = first_of_each_text(incoming, seq)
     known = sources.groupBy("content_hash").agg(F.min("source_id").alias("known_id"))
-    rows = rows.join(known, "content_hash", "left")
-    fresh = rows.filter(F.col("is_first") & F.col("known_id").isNull())
+    rows, texts = _texts(incoming, seq, known)
     top = sources.agg(F.max("source_id")).first()[0] or 0
-    fresh = numbered(fresh, [seq], "source_id", top + 1)
-    new = fresh.select("source_id", "content", "content_hash", "metadata", F.current_timestamp().alias("created_at"), "name", F.lit(PENDING).alias("status"))
-    ids = fresh.select("content_hash", F.col("source_id").alias("new_id"))
-    results = rows.join(ids, "content_hash", "left")
+    fresh = numbered(texts.filter(F.col("known_id").isNull()).select("content_hash", "first_seq"), ["first_seq"], "new_id", top + 1)
+    new = incoming.join(fresh, F.col(seq) == F.col("first_seq"))
+    new = new.select(F.col("new_id").alias("source_id"), "content", "content_hash", "metadata", F.current_timestamp().alias("created_at"), "name", F.lit(PENDING).alias("status"))
+    texts = texts.join(fresh.select("content_hash", "new_id"), "content_hash", "left")
+    results = _answers(rows, texts, seq)
     source_id = F.coalesce("known_id", "new_id")
-    dup = F.col("known_id").isNotNull() | ~F.col("is_first")
+    dup = F.col("known_id").isNotNull() | (F.col(seq) != F.col("first_seq"))
     message = F.when(dup, F.concat(F.lit("Source already exists (id="), source_id.cast("string"), F.lit(")"))).otherwise(F.lit("Source added"))
     results = results.select(seq, source_id.alias("source_id"), dup.alias("is_duplicate"), message.alias("message"))
     return sources.unionByName(new), results
@@ -101,12 +108,14 @@ def add_chunks(chunks: DataFrame, incoming: DataFrame) -> DataFrame:
 def add_documents(docs: DataFrame, incoming: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
     """incoming (seq, content, embedding) -> (docs, results seq, success, is_duplicate). A row without an embedding fails."""
     usable = F.coalesce(F.size("embedding"), F.lit(0)) > 0
-    rows = first_of_each_text(incoming.filter(usable), seq)
-    rows = rows.join(docs.select("content_hash", F.lit(True).alias("__known")).distinct(), "content_hash", "left")
-    fresh = rows.filter(F.col("is_first") & F.col("__known").isNull())
+    known = docs.select("content_hash").distinct().withColumn("__known", F.lit(True))
+    rows, texts = _texts(incoming.filter(usable), seq, known)
     top = docs.agg(F.max("doc_id")).first()[0] or 0
-    new = numbered(fresh, [seq], "doc_id", top + 1).select("doc_id", "content", "content_hash", F.col("embedding").cast("array<float>").alias("embedding"))
-    good = rows.select(seq, F.lit(True).alias("success"), (F.col("__known").isNotNull() | ~F.col("is_first")).alias("is_duplicate"))
+    fresh = numbered(texts.filter(F.col("__known").isNull()).select("content_hash", "first_seq"), ["first_seq"], "doc_id", top + 1)
+    new = incoming.join(fresh, F.col(seq) == F.col("first_seq"))
+    new = new.select("doc_id", "content", "content_hash", F.col("embedding").cast("array<float>").alias("embedding"))
+    dup = F.col("__known").isNotNull() | (F.col(seq) != F.col("first_seq"))
+    good = _answers(rows, texts, seq).select(seq, F.lit(True).alias("success"), dup.alias("is_duplicate"))
     bad = incoming.filter(~usable).select(seq, F.lit(False).alias("success"), F.lit(False).alias("is_duplicate"))
     return docs.unionByName(new), good.unionByName(bad)
 
@@ -185,15 +194,17 @@ def buffer_stats(buffer: DataFrame, index_loaded: bool) -> DataFrame:
     return buffer.agg(size).select("buffer_size", F.lit(MERGE_AT).alias("threshold"), F.lit(index_loaded).alias("index_loaded"), (F.col("buffer_size") >= MERGE_AT).alias("needs_merge"))
 
 
-def incremental_search(buffer: DataFrame, index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest of buffer and index together: qid, doc_id, distance, origin. The index gives its 2k best; an id in
-    both counts once, by its smaller distance, the buffer's first."""
-    from sparkquill.operators.vector import topk
+def incremental_search(buffer: DataFrame, index, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest of buffer and index together: qid, doc_id, distance, origin. The index, a table or a CellIndex, gives
+    its 2k best, and so does the buffer; an id in both counts once, by its smaller distance, the buffer's first."""
+    from sparkquill.operators.vector import CellIndex, topk
 
     as_rows = lambda df: df.select(F.col("doc_id").alias("id"), "embedding")
-    recent = topk(as_rows(buffer), queries, None).withColumn("origin", F.lit("buffer"))
-    stored = topk(as_rows(index), queries, 2 * k).withColumn("origin", F.lit("hnsw"))
-    both = recent.unionByName(stored).withColumn("distance", 1 - F.col("similarity"))
+    # Of repeats of an id in the buffer the nearest counts, so k others can't be hidden by them.
+    once = buffer.select("doc_id", "embedding").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    recent = topk(as_rows(buffer), queries, 2 * k * once).withColumn("origin", F.lit("buffer"))
+    stored = index.search(queries, 2 * k) if isinstance(index, CellIndex) else topk(as_rows(index), queries, 2 * k)
+    both = recent.unionByName(stored.withColumn("origin", F.lit("hnsw"))).withColumn("distance", 1 - F.col("similarity"))
     near = Window.partitionBy("qid", "doc_id").orderBy(F.round("distance", 12), "origin")
     once = both.withColumn("__n", F.row_number().over(near)).filter("__n = 1")
     order = Window.partitionBy("qid").orderBy(F.round("distance", 12), "origin", "doc_id")
@@ -201,47 +212,47 @@ def incremental_search(buffer: DataFrame, index: DataFrame, queries: DataFrame,
 
 
 def merged(index: DataFrame, buffer: DataFrame) -> DataFrame:
-    """The index with the buffer's rows in place of its own of the same id; of repeats in the buffer one stays."""
-    fresh = buffer.groupBy("doc_id").agg(F.max(F.struct("embedding"))["embedding"].alias("embedding"))
+    """The index with the buffer's rows in place of its own of the same id. Of repeats in the buffer the last stays: that
+    of the greatest `seq`, the order of arrival. A buffer without `seq` has no order; its greatest vector stays."""
+    last = F.max_by("embedding", "seq") if "seq" in buffer.columns else F.max(F.struct("embedding"))["embedding"]
+    fresh = buffer.groupBy("doc_id").agg(last.alias("embedding"))
     return index.join(fresh.select("doc_id"), "doc_id", "left_anti").select("doc_id", "embedding").unionByName(fresh)
 
 
 class Store:
-    """Named tables in a folder that driver and executors share."""
+    """Named tables in a folder that driver and executors share.
+
+    A table's pointers are numbered files that are made whole and never replaced; the highest counts. A put writes its
+    snapshot, then the next pointer, then takes older pointers away: whenever it ends, the old or the new table is there."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.files = Files(spark, root)
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/current/{name}"
-
-    def _write_text(self, path: str, text: str) -> None:
-        fs, p = self._fs(path)
-        _, draft = self._fs(f"{self.root}/drafts/{uuid.uuid4().hex}")
-        fs.mkdirs(p.getParent())
-        out = fs.create(draft, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        fs.delete(p, False)
-        fs.rename(draft, p)
+    def _pointers(self, name: str) -> list[int]:
+        return sorted(int(n) for n in self.files.names(f"{self.root}/current/{name}") if n.isdigit())
 
     def exists(self, name: str) -> bool:
-        fs, p = self._fs(self._pointer(name))
-        return fs.exists(p)
+        return bool(self._pointers(name))
 
     def version(self, name: str) -> str:
-        return self.spark.read.text(self._pointer(name)).first()[0]
+        return self.files.text(f"{self.root}/current/{name}/{self._pointers(name)[-1]}")
 
     def put(self, name: str, df: DataFrame, by: list[str] | None = None) -> None:
-        """A new snapshot: complete before the pointer names it. by: columns that rows are clustered by."""
+        """A new snapshot: complete before a pointer names it. by: columns that rows are clustered by."""
         version = uuid.uuid4().hex
         out = df.repartition(*by).sortWithinPartitions(*by) if by else df
         out.write.parquet(f"{self.root}/tables/{name}/{version}")
-        self._write_text(self._pointer(name), version)
+        self.point(name, version)
+
+    def point(self, name: str, version: str) -> None:
+        """Makes a complete snapshot the newest. The pointer before it stays for readers that have just seen it."""
+        before = self._pointers(name)
+        number = before[-1] + 1 if before else 1
+        while not self.files.put_once(f"{self.root}/current/{name}/{number}", version):
+            number += 1
+        for old in before[:-1]:
+            self.files.delete(f"{self.root}/current/{name}/{old}")
 
     def get(self, name: str, schema: T.StructType | None = None) -> DataFrame:
         if not self.exists(name):
@@ -252,26 +263,24 @@ class Store:
         return migrated(df, schema) if schema is not None else df
 
     def init(self) -> None:
-        """Creates what is missing and brings old tables into shape."""
+        """Creates what is missing and brings old tables into shape. A table without a pointer but with a snapshot was
+        stopped in its first put: nothing had been stored in it."""
         for name, schema in (("sources", SOURCES), ("chunks", CHUNKS), ("docs", DOCS)):
             if not self.exists(name) or set(self.get(name).columns) != set(schema.names):
                 self.put(name, self.get(name, schema))
 
     def clear(self) -> None:
         """All tables and indexes go; then the empty tables are made anew."""
-        fs, p = self._fs(self.root)
-        fs.delete(p, True)
+        self.files.delete(self.root)
         self.init()
 
     def mark_dirty(self) -> None:
         """Says that indexes lag behind the tables; a rebuild takes the mark away."""
-        self._write_text(f"{self.root}/dirty", "1")
+        self.files.put_once(f"{self.root}/dirty", "1")
 
     @property
     def dirty(self) -> bool:
-        fs, p = self._fs(f"{self.root}/dirty")
-        return fs.exists(p)
+        return self.files.exists(f"{self.root}/dirty")
 
     def clean(self) -> None:
-        fs, p = self._fs(f"{self.root}/dirty")
-        fs.delete(p, False)
+        self.files.delete(f"{self.root}/dirty")

@@ -259,6 +259,7 @@ def all_of() -> dict[str, str]:
         "vector_topk_batch": f"SELECT qid, doc_id, round(similarity, 6) similarity, rank FROM {v20(near(vecs, vec_asked), K)}",
         "vector_self_join_label": f"""SELECT a.label, count(*) n, sum((a.label = b.label)::INT)::BIGINT same FROM (SELECT qid, arg_min(doc_id, rank) doc_id FROM {v20(near(vecs, 'SELECT vec_id qid, embedding FROM embeddings'), 2)} WHERE qid <> doc_id GROUP BY qid) t
             JOIN embeddings a ON a.vec_id = t.qid JOIN embeddings b ON b.vec_id = t.doc_id GROUP BY a.label""",
+        "vector_cells": f"SELECT count(DISTINCT qid) n_queries, count(*) n_exact, true AS recalled FROM {v20(near(vecs, vec_asked), K)}",
         "mean_pool": "SELECT label, (pos - 1)::BIGINT pos, round(avg(embedding[pos]::DOUBLE), 6) AS value FROM embeddings, range(1, 65) r(pos) GROUP BY label, pos",
         "search_chunks": f"SELECT qid, rank, t.doc_id chunk_id, {SRC} source_id, md5(text) digest, 'Publisher ' || source metadata, round(similarity, 6) similarity FROM {v20(hv, 5)} t JOIN documents d ON d.doc_id = t.doc_id",
         "search_similar": f"SELECT qid, rank, md5(text) digest FROM {v20(hv, 3)} t JOIN documents d ON d.doc_id = t.doc_id",
@@ -274,7 +275,7 @@ def all_of() -> dict[str, str]:
             vr AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY qid ORDER BY rank) rank FROM v0 WHERE doc_id IN ({liked})),
             br AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY qid ORDER BY rank) rank FROM b0 WHERE doc_id IN ({liked})) SELECT {out_f} FROM {fused(K, None, 'vr', 'br', 0.5, 0.5)}""",
         "search_hybrid_simple": f"WITH {bm25('b', DOCS, ASKED)}, vr AS (SELECT * FROM {v20(hv, 6)}), br AS (SELECT * FROM {ranked('b', 6)}) SELECT qid, rank, md5(text) digest FROM {fused(3, None, 'vr', 'br', 0.5, 0.5)} f JOIN documents d ON d.doc_id = f.doc_id",
-        "content_fetch": f"SELECT doc_id, CASE WHEN lang = 'en' THEN doc_id ELSE {SRC} END source_id, CASE WHEN lang = 'en' THEN 0 ELSE doc_id END::INT chunk_index, CASE WHEN lang = 'en' THEN NULL ELSE 'Publisher ' || source END metadata, md5(text) digest FROM documents WHERE doc_id < 2000",
+        "content_fetch": f"SELECT doc_id, CASE WHEN lang = 'en' THEN doc_id ELSE {SRC} END source_id, CASE WHEN lang = 'en' THEN 0 ELSE doc_id END::INT chunk_index, CASE WHEN lang = 'en' THEN NULL ELSE 'Publisher ' || source END metadata, md5(text) digest FROM documents",
         "dedup_ingest": f"""WITH d AS ({dedup}), f AS (SELECT h, min(doc_id) seq FROM d GROUP BY h), n AS (SELECT h, seq, row_number() OVER (ORDER BY seq) source_id FROM f)
             SELECT d.doc_id seq, n.source_id, d.doc_id <> n.seq is_duplicate, CASE WHEN d.doc_id <> n.seq THEN 'Source already exists (id=' || n.source_id || ')' ELSE 'Source added' END message FROM d JOIN n USING (h)""",
         "add_document": "SELECT doc_id seq, embedding IS NOT NULL success, embedding IS NOT NULL AND doc_id <> min(doc_id) FILTER (embedding IS NOT NULL) OVER (PARTITION BY text) is_duplicate FROM documents LEFT JOIN embeddings ON doc_id = vec_id",

@@ -12,35 +12,45 @@ from pyspark.sql.streaming import StreamingQuery
 from sparkquill.operators.store import MERGE_AT, Store, merged
 
 BUFFER = "doc_id long, embedding array<float>"
+#: The buffer's share of the index from which on a merge pays: the index is rewritten once for so many new rows.
+GROWTH = 0.1
 
 
 class Buffer:
-    """The recent buffer as one folder per micro-batch, beside the index table of a store."""
+    """The recent buffer as one folder per micro-batch, beside the index table of a store.
 
-    def __init__(self, spark: SparkSession, store: Store):
-        self.spark, self.store = spark, store
+    Rows keep the order in which they came: by batch, then as written. merge_at: rows from which on a merge is due; beside
+    an index of many rows it waits for a tenth of them, so that rewriting it stays in proportion to what came in."""
+
+    def __init__(self, spark: SparkSession, store: Store, merge_at: int = MERGE_AT, name: str = "index"):
+        self.spark, self.store, self.merge_at, self.name = spark, store, merge_at, name
         self.path = f"{store.root}/buffer"
 
     def add(self, rows: DataFrame, batch_id: int) -> None:
         """Applies a micro-batch; a second time it is written over by the same rows."""
-        rows.selectExpr("cast(doc_id as long) doc_id", "cast(embedding as array<float>) embedding").write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        rows = rows.selectExpr("cast(doc_id as long) doc_id", "cast(embedding as array<float>) embedding", "monotonically_increasing_id() at")
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
         self.store.mark_dirty()
 
     def rows(self) -> DataFrame:
-        fs, p = self.store._fs(self.path)
-        if not fs.exists(p):
-            return self.spark.createDataFrame([], BUFFER)
-        return self.spark.read.schema(BUFFER).option("recursiveFileLookup", "true").parquet(self.path)
+        """doc_id, embedding, seq (batch, at): the order of arrival."""
+        if not self.store.files.names(self.path):
+            df = self.spark.createDataFrame([], BUFFER + ", at long, batch long")
+        else:
+            df = self.spark.read.schema(BUFFER + ", at long, batch long").parquet(self.path)
+        return df.select("doc_id", "embedding", F.struct("batch", "at").alias("seq"))
+
+    def _index(self) -> DataFrame:
+        return self.store.get(self.name) if self.store.exists(self.name) else self.spark.createDataFrame([], BUFFER)
 
     def due(self) -> bool:
-        return self.rows().limit(MERGE_AT).count() >= MERGE_AT
+        waiting = self.rows().count()
+        return waiting >= self.merge_at and waiting >= GROWTH * self._index().count()
 
-    def merge(self, name: str = "index") -> None:
+    def merge(self) -> None:
         """Puts the buffer into the index table and empties it. If it fails between the two, merging again gives the same."""
-        index = self.store.get(name) if self.store.exists(name) else self.spark.createDataFrame([], BUFFER)
-        self.store.put(name, merged(index, self.rows()))
-        fs, p = self.store._fs(self.path)
-        fs.delete(p, True)
+        self.store.put(self.name, merged(self._index(), self.rows()))
+        self.store.files.delete(self.path)
         self.store.clean()
 
 

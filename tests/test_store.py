@@ -100,3 +100,96 @@ def test_threads():
     assert engine.threads(10, count=7) == 7
     with pytest.raises(ValueError):
         engine.threads(10, "low", 3)
+
+
+def test_the_last_of_repeats_stays(spark):
+    rows = [(1, [9.0], 0), (1, [2.0], 2), (1, [5.0], 1), (2, [1.0], 0)]
+    buffer = spark.createDataFrame(rows, "doc_id long, embedding array<float>, seq long")
+    index = spark.createDataFrame([(1, [7.0]), (3, [3.0])], "doc_id long, embedding array<float>")
+    assert sorted(map(tuple, store.merged(index, buffer).collect())) == [(1, [2.0]), (2, [1.0]), (3, [3.0])]
+
+
+def test_put_stopped_anywhere(spark, tmp_path, monkeypatch):
+    """Stopped before any of its steps on files, a put leaves the old or the new table, and init loses neither."""
+
+    class Stop(Exception):
+        pass
+
+    class Files(store.Files):
+        left = 99
+
+        def step(self):
+            Files.left -= 1
+            if Files.left < 0:
+                raise Stop
+
+        def put_once(self, *a):
+            self.step()
+            return super().put_once(*a)
+
+        def delete(self, *a):
+            self.step()
+            super().delete(*a)
+
+    monkeypatch.setattr(store, "Files", Files)
+    s = store.Store(spark, str(tmp_path / "s"))
+    s.init()
+    old, seen = 0, set()
+    for n in range(1, 9):
+        for stop in range(3):
+            Files.left = stop
+            try:
+                s.put("docs", store.migrated(spark.range(n).select(F.col("id").alias("doc_id"), F.lit("x").alias("content")), store.DOCS))
+                new = {n}
+            except Stop:
+                new = {old, n}
+            Files.left = 99
+            again = store.Store(spark, s.root)
+            again.init()
+            assert again.get("docs").count() in new
+            old = again.get("docs").count()
+            seen.add((stop, old == n))
+    assert (0, False) in seen and (1, True) in seen
+
+
+def test_numbering_holds_when_partitions_are_merged(spark):
+    rows = spark.range(5000).select(F.xxhash64("id").alias("seq"))
+    got = store.numbered(rows, ["seq"], "n", 1)
+    assert got.join(got.select(F.col("n").alias("m")), F.col("n") == F.col("m")).select("n").distinct().count() == 5000
+
+
+def test_add_is_made_good_after_a_stop(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(1, "Apples grow on trees.\n\nPears do too."), (2, "Cats sleep all day.")], "seq long, content string").withColumn("name", F.lit("a.txt")).withColumn("metadata", F.lit(None).cast("string"))
+    for stop in range(5):
+        e = engine.Engine(spark, str(tmp_path / f"e{stop}"), embed.hashing_embedder(8))
+        real, left = store.Store.put, [stop]
+
+        def put(self, *a, real=real, left=left):
+            if left[0] == 0:
+                raise RuntimeError("stopped")
+            left[0] -= 1
+            real(self, *a)
+
+        with monkeypatch.context() as m:
+            m.setattr(store.Store, "put", put)
+            try:
+                e.add(rows)
+            except RuntimeError:
+                pass
+        got = engine.Engine(spark, str(tmp_path / f"e{stop}"), embed.hashing_embedder(8))
+        got.add(rows)
+        assert got.sources.count() == 2
+        assert got.chunks.groupBy("source_id", "chunk_index").count().filter("count > 1").count() == 0
+        assert {r["status"] for r in got.sources.collect()} == {"completed"}
+        assert got.chunks.select("chunk_id").distinct().count() == got.chunks.count() > 1
+
+
+def test_engine_searches_its_vector_index(spark, tmp_path):
+    e = engine.Engine(spark, str(tmp_path / "v"), embed.hashing_embedder(16), engine.Config(approximate_from=5))
+    rows = [(i, f"text number {i} of {i * i} about {'cats dogs birds fish'.split()[i % 4]}", "a.txt", None) for i in range(30)]
+    e.add(spark.createDataFrame(rows, "seq long, content string, name string, metadata string"))
+    q = spark.createDataFrame([(0, "cats 16"), (1, "birds")], "qid long, query string")
+    near = {(r["qid"], r["chunk_id"]) for r in e.search(q, 3).collect()}
+    exact = {(r["qid"], r["chunk_id"]) for r in e.search(q, 3, exact=True).collect()}
+    assert e.vector_index() is not None
+    assert len(near & exact) >= 0.5 * len(exact) == 3
