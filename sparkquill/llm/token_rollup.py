@@ -27,11 +27,11 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkquill.files import Files
 from sparkquill.llm.quality import WHITE
 from sparkquill.tables import scratch_dir, written
 
@@ -85,44 +85,10 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _put(self, path: str, content: str) -> bool:
-        """Makes a file with its whole content in one step; False, without doing anything, if there is one."""
-        fs, p = self._fs(path)
-        _, draft = self._fs(f"{self.root}/_drafts/{uuid.uuid4().hex}")
-        out = fs.create(draft, False)
-        out.write(bytearray(content.encode()))
-        out.close()
-        fs.mkdirs(p.getParent())
-        try:
-            if fs.getScheme() != "file":
-                return bool(fs.rename(draft, p))
-            # A local rename replaces; a link doesn't.
-            local = self.spark._jvm.java.io.File
-            self.spark._jvm.java.nio.file.Files.createLink(local(p.toUri().getPath()).toPath(), local(draft.toUri().getPath()).toPath())
-            return True
-        except Py4JJavaError as e:
-            if "AlreadyExists" not in e.java_exception.getClass().getName():
-                raise
-            return False
-        finally:
-            if fs.exists(draft):
-                fs.delete(draft, False)
-
-    def _delete(self, path: str) -> None:
-        fs, p = self._fs(path)
-        fs.delete(p, True)
-
-    def _has(self, path: str) -> bool:
-        fs, p = self._fs(path)
-        return fs.exists(p)
+        self.files = Files(spark, root)
 
     def committed(self, batch: str) -> bool:
-        return self._has(f"{self.root}/_commits/{batch}")
+        return self.files.exists(f"{self.root}/_commits/{batch}")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Applies a batch; False, without doing anything, if it was applied before."""
@@ -130,22 +96,19 @@ class Rollup:
             return False
         attempt = uuid.uuid4().hex
         summed(changes).write.parquet(f"{self.root}/sums/attempt={attempt}")
-        if self._put(f"{self.root}/_commits/{batch}", attempt):
+        if self.files.put_once(f"{self.root}/_commits/{batch}", attempt):
             return True
-        self._delete(f"{self.root}/sums/attempt={attempt}")
+        self.files.delete(f"{self.root}/sums/attempt={attempt}")
         return False
 
     def _fold(self) -> tuple[int, str | None]:
         """Number and folder of the newest fold; 0 and None without one."""
-        fs, p = self._fs(f"{self.root}/_folds")
-        newest = max((int(f.getPath().getName()) for f in fs.listStatus(p)), default=0) if fs.exists(p) else 0
-        if not newest:
-            return 0, None
-        return newest, f"{self.root}/folds/{self.spark.read.text(f'{self.root}/_folds/{newest}', wholetext=True).first()[0]}"
+        newest = max(map(int, self.files.names(f"{self.root}/_folds")), default=0)
+        return (newest, f"{self.root}/folds/{self.files.text(f'{self.root}/_folds/{newest}')}") if newest else (0, None)
 
     def _marked(self, fold: str | None) -> DataFrame:
         """attempt: those of all markers that `fold` doesn't list."""
-        if not self._has(f"{self.root}/_commits"):
+        if not self.files.exists(f"{self.root}/_commits"):
             return self.spark.createDataFrame([], "attempt string")
         marked = self.spark.read.text(f"{self.root}/_commits", wholetext=True).select(F.col("value").alias("attempt"))
         return marked.join(self.spark.read.schema("attempt string").parquet(f"{fold}/attempts"), "attempt", "left_anti") if fold else marked
@@ -153,7 +116,7 @@ class Rollup:
     def _sums(self, fold: str | None, attempts: DataFrame) -> DataFrame:
         """The totals of a fold and of attempts that it doesn't list."""
         rows = self.spark.createDataFrame([], SUMS)
-        if self._has(f"{self.root}/sums"):
+        if self.files.exists(f"{self.root}/sums"):
             all_rows = self.spark.read.schema(SUMS + ", attempt string").parquet(f"{self.root}/sums")
             rows = rows.unionByName(all_rows.join(attempts, "attempt", "left_semi").drop("attempt"))
         if fold:
@@ -179,15 +142,15 @@ class Rollup:
         listed = new.unionByName(self.spark.read.schema("attempt string").parquet(f"{old}/attempts")) if old else new
         listed.write.parquet(f"{folder}/attempts")
         self._sums(old, new).write.parquet(f"{folder}/sums")
-        if not self._put(f"{self.root}/_folds/{number + 1}", folder.rsplit("/", 1)[1]):
-            self._delete(folder)
+        if not self.files.put_once(f"{self.root}/_folds/{number + 1}", folder.rsplit("/", 1)[1]):
+            self.files.delete(folder)
             return False
         if old:
             # What the fold before this one replaced: no reader that began since needs it.
             for r in self.spark.read.schema("attempt string").parquet(f"{old}/new").toLocalIterator():
-                self._delete(f"{self.root}/sums/attempt={r['attempt']}")
+                self.files.delete(f"{self.root}/sums/attempt={r['attempt']}")
             for f in range(1, number):
-                self._delete(f"{self.root}/_folds/{f}")
+                self.files.delete(f"{self.root}/_folds/{f}")
         return True
 
 

@@ -11,7 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkquill.llm import components, license_scan, merkle, mixing, oracles, piece_codec, quality, simhash_dedup, skew, substring_dedup, token_rollup
+from sparkquill import skew
+from sparkquill.llm import components, license_scan, merkle, mixing, oracles, piece_codec, quality, simhash_dedup, substring_dedup, token_rollup
 
 from .conftest import SCHEMA, prose, rows_of_edges
 
@@ -199,7 +200,8 @@ def test_rollup_stopped_anywhere(spark, tmp_path, monkeypatch):
         left = [at]
         with monkeypatch.context() as m:
             for name in names:
-                real = getattr(token_rollup.Rollup, name)
+                owner = token_rollup.Rollup if name.startswith("_") else token_rollup.Files
+                real = getattr(owner, name)
 
                 def call(self, *a, real=real):
                     left[0] -= 1
@@ -207,7 +209,7 @@ def test_rollup_stopped_anywhere(spark, tmp_path, monkeypatch):
                         raise Stop
                     return real(self, *a)
 
-                m.setattr(token_rollup.Rollup, name, call)
+                m.setattr(owner, name, call)
             try:
                 run()
             except Stop:
@@ -222,13 +224,13 @@ def test_rollup_stopped_anywhere(spark, tmp_path, monkeypatch):
         n += 1
         want = [("s", "en", "v", 2 * n, 10 * n)]
         assert total() == want
-        reached = stopped(store.compact, ["_put", "_delete", "_sums", "_marked"], at)
+        reached = stopped(store.compact, ["put_once", "delete", "_sums", "_marked"], at)
         assert total() == want
         assert not store.commit(f"b{n - 1}", token_rollup.inserts(counts, "v", "n"))
         stops.append(reached)
     # The first fold has nothing to delete; later ones do.
     assert stops == [True] * 4 + [False] + [True] * 7 + [False] * 2, stops
-    assert stopped(lambda: store.commit("late", token_rollup.inserts(counts, "v", "n")), ["_put"], 0)
+    assert stopped(lambda: store.commit("late", token_rollup.inserts(counts, "v", "n")), ["put_once"], 0)
     assert total() == want
     assert store.commit("late", token_rollup.inserts(counts, "v", "n"))
     assert total() == [("s", "en", "v", 2 * n + 1, 10 * n + 5)]
@@ -244,7 +246,7 @@ def test_rollup_committers_race(spark, tmp_path):
         assert sum(pool.map(run, range(6))) == 1
     with ThreadPoolExecutor(4) as pool:
         assert sum(pool.map(lambda i: token_rollup.Rollup(spark, root).compact(), range(4))) == 1
-        assert sum(pool.map(lambda i: token_rollup.Rollup(spark, root)._put(f"{root}/one", str(i)), range(50))) == 1
+        assert sum(pool.map(lambda i: token_rollup.Rollup(spark, root).files.put_once(f"{root}/one", str(i)), range(50))) == 1
     assert [tuple(r) for r in token_rollup.Rollup(spark, root).totals().collect()] == [("s", "en", "v", 1, 5)]
 
 
