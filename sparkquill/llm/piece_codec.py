@@ -8,6 +8,10 @@ place at most one piece ends a path of total 0 from a given start, so one table
 Words. No piece holds a space mark after another character, so paths pass every start of a word in one state. Short words
 are scanned in bulk, once each, all words of a batch side by side. Longer ones are scanned one place at a time.
 
+Models of scored pieces. `Scored` takes pieces with log probabilities, as a unigram model has: there a piece's score is its
+weight, whatever stands beside it, and the best path is that of the greatest sum. The state at a cut is then how many
+characters of a piece reach over it, and maxima decide between paths in every chunk, product and backtrace.
+
 Giant texts are cut into chunks at fixed places, in the middle of words as it comes. The state at a cut is the piece that
 reaches over it or ends there. A chunk yields its transfer matrix from the states of its left cut to those of its right
 one; scans from two states soon pass the same piece and are one from there. Matrices are combined by the associative
@@ -76,6 +80,9 @@ class _Table:
 class Pieces:
     """A model's pieces in ranks: 0.. for single characters, then merged pieces by falling score."""
 
+    #: Texts are given a space mark in front and in place of spaces.
+    mark = True
+
     def __init__(self, path: str):
         import sentencepiece
 
@@ -166,6 +173,9 @@ class Pieces:
             a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
         return out
 
+    def chunk(self, text: str, at: int, end: int, first: bool, final: bool) -> Chunk:
+        return Chunk(self, text, at, end, first, final)
+
     def token_ids(self, ranks: list[int], chars: str) -> list[int]:
         """Ids of pieces by rank; those unknown (one character each) as bytes."""
         out, at = [], 0
@@ -377,9 +387,6 @@ class Chunk:
         self.final = final
         self.cuts = _word_cuts(text, at + p.longest, end) if end - at > 2 * p.longest else None
 
-    def _passes(self, at: int, state: int, end: int, stop) -> dict[int, tuple[int, int]]:
-        return scan(self.p, self.text, state, at, end, stop)
-
     def _reached(self, last: dict[int, tuple[int, int]]) -> np.ndarray:
         out = np.full(len(self.right), -np.inf)
         for s, (start, end, r) in enumerate(self.right):
@@ -429,15 +436,87 @@ class Chunk:
         return out + self.p.token_ids(tail, self.text[b:])
 
 
+class Scored:
+    """Pieces with scores. A character that is no piece is one of `unknown` score; of equal sums the path whose last piece
+    is longest counts. Ids are places in `table`, and -1 for unknown characters."""
+
+    mark = False
+
+    def __init__(self, table: list[tuple[str, float]], unknown: float):
+        self.score = {t: s for t, s in table}
+        self.id = {t: i for i, (t, _) in enumerate(table)}
+        self.unknown, self.longest = unknown, max((len(t) for t, _ in table), default=1)
+
+    def forward(self, text: str, at: int, end: int) -> tuple[dict[int, float], dict[int, int]]:
+        """For each place that pieces from `at` reach, the best sum and the start of its last piece. Pieces start before `end`."""
+        best, back = {at: 0.0}, {}
+        score = self.score
+        for i in range(at, end):
+            here = best.get(i)
+            if here is None:
+                continue
+            for j in range(i + 1, min(i + self.longest, len(text)) + 1):
+                s = score.get(text[i:j])
+                if s is None:
+                    if j > i + 1 or text[i] in score:
+                        continue
+                    s = self.unknown
+                if j not in best or here + s > best[j]:
+                    best[j], back[j] = here + s, i
+        return best, back
+
+    def path(self, text: str, at: int, to: int, end: int) -> list[int]:
+        """Ids of the best path from `at` to `to` whose pieces start before `end`."""
+        _, back = self.forward(text, at, end)
+        out = []
+        while to > at:
+            out.append(self.id.get(text[back[to] : to], -1))
+            to = back[to]
+        return out[::-1]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(self.path(t, 0, len(t), len(t)), np.int32) for t in texts]
+
+    def chunk(self, text: str, at: int, end: int, first: bool, final: bool) -> ScoredChunk:
+        return ScoredChunk(self, text, at, end, first, final)
+
+
+class ScoredChunk:
+    """Places [at, end) of a text. States: how many characters of a piece reach over a cut, 0 at the text's ends."""
+
+    def __init__(self, p: Scored, text: str, at: int, end: int, first: bool, final: bool):
+        self.p, self.text, self.at, self.end = p, text, at, end
+        self.n_left, self.n_right = 1 if first else p.longest, 1 if final else p.longest
+
+    def matrix(self) -> np.ndarray:
+        out = np.full((self.n_left, self.n_right), -np.inf)
+        for a in range(self.n_left):
+            if self.at + a > len(self.text):
+                break
+            if self.at + a >= self.end:
+                # The piece before the chunk reaches past it: what is over goes on.
+                if self.at + a - self.end < self.n_right:
+                    out[a, self.at + a - self.end] = 0.0
+                continue
+            best, _ = self.p.forward(self.text, self.at + a, self.end)
+            for b in range(self.n_right):
+                out[a, b] = best.get(self.end + b, -np.inf)
+        return out
+
+    def ids(self, left: int, right: int, encoder=None) -> list[int]:
+        at = self.at + left
+        return self.p.path(self.text, at, self.end + right, self.end) if at < self.end else []
+
+
 _CHUNKS = "row string, c int, n int, at int, end int, text string"
 
 
-def _split(batches, path: str, chunk: int):
-    longest = pieces(path).longest
+def _split(batches, model, chunk: int):
+    longest, mark = model().longest, model().mark
     for batch in in_pieces(batches, "text"):
         out = []
         for row, t in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            text = MARK + t.replace(" ", MARK)
+            text = MARK + t.replace(" ", MARK) if mark else t
             n = -(-len(text) // chunk)
             for c in range(n):
                 a = max(0, c * chunk - 2 * longest)
@@ -450,60 +529,94 @@ def _split(batches, path: str, chunk: int):
             yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["row", "c", "n", "at", "end", "text"]).astype({"c": "int32", "n": "int32", "at": "int32", "end": "int32"}), preserve_index=False)
 
 
-def _chunk_of(p: Pieces, r: dict) -> Chunk:
-    return Chunk(p, r["text"], r["at"], r["end"], r["c"] == 0, r["c"] == r["n"] - 1)
+def _chunk_of(p: Pieces | Scored, r: dict) -> Chunk | ScoredChunk:
+    return p.chunk(r["text"], r["at"], r["end"], r["c"] == 0, r["c"] == r["n"] - 1)
 
 
-def _matrices(batches, path: str):
-    p = pieces(path)
+_MATRIX = pa.schema([("row", pa.string()), ("c", pa.int32()), ("rows", pa.int32()), ("cols", pa.int32()), ("free", pa.list_(pa.int32())), ("weight", pa.list_(pa.float64()))])
+
+
+def _matrices(batches, model):
+    p = model()
     for batch in batches:
         for r in batch.to_pylist():
             m = _chunk_of(p, r).matrix()
-            yield pa.RecordBatch.from_pylist([{"row": r["row"], "c": r["c"], "rows": m.shape[0], "free": np.flatnonzero(np.isfinite(m.ravel())).tolist(), "cols": m.shape[1]}], schema=pa.schema([("row", pa.string()), ("c", pa.int32()), ("rows", pa.int32()), ("free", pa.list_(pa.int32())), ("cols", pa.int32())]))
+            free = np.flatnonzero(np.isfinite(m.ravel()))
+            yield pa.RecordBatch.from_pylist([{"row": r["row"], "c": r["c"], "rows": m.shape[0], "cols": m.shape[1], "free": free.tolist(), "weight": m.ravel()[free].tolist()}], schema=_MATRIX)
 
 
 def _states(batches):
-    """Of each text its chunks' matrices, in order: the left and right state of every chunk."""
+    """Of each text its chunks' matrices, in order: the left and right state of every chunk on the best path."""
     for batch in batches:
         for r in batch.to_pylist():
             ms = []
             for c in r["chunks"]:
                 m = np.full(c["rows"] * c["cols"], -np.inf)
-                m[c["free"]] = 0.0
+                m[c["free"]] = c["weight"]
                 ms.append(m.reshape(c["rows"], c["cols"]))
             n = len(ms)
             before = prefixes(ms)
             # What follows a state decides between those that the start can reach.
-            after = [None] * n
             follow = np.zeros((ms[-1].shape[1], 1))
+            right = [0] * n
             for i in range(n - 1, -1, -1):
-                after[i] = follow
-                follow = product(ms[i], follow)
-            right = [int(np.argmax(before[i][0] + after[i][:, 0])) for i in range(n)]
-            assert all(before[i][0][right[i]] + after[i][right[i], 0] == 0 for i in range(n)), "no path of total 0"
+                total = before[i][0] + follow[:, 0]
+                # A state on the best path, and one from which the state chosen after it is reached on it.
+                if i < n - 1:
+                    total = before[i][0] + ms[i + 1][:, right[i + 1]]
+                right[i] = int(np.argmax(total))
+                assert np.isfinite(total[right[i]]), "no path"
             yield pa.RecordBatch.from_arrays([pa.array([r["row"]] * n), pa.array(range(n), pa.int32()), pa.array([0, *right[:-1]], pa.int32()), pa.array(right, pa.int32())], names=["row", "c", "left", "right"])
 
 
-def _traced(batches, path: str):
-    p, encoder = pieces(path), Encoder(path)
+def _traced(batches, model, encoder_of):
+    p, encoder = model(), encoder_of()
     for batch in batches:
         for r in batch.to_pylist():
             ids = _chunk_of(p, r).ids(r["left"], r["right"], encoder)
             yield pa.RecordBatch.from_arrays([pa.array([r["row"]]), pa.array([r["c"]], pa.int32()), pa.array([ids], pa.list_(pa.int32()))], names=["row", "c", "ids"])
 
 
-def giant_ids(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """(row string, text) -> row, ids: by chunks, matrices and states."""
+def _giant_ids(docs: DataFrame, model, encoder_of, chunk: int) -> DataFrame:
+    """(row string, text) -> row, ids: by chunks, matrices and states. model: makes the pieces in a worker."""
     limit = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    chunks = written(docs.mapInArrow(lean(lambda it: _split(it, path, chunk)), _CHUNKS).repartition(int(limit), "row", "c"), "chunks")
-    matrices = chunks.mapInArrow(lean(lambda it: _matrices(it, path)), "row string, c int, rows int, free array<int>, cols int")
-    ordered = matrices.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("c", "rows", "cols", "free"))).alias("chunks"))
+    chunks = written(docs.mapInArrow(lean(lambda it: _split(it, model, chunk)), _CHUNKS).repartition(int(limit), "row", "c"), "chunks")
+    matrices = chunks.mapInArrow(lean(lambda it: _matrices(it, model)), "row string, c int, rows int, cols int, free array<int>, weight array<double>")
+    ordered = matrices.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("c", "rows", "cols", "free", "weight"))).alias("chunks"))
     states = ordered.mapInArrow(lean(_states), "row string, c int, left int, right int")
-    traced = chunks.join(states, ["row", "c"]).mapInArrow(lean(lambda it: _traced(it, path)), "row string, c int, ids array<int>")
+    traced = chunks.join(states, ["row", "c"]).mapInArrow(lean(lambda it: _traced(it, model, encoder_of)), "row string, c int, ids array<int>")
     parts = traced.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("c", "ids"))).alias("parts"))
     return parts.select("row", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
 
 
+def giant_ids(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+    """(row string, text) -> row, ids by the byte-pair model at `path`."""
+    return _giant_ids(docs, lambda: pieces(path), lambda: Encoder(path), chunk)
+
+
+def scored_ids(docs: DataFrame, table: list[tuple[str, float]], unknown: float, chunk: int = CHUNK) -> DataFrame:
+    """One row per row of `docs`: doc_id, ids of the best segmentation of the text, as it stands, by scored pieces.
+
+    The vocabulary goes to the workers with the function; it is a bounded table. A null text has no ids."""
+    longest = max((len(t) for t, _ in table), default=1)
+    if chunk < longest:
+        raise ValueError("a chunk must be as long as the longest piece")
+    docs = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+
+    def run(batches):
+        model = Scored(table, unknown)
+        for batch in in_pieces(batches, "text", 2 << 20):
+            ids = model.encode(batch.column("text").to_pylist())
+            bounds = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
+
+    small = docs.filter(F.length("text") <= chunk).mapInArrow(lean(run), "doc_id long, ids array<int>")
+    giant = docs.filter(F.length("text") > chunk)
+    giant = giant.withColumn("row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2("text", 256)))
+    ids = _giant_ids(giant.select("row", "text").dropDuplicates(["row"]), lambda: Scored(table, unknown), lambda: None, chunk)
+    return small.unionByName(giant.join(ids, "row").select("doc_id", "ids"))
+
+
 def _digests(ids: np.ndarray, text: bytes, p: Pieces) -> tuple[int, str, bool]:
     back = decode(p, ids) if len(ids) else b""
     return len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), back == text.replace(MARK.encode(), b" ")

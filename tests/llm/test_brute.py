@@ -509,6 +509,51 @@ def test_codec(spark, chunk):
         assert got[i]["ids_sha256"] == hashlib.sha256(np.array(got[i]["ids"], "<i4").tobytes()).hexdigest()
 
 
+def test_scored_pieces(spark):
+    """The best segmentation by scores against all segmentations, in one piece and over chunks of a few characters."""
+    r = random.Random(21)
+    table = [(t, -r.uniform(1, 9)) for t in sorted({"".join(r.choice("abc ") for _ in range(r.randint(1, 6))) for _ in range(80)})]
+    score, place = dict(table), {t: i for i, (t, _) in enumerate(table)}
+    unknown = -11.5
+
+    def brute(text):
+        best = {0: (0.0, [])}
+        for j in range(1, len(text) + 1):
+            options = []
+            for i in range(max(0, j - 6), j):
+                piece = text[i:j]
+                s = score.get(piece, unknown if j == i + 1 else None)
+                if s is not None and i in best:
+                    options.append((best[i][0] + s, [*best[i][1], place.get(piece, -1)]))
+            if options:
+                best[j] = max(options)
+        return best[len(text)]
+
+    def total(ids, text):
+        out, at = 0.0, 0
+        for i in ids:
+            assert i < 0 or text.startswith(table[i][0], at)
+            out += unknown if i < 0 else table[i][1]
+            at += 1 if i < 0 else len(table[i][0])
+        assert at == len(text)
+        return out
+
+    texts = ["".join(r.choice("abc  é") for _ in range(r.randint(0, 120))) for _ in range(60)] + ["", None, "é" * 30, "a" * 200]
+    # Few enough segmentations to list them all.
+    for t in (x[:9] for x in texts[:20]):
+        def every(t):
+            if not t:
+                return [0.0]
+            return [score.get(t[:k], unknown if k == 1 else -1e9) + x for k in range(1, min(6, len(t)) + 1) for x in every(t[k:])]
+
+        assert max(every(t)) == pytest.approx(brute(t)[0])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chunk in (6, 7, 40, 1000):
+        got = {x["doc_id"]: x["ids"] for x in piece_codec.scored_ids(df, table, unknown, chunk).collect()}
+        for i, t in enumerate(texts):
+            assert total(got[i], t or "") == pytest.approx(brute(t or "")[0])
+
+
 def test_max_plus_product_is_associative():
     r = np.random.default_rng(0)
     ms = [np.where(r.random((n, m)) < 0.4, 0.0, -np.inf) for n, m in ((1, 3), (3, 5), (5, 2), (2, 4), (4, 1))]
