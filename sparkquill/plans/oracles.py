@@ -259,6 +259,10 @@ def all_of() -> dict[str, str]:
         "vector_topk_batch": f"SELECT qid, doc_id, round(similarity, 6) similarity, rank FROM {v20(near(vecs, vec_asked), K)}",
         "vector_self_join_label": f"""SELECT a.label, count(*) n, sum((a.label = b.label)::INT)::BIGINT same FROM (SELECT qid, arg_min(doc_id, rank) doc_id FROM {v20(near(vecs, 'SELECT vec_id qid, embedding FROM embeddings'), 2)} WHERE qid <> doc_id GROUP BY qid) t
             JOIN embeddings a ON a.vec_id = t.qid JOIN embeddings b ON b.vec_id = t.doc_id GROUP BY a.label""",
+        "sentence_hash": f"""SELECT item_id, (i - 1)::INT pos, lower(lpad(hex(list_reduce(list_prepend(14695981039346656037::HUGEINT,
+            list_transform(range(1, length(x) // 2 + 1), lambda j: (16 * (strpos('0123456789ABCDEF', x[2 * j - 1]) - 1) + strpos('0123456789ABCDEF', x[2 * j]) - 1)::HUGEINT)),
+            lambda h, b: (xor(h::UBIGINT, b::UBIGINT)::HUGEINT * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT), 16, '0')) hash
+            FROM (SELECT item_id, i, hex(encode({collapse('lower(s[i])')})) x FROM (SELECT item_id, s, unnest(range(1, len(s) + 1)) i FROM (SELECT item_id, {sentences('text')} s FROM benchmark)))""",
         "vector_cells": f"SELECT count(DISTINCT qid) n_queries, count(*) n_exact, true AS recalled FROM {v20(near(vecs, vec_asked), K)}",
         "mean_pool": "SELECT label, (pos - 1)::BIGINT pos, round(avg(embedding[pos]::DOUBLE), 6) AS value FROM embeddings, range(1, 65) r(pos) GROUP BY label, pos",
         "search_chunks": f"SELECT qid, rank, t.doc_id chunk_id, {SRC} source_id, md5(text) digest, 'Publisher ' || source metadata, round(similarity, 6) similarity FROM {v20(hv, 5)} t JOIN documents d ON d.doc_id = t.doc_id",
