@@ -17,6 +17,9 @@ from sparkquill.functions.text import let, tokens
 
 Embedder = Callable[[Column], Column]
 
+#: Subword ids in one run of a model: 32 of the short texts, 16 of the longest.
+IDS_A_RUN = 8192
+
 
 def hashing_embedder(dim: int = 64) -> Embedder:
     """Counts of token hashes, signed, as built-in expressions. A text without tokens is the zero vector."""
@@ -99,23 +102,41 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
 
 
+def vectors_of(session, tokenizer, texts: list[str | None]) -> list[list[float] | None]:
+    """A vector for each text, several texts a run of the model.
+
+    Only texts of the same number of ids share a run, so nothing is padded and a text's vector doesn't depend on its
+    neighbours. A null text, and one without any id, has no vector."""
+    inputs = session.get_inputs()
+    fixed = inputs[0].shape[0] if inputs[0].shape and isinstance(inputs[0].shape[0], int) else None
+    by_length: dict[int, list[tuple[int, list[int]]]] = {}
+    for i, text in enumerate(texts):
+        ids = subword_ids(tokenizer, text) if text is not None else []
+        if ids:
+            by_length.setdefault(len(ids), []).append((i, ids))
+    out: list[list[float] | None] = [None] * len(texts)
+    for length, rows in by_length.items():
+        many = fixed or max(1, IDS_A_RUN // length)
+        for a in range(0, len(rows), many):
+            part = rows[a : a + many]
+            ids = np.array([r[1] for r in part], np.int64)
+            if fixed:  # a model that takes exactly so many rows
+                ids = np.vstack([ids, np.repeat(ids[-1:], fixed - len(part), axis=0)])
+            feed = {n.name: np.ones_like(ids) if "mask" in n.name else np.zeros_like(ids) if "type" in n.name else ids for n in inputs}
+            found = session.run(None, feed)[0]
+            for j, (i, _) in enumerate(part):
+                out[i] = pooled(found[j : j + 1]).astype(np.float32).tolist()
+    return out
+
+
 def model_embedder(model: str, tokenizer: str) -> Embedder:
-    """Texts through the tokenizer and the model; vectors are pooled, not normalised."""
+    """Texts through the tokenizer and the model, an Arrow batch at a time; vectors are pooled, not normalised."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         session, t = _session(model, tokenizer)
-        names = [i.name for i in session.get_inputs()]
         for texts in batches:
-            out = []
-            for text in texts:
-                if text is None:
-                    out.append(None)
-                    continue
-                ids = np.array([subword_ids(t, text)], np.int64)
-                feed = {n: np.ones_like(ids) if "mask" in n else np.zeros_like(ids) if "type" in n else ids for n in names}
-                out.append(pooled(session.run(None, feed)[0]).astype(np.float32).tolist())
-            yield pd.Series(out)
+            yield pd.Series(vectors_of(session, t, texts.tolist()), dtype=object)
 
     return run
 
