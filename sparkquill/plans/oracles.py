@@ -5,7 +5,7 @@ from __future__ import annotations
 from sparkquill.functions import text as T
 from sparkquill.operators.context import PLAIN, STRICT
 from sparkquill.operators.evaluate import WEIGHTS
-from sparkquill.plans.queries import QUERY, K
+from sparkquill.plans.queries import PART, QUERY, TABLE_HEAD, K
 
 CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
 
@@ -189,6 +189,44 @@ def join_pages() -> str:
     return f"SELECT conv_id, md5({collapse(dehyph)}) digest FROM (SELECT conv_id, turn, {stripped} c FROM (SELECT conv_id, turn, {page} p FROM conversations)) GROUP BY conv_id"
 
 
+def packed(parts: str, glue: str, again: str) -> str:
+    """A list of texts joined by glue as long as PART bytes hold them; a new chunk begins with `again`."""
+    step = f"a || CASE WHEN strlen(string_split(a, chr(1))[-1]) + strlen({glue}) + strlen(p) <= {PART} THEN {glue} ELSE chr(1) || {again} END || p"
+    return f"string_split(list_reduce({parts}, lambda a, p: {step}), chr(1))"
+
+
+def parts_of(chunks: str, kind: str, more: str = "") -> str:
+    """Rows of the documents' chunks (a list over `text`), empty ones left out."""
+    return f"""SELECT source_id, (i - 1)::INT chunk_index, (e - strlen(c[i]))::INT start_pos, e::INT end_pos, {lit(kind)} chunk_type{more}, md5(c[i]) digest
+        FROM (SELECT *, sum(strlen(c[i]) + 1) OVER (PARTITION BY source_id ORDER BY i) - 1 e FROM (SELECT source_id, c, unnest(range(1, len(c) + 1)) i FROM
+        (SELECT doc_id source_id, {chunks} c FROM documents))) WHERE c[i] <> ''"""
+
+
+LINES = "string_split(coalesce(text, ''), chr(10))"
+WORDS = "regexp_extract_all(coalesce(text, ''), '[A-Za-z]{1,40}')"
+
+
+def markdown_oracles() -> dict[str, str]:
+    filled = let(WORDS, "w", "CASE WHEN len(w) = 0 THEN [''] ELSE w END")
+    stops = let(WORDS, "w", "CASE WHEN len(w) = 0 THEN [''] ELSE list_transform(w, lambda x, i: CASE WHEN i > 1 THEN ' ' ELSE '' END || x || '.') END")
+    head = "replace(" + lit(TABLE_HEAD.replace("\n", "~")) + ", '~', chr(10))"
+    many = "CASE WHEN len(c) > 1 THEN {} ELSE {} END::INT"
+    return {
+        "markdown_tables": parts_of(packed(f"list_prepend({head}, list_transform({LINES}, lambda s: '| ' || s || ' |'))", "chr(10)", f"{head} || chr(10)"), "table"),
+        "markdown_code": parts_of(packed(f"list_concat(['```txt'], {filled}, ['```'])", "chr(10)", "''"), "code:txt", f", {many.format('i - 1', -1)} batch_index, {many.format('len(c)', 0)} batch_total"),
+        "markdown_sentences": parts_of(f"list_transform({packed(stops, chr(39) * 2, chr(39) * 2)}, lambda s: trim(s))", "text"),
+        "markdown_paragraphs": parts_of(packed(filled, "chr(10) || chr(10)", "''"), "text"),
+        # The headers above a section: the last of each level that no later one of a higher or equal level has closed.
+        "markdown_headers": f"""WITH l AS (SELECT doc_id, s[i] x, i, length(s[i]) % 3 + 1 lv FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) i FROM (SELECT doc_id, {LINES} s FROM documents))),
+            t AS (SELECT *, md5(x) h, repeat('#', lv) || ' ' || md5(x) || chr(10) || 'x ' || x || ' x' || CASE WHEN i % 2 = 0 THEN chr(10) || 'end' ELSE '' END c,
+                {', '.join(f'coalesce(max(CASE WHEN lv = {k} THEN i END) OVER w, 0) j{k}' for k in (1, 2, 3))} FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+            p AS (SELECT t.*, a.h h1, b.h h2, d.h h3 FROM t LEFT JOIN t a ON a.doc_id = t.doc_id AND a.i = t.j1 LEFT JOIN t b ON b.doc_id = t.doc_id AND b.i = t.j2 AND t.j2 > t.j1
+                LEFT JOIN t d ON d.doc_id = t.doc_id AND d.i = t.j3 AND t.j3 > t.j1 AND t.j3 > t.j2)
+            SELECT doc_id source_id, (i - 1)::INT chunk_index, (e - strlen(c))::INT start_pos, e::INT end_pos, CASE WHEN i % 2 = 0 THEN 'text' ELSE 'header' END chunk_type,
+                md5(concat_ws(' > ', h1, h2, h3)) path, md5(c) digest FROM (SELECT *, sum(strlen(c) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 e FROM p)""",
+    }
+
+
 def all_of() -> dict[str, str]:
     vecs = "SELECT vec_id id, embedding FROM embeddings"
     vec_asked = "SELECT vec_id qid, embedding FROM embeddings WHERE vec_id % 20 = 0"
@@ -336,6 +374,7 @@ def all_of() -> dict[str, str]:
         "stream_ingest": "SELECT vec_id doc_id, len(embedding)::INT dim FROM embeddings",
         "events_by_window": "SELECT (epoch(date_trunc('hour', ts)))::BIGINT AS start, event_type, count(*) n FROM events GROUP BY ALL",
     }
+    out |= markdown_oracles()
     # row_number() is a BIGINT here and an INT in Spark.
     return {n: f"SELECT * REPLACE (rank::INT AS rank) FROM ({sql})" if n in RANKED else sql for n, sql in out.items()}
 

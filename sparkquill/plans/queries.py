@@ -497,6 +497,54 @@ def prompt_compress(spark, d):
     return out.select("qid", F.md5("text").alias("digest"), "original_chars", "compressed_chars", "tokens_saved", "included")
 
 
+#: The two header lines of a table, and the size that parts of Markdown are cut to.
+TABLE_HEAD, PART = "| line |\n| --- |", 200
+
+
+def _markdown_parts(spark, d, made, most, *more):
+    """The documents' chunks, `made` into Markdown of one kind."""
+    out = chunking.markdown_chunks(docs(spark, d).withColumn("text", made), most, "doc_id", "text")
+    return out.select("source_id", "chunk_index", "start_pos", "end_pos", "chunk_type", *more, F.md5("content").alias("digest"))
+
+
+def _plain_words():
+    """Runs of letters of the whole text; longer ones in pieces of 40."""
+    return F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{1,40}"), F.lit(0))
+
+
+def _text_lines():
+    return F.split(F.coalesce("text", F.lit("")), "\n")
+
+
+def markdown_headers(spark, d):
+    """A section of every line, under headers of three levels; those of even place have no second line of text."""
+    lines = F.transform(_text_lines(), lambda s, i: F.concat(F.repeat(F.lit("#"), F.length(s) % 3 + 1), F.lit(" "), F.md5(s), F.lit("\nx "), s, F.when(i % 2 == 1, " x\nend").otherwise(" x")))
+    return _markdown_parts(spark, d, F.array_join(lines, "\n"), 1_000_000, F.md5("header_path").alias("path"))
+
+
+def markdown_tables(spark, d):
+    """A table with a row of every line, cut between rows; each part has the header lines."""
+    rows = F.transform(_text_lines(), lambda s: F.concat(F.lit("| "), s, F.lit(" |")))
+    return _markdown_parts(spark, d, F.concat(F.lit(TABLE_HEAD + "\n"), F.array_join(rows, "\n")), PART)
+
+
+def markdown_code(spark, d):
+    """Fenced code with a line of every word, cut between lines; parts are numbered, -1 of 0 where there is one."""
+    made = F.concat(F.lit("```txt\n"), F.array_join(_plain_words(), "\n"), F.lit("\n```"))
+    return _markdown_parts(spark, d, made, PART, *[F.coalesce(c, F.lit(n)).alias(c) for c, n in (("batch_index", -1), ("batch_total", 0))])
+
+
+def markdown_sentences(spark, d):
+    """A paragraph with a sentence of every word, cut between sentences."""
+    made = F.array_join(F.transform(_plain_words(), lambda w: F.concat(w, F.lit("."))), " ")
+    return _markdown_parts(spark, d, made, PART)
+
+
+def markdown_paragraphs(spark, d):
+    """A paragraph of every word, cut between paragraphs."""
+    return _markdown_parts(spark, d, F.array_join(_plain_words(), "\n\n"), PART)
+
+
 def score_sentences(spark, d):
     """Vectors of a label as the sentences of the query with the label's smallest id."""
     v = table(spark, d, "embeddings")
@@ -602,7 +650,7 @@ ALL = [
     bm25_index_remove, rrf_hybrid, rrf_weighted, hybrid_source_filter, hybrid_metadata_like, search_hybrid_simple, content_fetch, dedup_ingest,
     add_document, list_sources, get_source, get_source_chunks, get_all_chunks, get_adjacent_chunks, chunks_left_join_sources, source_stats,
     chunk_counts, delete_source, update_status, update_embedding, incremental_search, buffer_merge, buffer_stats, chunk_overlap, semantic_chunk,
-    semantic_chunk_lines, markdown_chunk, single_source_text, single_source_score, expand_adjacent, order_chronological, order_diverse,
+    semantic_chunk_lines, markdown_chunk, markdown_headers, markdown_tables, markdown_code, markdown_sentences, markdown_paragraphs, single_source_text, single_source_score, expand_adjacent, order_chronological, order_diverse,
     context_budget, render_context, format_prompt, context_compressed, prompt_compress, score_sentences, compress_with_similarity,
     recall_precision, quality_summary, rank_metrics, hit_metrics, weight_sweep, query_synthesis, hard_negatives, stream_ingest, events_by_window,
 ]
