@@ -139,3 +139,18 @@ def token_rollup() -> str:
     both_versions AS (SELECT source, lang, 'words-1' AS version, len(regexp_extract_all({lines}, {WORD}))::BIGINT tokens FROM left_in
         UNION ALL SELECT source, lang, 'pieces-1', len(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]'))::BIGINT FROM left_in)
     SELECT source, lang, version, count(*)::BIGINT n_docs, sum(tokens)::BIGINT n_tokens FROM both_versions GROUP BY ALL"""
+
+
+def ball_kmeans(k: int = 8, rounds: int = 10, width: int = 64, seed: int = 3) -> str:
+    """Plain Lloyd rounds: every vector against every centroid."""
+    gap = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    out = f"""WITH vecs AS MATERIALIZED (SELECT row_number() OVER () rid, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) x FROM embeddings
+        WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {width}),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), x) - 1 AS j, x FROM vecs QUALIFY j < {k})"""
+    for i in range(rounds + 1):
+        out += f""", a{i} AS MATERIALIZED (SELECT v.rid, v.vec_id, v.x, c.j, {gap} d FROM vecs v, c{i} c QUALIFY row_number() OVER (PARTITION BY v.rid ORDER BY {gap}, c.j) = 1)"""
+        if i < rounds:
+            out += f""", c{i + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.x, c.x) x FROM c{i} c LEFT JOIN (SELECT j, list(floor_mean ORDER BY dim) x FROM
+                (SELECT j, dim, (sum(e) - (((sum(e) % count(*)) + count(*)) % count(*)))::BIGINT // count(*) AS floor_mean FROM (SELECT j, unnest(x) e, unnest(range({width})) dim FROM a{i}) GROUP BY j, dim) GROUP BY j) m USING (j))"""
+    return out + f""" SELECT vec_id, j::INTEGER AS "cluster", d AS distance, sum(d) OVER (PARTITION BY j)::BIGINT cluster_inertia, sum(d) OVER ()::BIGINT inertia, sha256(array_to_string(c.x, ',')) centroid_sha256
+        FROM a{rounds} JOIN c{rounds} c USING (j)"""

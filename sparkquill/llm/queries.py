@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkquill.llm import html_main, license_scan, merkle, mixing, oracles, piece_codec, quality, secret_scan, simhash_dedup, substring_dedup, token_rollup
+from sparkquill.llm import ball_kmeans, html_main, license_scan, merkle, mixing, oracles, piece_codec, quality, secret_scan, simhash_dedup, substring_dedup, token_rollup
 from sparkquill.tables import settled, spread, table
 
 
@@ -61,6 +61,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scanned(_documents(spark, sf_dir))
 
 
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(lambda: ball_kmeans.clustered(spread(table(spark, sf_dir, "embeddings")), k=8, rounds=10, width=64, seed=3))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_piece_codec": op9_piece_codec,
         "op10_secret_scan": op10_secret_scan,
+        "op12_ball_kmeans": op12_ball_kmeans,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -83,4 +88,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_source_mixing": oracles.source_mixing(0.92, 4.0, 0),
         "op4_token_rollup": oracles.token_rollup(),
         "op7_fingerprints": oracles.fingerprints(),
+        "op12_ball_kmeans": oracles.ball_kmeans(),
     }
