@@ -154,3 +154,21 @@ def ball_kmeans(k: int = 8, rounds: int = 10, width: int = 64, seed: int = 3) ->
                 (SELECT j, dim, (sum(e) - (((sum(e) % count(*)) + count(*)) % count(*)))::BIGINT // count(*) AS floor_mean FROM (SELECT j, unnest(x) e, unnest(range({width})) dim FROM a{i}) GROUP BY j, dim) GROUP BY j) m USING (j))"""
     return out + f""" SELECT vec_id, j::INTEGER AS "cluster", d AS distance, sum(d) OVER (PARTITION BY j)::BIGINT cluster_inertia, sum(d) OVER ()::BIGINT inertia, sha256(array_to_string(c.x, ',')) centroid_sha256
         FROM a{rounds} JOIN c{rounds} c USING (j)"""
+
+
+def prefix_trie(block: int = 100, heads: int = 6) -> str:
+    """Beginnings as lists, subtrees by comparing every node with every other; crc32 bit by bit."""
+    bit = "lambda b, _: xor(b >> 1, CASE WHEN b & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"lambda s, x: list_reduce(range(8), {bit}, xor(s, x))"
+    crc = f"xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT), {byte}, 4294967295), 4294967295)"
+    turn = "{'r': coalesce(role, ''), 't': coalesce(text, '')}"
+    digest = "sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))"
+    return f"""WITH own AS (SELECT conv_id, list({turn} ORDER BY turn NULLS FIRST, {digest}) x FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    withh AS (SELECT *, {crc} % {heads} h FROM own),
+    built AS MATERIALIZED (SELECT a.conv_id, coalesce(b.x[:a.h], []) || a.x[a.h + 1:] x FROM withh a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % {block}),
+    paths AS MATERIALIZED (SELECT conv_id, x[:d] p, d, len(x) = d AS ended FROM (SELECT *, unnest(range(0, len(x) + 1)) d FROM built)),
+    nodes AS MATERIALIZED (SELECT p, any_value(d) d, min(conv_id) conv_id, count(*) n, coalesce(sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended)), sha256('')) ends FROM paths GROUP BY p),
+    kids AS MATERIALIZED (SELECT v.*, (SELECT count(*) FROM nodes u WHERE u.d = v.d + 1 AND u.p[:v.d] = v.p) kids, (SELECT conv_id FROM nodes u WHERE u.d = v.d - 1 AND u.p = v.p[:v.d - 1]) parent FROM nodes v)
+    SELECT v.conv_id, v.d AS "depth", any_value(v.parent) parent_conv_id, any_value(v.n) n_convs, any_value(v.kids)::BIGINT n_children,
+        count(*) FILTER (u.kids = 0)::BIGINT n_leaves, sum((u.n - 1) * coalesce(length(u.p[-1].t), 0))::BIGINT saved_tokens, any_value(v.ends) ends_sha256
+    FROM kids v JOIN kids u ON u.d >= v.d AND u.p[:v.d] = v.p GROUP BY v.p, v.conv_id, v.d"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkquill.llm import ball_kmeans, html_main, license_scan, merkle, mixing, oracles, piece_codec, quality, secret_scan, simhash_dedup, substring_dedup, token_rollup
+from sparkquill.llm import ball_kmeans, html_main, license_scan, merkle, mixing, oracles, piece_codec, prefix_trie, quality, secret_scan, simhash_dedup, substring_dedup, token_rollup
 from sparkquill.tables import settled, spread, table
 
 
@@ -65,6 +65,10 @@ def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(lambda: ball_kmeans.clustered(spread(table(spark, sf_dir, "embeddings")), k=8, rounds=10, width=64, seed=3))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(lambda: prefix_trie.nodes(spread(table(spark, sf_dir, "conversations")), block=100, heads=6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_piece_codec": op9_piece_codec,
         "op10_secret_scan": op10_secret_scan,
         "op12_ball_kmeans": op12_ball_kmeans,
+        "op13_prefix_trie": op13_prefix_trie,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -89,4 +94,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_token_rollup": oracles.token_rollup(),
         "op7_fingerprints": oracles.fingerprints(),
         "op12_ball_kmeans": oracles.ball_kmeans(),
+        "op13_prefix_trie": oracles.prefix_trie(),
     }
