@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkquill.llm import ball_kmeans, html_main, license_scan, merkle, mixing, oracles, piece_codec, prefix_trie, quality, secret_scan, simhash_dedup, substring_dedup, token_rollup
+from sparkquill.llm import ball_kmeans, html_main, license_scan, line_crf, merkle, mixing, oracles, piece_codec, prefix_trie, quality, secret_scan, simhash_dedup, substring_dedup, token_rollup
 from sparkquill.tables import settled, spread, table
 
 
@@ -61,6 +61,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scanned(_documents(spark, sf_dir))
 
 
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = line_crf.fit(docs, table(spark, sf_dir, "labels"), line_crf.SAMPLE)
+    return line_crf.scored(docs, model)
+
+
 def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(lambda: ball_kmeans.clustered(spread(table(spark, sf_dir, "embeddings")), k=8, rounds=10, width=64, seed=3))
 
@@ -81,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_piece_codec": op9_piece_codec,
         "op10_secret_scan": op10_secret_scan,
+        "op11_line_quality": op11_line_quality,
         "op12_ball_kmeans": op12_ball_kmeans,
         "op13_prefix_trie": op13_prefix_trie,
         "pipeline": corpus_pipeline.run,
