@@ -201,7 +201,7 @@ def scan(texts: list[str], t: Templates, words: _Hashes) -> list[tuple[int, int,
     """(text, template, containment, first word) of the verified matches."""
     texts = [x.lower() for x in texts]
     found = [_WORD.findall(x) for x in texts]
-    bounds = np.r_[0, np.cumsum([len(f) for f in found])]
+    bounds = np.r_[0, np.cumsum([len(f) for f in found], dtype=np.int64)]
     flat = np.fromiter((words[w] for f in found for w in f), np.uint64, int(bounds[-1]))
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     best: dict[tuple[int, int], tuple[float, int]] = {}
@@ -265,6 +265,8 @@ def _run(batches, templates: list[tuple[str, str]], bands: int):
         group: list[tuple[int, str, int]] = []
 
         def flush(group=group, best=best):
+            if not group:
+                return
             for row, i, share, at in scan([g[1] for g in group], t, words):
                 key, value = (group[row][0], i), (-share, at + group[row][2])
                 best[key] = min(best.get(key, value), value)

@@ -82,29 +82,40 @@ def quality_rules() -> str:
 
 
 def fingerprints() -> str:
-    """From the definition: nodes in full at every level, likeness by counting, edits by comparing lines."""
-    piece = merkle.PIECE.replace("\\n", "\n")
+    """From the definition: nodes in full at every level, likeness by counting, edits by comparing lines and pieces."""
+    piece = merkle.PIECE.replace("\\n", "\n").replace("\\t", "\t")
+    w = merkle.WINDOW
+    cut = f"regexp_matches(md5(k[i - {w - 1}:i]), '^{merkle.CUT}')"
+    parted = f"list_filter(string_split(array_to_string([k[i:i] || CASE WHEN i >= {w} AND {cut} THEN chr(10) ELSE '' END for i in range(1, length(k) + 1)], ''), chr(10)), lambda y: y <> '')"
+    blocks = f"[x[i:i + {merkle.BLOCK - 1}] for i in range(1, length(x) + 1, {merkle.BLOCK})]"
+    by_windows = f"flatten(list_transform(zs, lambda x: CASE WHEN length(x) <= {merkle.LONG} THEN [x] ELSE flatten(list_transform({blocks}, lambda k: {parted})) END))"
+    marked = f"list_transform(regexp_extract_all(x, '{merkle.WORD}'), lambda o: o || CASE WHEN regexp_matches(md5(o), '^{merkle.WORD_CUT}') THEN chr(10) ELSE '' END)".replace("\\t", "\t")
+    words = f"list_filter(string_split(array_to_string({marked}, ''), chr(10)), lambda y: y <> '')"
+    small = f"CASE WHEN length(x) <= {merkle.LONG} THEN [x] ELSE {by_windows.replace('zs', words)} END"
+    split = f"flatten(list_transform(regexp_extract_all(p, '{piece}'), lambda x: {small}))"
     ends = "CASE WHEN h[1] IN ('0', '1') THEN '/' ELSE ';' END"
     order = "ORDER BY doc_id DESC NULLS LAST, text"
     near = lambda x: f"CASE WHEN a.root = {x}.root THEN 1.0::DOUBLE ELSE least(round(2.0::DOUBLE * coalesce(s{x}.n, 0) / greatest(a.n + {x}.n, 1), 6), {merkle.NOT_EQUAL}) END"
     shared = lambda x: f"(SELECT a.rid, sum(least(a.n, o.n)) n FROM counts a JOIN counts o USING (rid, item) WHERE a.w = 'a' AND o.w = '{x}' GROUP BY a.rid)"
     first_gap = lambda x, y: f"coalesce(list_min([i for i in range(1, greatest(len({x}), len({y})) + 1) if {x}[i] IS DISTINCT FROM {y}[i]]) - 1, greatest(len({x}), len({y})))"
+    both_gaps = lambda x, y, name: f"{first_gap(x, y)} {name}_head, {first_gap(f'list_reverse({x})', f'list_reverse({y})')} {name}_tail"
+    tail = lambda name, x, y: f"(CASE WHEN a.root = b.root THEN -1 ELSE greatest(0, least({name}_tail, least(len({x}), len({y})) - {name}_head)) END)::BIGINT"
     return f"""WITH docs AS (SELECT row_number() OVER () rid, doc_id, coalesce(text, '') AS text FROM documents),
     nexts AS (SELECT *, coalesce(lead(text) OVER ({order}), first(text) OVER ({order})) next_text FROM docs),
     edits AS MATERIALIZED (SELECT *, text[:length(text) - length(text) // 3] || next_text[:length(text) // 3] AS edited FROM nexts),
     texts AS (SELECT rid, 'a' w, text t FROM edits UNION ALL SELECT rid, 'b', edited FROM edits UNION ALL SELECT rid, 'c', next_text FROM edits),
-    leaves AS (SELECT *, list_transform(string_split(t, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{piece}'), lambda x: md5(x))) ls FROM texts),
+    leaves AS (SELECT *, list_transform(string_split(t, chr(10)), lambda p: list_transform({split}, lambda y: md5(y))) ls FROM texts),
     nodes AS (SELECT *, list_transform(ls, lambda x: md5(array_to_string(x, ','))) ns FROM leaves),
     trees AS MATERIALIZED (SELECT rid, w, md5(array_to_string(list_transform(string_split(array_to_string(list_transform(ns, lambda h: h || {ends}), ''), '/'), lambda x: md5(x)), '/')) root,
         array_to_string(list_transform(list_zip(ls, ns), lambda z: array_to_string(list_transform(z[1], lambda x: x[:{merkle.LEAF}]), ',') || CASE WHEN z[2][1] IN ('0', '1') THEN '/' ELSE ';' END), '') tree,
         list_transform(flatten(ls), lambda x: x[:{merkle.LEAF}]) flat, 2 * len(flatten(ls)) n FROM nodes),
     counts AS MATERIALIZED (SELECT rid, w, item, count(*) n FROM (SELECT rid, w, unnest(flat) item FROM trees
         UNION ALL SELECT rid, w, unnest([flat[i] || ' ' || coalesce(flat[i + 1], '$') for i in range(1, len(flat) + 1)]) FROM trees) GROUP BY ALL),
-    lines AS (SELECT rid, string_split(text, chr(10)) x, string_split(edited, chr(10)) y FROM edits),
-    gaps AS (SELECT rid, x, y, {first_gap('x', 'y')} head, {first_gap('list_reverse(x)', 'list_reverse(y)')} tail FROM lines)
+    lines AS (SELECT edits.rid, string_split(text, chr(10)) x, string_split(edited, chr(10)) y, a.flat u, b.flat v FROM edits JOIN trees a ON a.rid = edits.rid AND a.w = 'a' JOIN trees b ON b.rid = edits.rid AND b.w = 'b'),
+    gaps AS (SELECT rid, x, y, u, v, {both_gaps('x', 'y', 'line')}, {both_gaps('u', 'v', 'leaf')} FROM lines)
     SELECT doc_id, length(text)::BIGINT n_chars, sha256(edited) edited_sha256, a.root || ':' || a.tree fingerprint, b.root || ':' || b.tree edited_fingerprint,
-        {near('b')} near_edited, {near('c')} near_next, (CASE WHEN a.root = b.root THEN -1 ELSE head END)::BIGINT edit_first,
-        (CASE WHEN a.root = b.root THEN -1 ELSE greatest(0, least(tail, least(len(x), len(y)) - head)) END)::BIGINT edit_last
+        {near('b')} near_edited, {near('c')} near_next, (CASE WHEN a.root = b.root THEN -1 ELSE line_head END)::BIGINT edit_first, {tail('line', 'x', 'y')} edit_last,
+        (CASE WHEN a.root = b.root THEN -1 ELSE leaf_head END)::BIGINT piece_first, {tail('leaf', 'u', 'v')} piece_last
     FROM edits JOIN trees a ON a.rid = edits.rid AND a.w = 'a' JOIN trees b ON b.rid = edits.rid AND b.w = 'b' JOIN trees c ON c.rid = edits.rid AND c.w = 'c'
         JOIN gaps ON gaps.rid = edits.rid LEFT JOIN {shared('b')} sb ON sb.rid = edits.rid LEFT JOIN {shared('c')} sc ON sc.rid = edits.rid"""
 

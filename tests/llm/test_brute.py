@@ -459,7 +459,7 @@ def merkle_pair(spark, a, b):
     df = spark.createDataFrame([(a, b)], "a string, b string")
     df = merkle.with_tree(merkle.with_tree(df, "a", "fa"), "b", "fb")
     df = merkle.with_edits(merkle.with_items(merkle.with_items(df, "fa", "ia"), "fb", "ib"), "fa", "fb")
-    return df.select("fa", "fb", merkle.likeness("fa", "fb", "ia", "ib").alias("near"), "edit_first", "edit_last").first()
+    return df.select("fa", "fb", merkle.likeness("fa", "fb", "ia", "ib").alias("near"), "edit_first", "edit_last", "piece_first", "piece_last").first()
 
 
 def test_merkle_locates_edits(spark):
@@ -471,11 +471,35 @@ def test_merkle_locates_edits(spark):
     assert (r["edit_first"], r["edit_last"]) == (7, 53)
     r = merkle_pair(spark, join(lines), join([*lines[:7], lines[6], *lines[7:]]))
     assert (r["edit_first"], r["edit_last"]) == (7, 53)
-    assert merkle_pair(spark, join(lines), join(lines))[2:] == (1.0, -1, -1)
-    assert merkle_pair(spark, "", "")[2:] == (1.0, -1, -1)
+    assert merkle_pair(spark, join(lines), join(lines))[2:] == (1.0, -1, -1, -1, -1)
+    assert merkle_pair(spark, "", "")[2:] == (1.0, -1, -1, -1, -1)
     assert merkle_pair(spark, "", "some text that is here")["near"] == 0.0
 
 
+THAI, CHINESE = "กขคงจฉชซฌญฎฏฐฑฒณดตถทธนบปผฝพฟภมยรลวศษสหฬอฮะาำเแโใไ", "".join(chr(0x4E00 + 37 * i) for i in range(400))
+
+
+@pytest.mark.parametrize("kind", ["latin", "letters", "chinese", "stops", "thai", "base64", "lines"])
+def test_merkle_one_character_more(spark, kind):
+    """Leaves follow the text around them: a character put in anywhere leaves the others as they are."""
+    r = random.Random(4)
+    many = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    text = {
+        "latin": lambda: re.sub("[^a-z ]", " ", prose(3, 450)),
+        "letters": lambda: many("abcdefghijklmnopqrstuvwxyz", 3000),
+        "chinese": lambda: many(CHINESE, 2500),
+        "stops": lambda: "".join(many(CHINESE, 15) + "。" for _ in range(100)),
+        "thai": lambda: many(THAI, 2500),
+        "base64": lambda: many("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 60_000),
+        "lines": lambda: prose(5, 900),
+    }[kind]()
+    for at in (0, len(text) // 3, len(text)):
+        got = merkle_pair(spark, text, text[:at] + "x" + text[at:])
+        assert 0.9 < got["near"] < 1.0, (kind, at)
+        if len(text) < merkle.BLOCK:
+            assert got["piece_first"] + got["piece_last"] >= len(re.findall("[,;/]", got["fa"])) - 3, (kind, at)
+
+
 def test_merkle_order_and_repeats_count(spark):
     lines = [prose(i, 30).replace("\n", " ") for i in range(60)]
     assert merkle_pair(spark, "\n".join(lines), "\n".join(lines[::-1]))["near"] < 0.95
@@ -486,7 +510,7 @@ def test_merkle_order_and_repeats_count(spark):
 def test_merkle_roots_tell_texts_apart(spark):
     """Lines whose hashes agree in their first 32 bits, as a short node would have them."""
     r = merkle_pair(spark, "record number 15379 of it", "record number 43782 of it")
-    assert r["fa"][:32] != r["fb"][:32] and r["near"] == 0.0
+    assert r["fa"][:32] != r["fb"][:32] and r["near"] < 0.7
     df = spark.range(44_000).select(F.concat(F.lit("record number "), F.col("id").cast("string"), F.lit(" of it")).alias("a"))
     got = merkle.with_tree(df, "a", "f").agg(F.countDistinct(F.substring("f", 1, 32)), F.countDistinct(F.substring("f", 1, 8))).first()
     assert got[0] == 44_000
@@ -607,6 +631,21 @@ def test_license_in_pieces(monkeypatch):
     assert found == {(i, at) for _, i, _, at in whole}
 
 
+@pytest.mark.parametrize("pieces", [1, 2, 3, 4])
+def test_giant_license_texts_through_spark(spark, pieces):
+    """Texts of several pieces, at the real bound, equal a scan of the whole text."""
+    body = prose(pieces, 1500)
+    n = license_scan.PIECE * (pieces - 1) + 700_000
+    filler = (body + " ") * (n // (len(body) + 1))
+    notice = "Released under the MIT License. "
+    text = notice + filler[: n // 2] + notice + filler[n // 2 :] + " This work is licensed under the GNU General Public License, version 3."
+    t, words = license_scan.Templates(license_scan.all_templates(), license_scan.BANDS), license_scan._Hashes()
+    want = {(i, round(share, 6), at) for _, i, share, at in license_scan.scan([text], t, words)}
+    df = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string").coalesce(1)
+    got = {(r["template"], r["containment"], r["first_word"]) for r in license_scan.scanned(df).collect() if r["doc_id"] == 1}
+    assert got == want and {license_scan.all_templates()[i][0] for i, _, _ in got} == {"MIT", "GPL-3.0"}
+
+
 def test_license_in_unbroken_text(monkeypatch):
     """Without white space a piece is cut where it is: pieces advance, whatever the text, and one is held at a time."""
     text = "x" * 3_000_000 + " Released under the MIT License. " + "é" * 17_000_000
