@@ -313,8 +313,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     texts = texts.filter((F.length("text") <= MOST_CHARS) & (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) < MOST_LINES))
-    # The rows of the smallest hashes: a top-k, of which every task keeps `sample`.
-    chosen = texts.join(known, "doc_id").select("doc_id", "text", "good").orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "text").limit(sample)
+    # The smallest hashes: a top-k of ids, of which every task keeps `sample`; their texts are then read where they are.
+    by = F.xxhash64(F.col("doc_id"), F.lit(11))
+    ids = texts.select("doc_id").join(known, "doc_id").distinct().orderBy(by, "doc_id").limit(sample)
+    chosen = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "good").orderBy(by, "text").limit(sample)
 
     def run(batches):
         for batch, found in _parts(batches):
