@@ -98,8 +98,8 @@ def rebuilt(conversations: DataFrame, block: int = 100, heads: int = 6) -> tuple
     turns, _ = named(turns, ["digest"], ["conv_id", "i"], label="named-turns")
     turns = turns.drop("digest").withColumnRenamed("name", "turn")
     h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % heads
-    # At most heads - 1 turns a conversation.
-    head = turns.filter(F.col("i") < heads - 1).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("i", "turn", "chars", "run"))).alias("head"))
+    # At most heads - 1 turns a conversation, and one at least.
+    head = turns.filter(F.col("i") < max(1, heads - 1)).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("i", "turn", "chars", "run"))).alias("head"))
     facts = whole.join(head, "conv_id").withColumn("h", h)
     base = head.select(F.col("conv_id").alias("base"), F.col("head").alias("base_head"))
     facts = facts.withColumn("base", F.col("conv_id") - F.col("conv_id") % block).join(base, "base", "left")
