@@ -6,8 +6,10 @@ notices, adverts and comments, by tag or by a whole class, id or role, are bad.
 make a block suspect, and being inside or beside the body shifts the bounds; link density, length and stop words decide.
 
 First pass. Outside of any body: a block with many links is bad, a long one with many stop words good, a short one or one
-between the bounds open. Inside, only nearly all links make a block bad, and dense text good; what is short or has few
-stop words is open. Suspect blocks must be dense to be more than bad. Beside a body that holds most of the dense text, a
+between the bounds open, and so is code or a table's cell, whose words say little. Inside, only a short block of nearly
+all links is bad; dense text and short text without links are good, the rest is open. On a page where no long block has
+the stop words of a listed language, the page's own frequent short words, or characters where a script has no spaces, take
+their place, and a sentence's end counts as density. Ideographs count as three characters. Suspect blocks must be dense to be more than bad. Beside a body that holds most of the dense text, a
 block must be twice as long; beside a smaller one, as a teaser is, it is judged as on a page without.
 Second pass. An open block takes the label of its nearest decided neighbours, inside the body those inside, with the body
 itself as good where there is none; a heading takes that of what follows it.
@@ -24,6 +26,7 @@ import bisect
 import html
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,11 +61,16 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _HELD = _BLOCK - frozenset("hr html body li dd dt td th tr thead tbody tfoot caption summary option optgroup legend".split())
-_EMBEDDED = frozenset("title noscript template svg math iframe object select textarea button canvas video audio".split())
+_EMBEDDED = frozenset("title noscript template svg iframe object select textarea button canvas video audio".split())
 _BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset header".split())
 _BODY = frozenset(("article", "main"))
 _ENDS_WITH_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 
+_IDEOGRAPH = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff]")
+#: Scripts written without spaces, and what ends a sentence. Fixed values.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff]")
+_SENTENCE_END = re.compile("[.!?…。！？।॥։؟။។][\"'”’»)\\]」』]*$")
+
 _HINT = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 #: Parts of names that mark boilerplate, that may mark it, that say nothing, and that deny what follows.
@@ -96,10 +104,12 @@ def _hint(attrs: str) -> int:
 
 
 class Block:
-    __slots__ = ("body", "element", "heading", "linked", "state", "text")
+    __slots__ = ("body", "element", "heading", "laid_out", "linked", "size", "state", "text")
 
-    def __init__(self, text: str, linked: int, state: int, heading: bool, element: int = 0, body: bool = False):
+    def __init__(self, text: str, linked: int, state: int, heading: bool, element: int = 0, body: bool = False, laid_out: bool = False):
         self.text, self.linked, self.state, self.heading, self.element, self.body = text, linked, state, heading, element, body
+        #: Of code or a table; characters, of which ideographs count for more.
+        self.laid_out, self.size = laid_out, len(text) if text.isascii() else len(text) + 2 * len(_IDEOGRAPH.findall(text))
 
 
 class _Elements:
@@ -171,7 +181,7 @@ def blocks(page: str) -> list[Block]:
                 linked = len(" ".join(html.unescape("".join(links)).split())) if links else 0
                 at = own or (held[-1] if held else 0)
                 elements.chars[at] += len(text)
-                out.append(Block(text, linked, OPEN, heading, at))
+                out.append(Block(text, linked, OPEN, heading, at, laid_out=bool(n_held["pre"] or n_held["table"])))
             parts, links = [], []
         own = 0
 
@@ -247,40 +257,70 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+_EDGES = "'\"“”«»()[]{}.,;:!?…#*$%&|<>-–—"
+
+
 def _stop_share(text: str) -> float:
     words = text.lower().split()
-    return sum(w.strip("'\"“”«»()[]{}.,;:!?…#*$%&|<>-–—") in STOPS for w in words) / max(1, len(words))
+    return sum(w.strip(_EDGES) in STOPS for w in words) / max(1, len(words))
+
+
+def _tokens(text: str) -> list[str]:
+    """Words in lower case, and single characters of the scripts without spaces."""
+    out: list[str] = []
+    for w in text.lower().split():
+        out.extend(w if _UNSPACED.search(w) else (w.strip(_EDGES),))
+    return [w for w in out if w and w not in _EDGES]
+
+
+def density(found: list[Block]) -> Callable[[str], float]:
+    """How dense in function words a text is, by the listed languages or else by the page itself."""
+    prose = [b.text for b in found if b.state != BAD and b.size > LONG and b.linked <= LINKED * len(b.text)]
+    if not prose or any(_stop_share(t) >= STOP_HIGH for t in prose):
+        return _stop_share
+    tokens = [w for t in prose for w in _tokens(t)]
+    common = {w for w, n in Counter(w for w in tokens if len(w) <= 4).items() if n >= max(3, len(tokens) // 200)}
+
+    def share(text: str) -> float:
+        words = _tokens(text)
+        own = sum(w in common for w in words) / max(1, len(words))
+        return max(own, _stop_share(text), STOP_HIGH if _SENTENCE_END.search(text) else 0.0)
+
+    return share
 
 
 GOOD, NEAR, OPEN_SHORT, POOR = "good", "near", "short", "bad"
 
 
-def _label(b: Block, state: int, longer: int = 1) -> str:
+def _label(b: Block, state: int, longer: int = 1, dense: Callable[[str], float] = _stop_share) -> str:
     share = b.linked / len(b.text)
     if state == BAD:
         return POOR
     if state == INSIDE:
-        if share >= ALL_LINKS and not b.heading:
-            return POOR
-        return OPEN_SHORT if len(b.text) < SHORT else GOOD if _stop_share(b.text) >= STOP_LOW else NEAR
+        if b.size < SHORT:
+            return GOOD if b.heading or share <= LINKED else POOR if share >= ALL_LINKS else OPEN_SHORT
+        return GOOD if dense(b.text) >= STOP_LOW else NEAR
     if share > LINKED:
         return POOR
-    if len(b.text) < SHORT:
+    if b.size < SHORT:
         return POOR if (b.linked or state == SUSPECT) and not b.heading else OPEN_SHORT
-    stops = _stop_share(b.text)
-    if stops >= STOP_HIGH and len(b.text) > longer * LONG:
+    stops = dense(b.text)
+    if stops >= STOP_HIGH and b.size > longer * LONG:
         return GOOD
-    return NEAR if stops >= STOP_LOW and state != SUSPECT else POOR
+    if stops >= STOP_LOW and state != SUSPECT:
+        return NEAR
+    return OPEN_SHORT if b.laid_out and state != SUSPECT else POOR
 
 
 def first_pass(found: list[Block]) -> list[str]:
-    labels = [_label(b, b.state) for b in found]
+    dense = density(found)
+    labels = [_label(b, b.state, 1, dense) for b in found]
     inside = sum(len(b.text) for b, x in zip(found, labels, strict=True) if b.body and x != POOR)
     beside = sum(len(b.text) for b, x in zip(found, labels, strict=True) if not b.body and x == GOOD)
     if inside and inside >= beside:
         for i, b in enumerate(found):
             if not b.body and labels[i] != POOR:
-                labels[i] = GOOD if _label(b, b.state, 2) == GOOD else POOR
+                labels[i] = GOOD if _label(b, b.state, 2, dense) == GOOD else POOR
     return labels
 
 

@@ -123,6 +123,15 @@ def test_two_in_one(spark, forest):
 LONG = "This is the first of the paragraphs that is in the page and it has a lot of words that are in the list of the words so that it is long and it is good and there is not more to say about it than that it is."
 
 
+#: Title, a long and a short paragraph, in languages without listed stop words, or with few.
+OTHERS = [
+    ("日本語の記事", "東京は日本の首都であり、世界でも最大級の都市のひとつである。古くは江戸と呼ばれ、徳川幕府が置かれたことで発展した。明治になって名前が改められ、政治と経済の中心として今日に至っている。多くの人が毎日この町を訪れ、働き、そして学んでいる。", "人口は多い。"),
+    ("Il titolo", "Nel mezzo del cammino gli uomini cercano sempre qualche strada nuova, perché quella vecchia spesso porta dove nessuno vuole andare. Così dicono i vecchi del paese, che hanno visto passare molte stagioni e sanno quanto pesa ogni scelta fatta troppo presto.", "Questo rimane vero."),
+    ("Заголовок", "Москва является столицей России и одним из крупнейших городов мира. Город стоит на реке, и в нём живёт больше двенадцати миллионов человек. Каждый год сюда приезжают люди со всей страны, чтобы учиться и работать, и многие из них остаются здесь навсегда.", "Так было и раньше."),
+    ("标题在这里", "北京是中国的首都，也是全国的政治和文化中心。这座城市有三千多年的历史，曾经是很多朝代的都城。今天的北京有两千多万人口，每年都有许多游客来这里参观故宫和长城。城市里的交通很方便，人们可以坐地铁到很多地方去。", "天气很好。"),
+]
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
@@ -146,6 +155,12 @@ LONG = "This is the first of the paragraphs that is in the page and it has a lot
         ("<article><p>Short.</p><p><a href=x>Share</a> <a href=y>Send</a></p><p>One <a href=z>link</a> here, and more.</p></article>", "Short.\nOne link here, and more."),
         ("<article><p>a</p><article class='comment'><p>I like the text</p></article></article>", "a"),
         ("<aside><article><p>Teaser one</p></article></aside><main><p>Text</p></main>", "Text"),
+        ("<article><p>The value is <math><mi>x</mi>=5</math> and that is it.</p></article>", "The value is x=5 and that is it."),
+        (f"<article><p>{LONG}</p><p><a href=x>{LONG}</a></p><ul><li>one</li><li>two</li></ul><p><a href=x>Share</a></p></article>", f"{LONG}\n{LONG}\none\ntwo"),
+        (f"<article><p><a href=x>Share</a></p><ul><li>one</li></ul><p><a href=x>Send</a></p></article>", "one"),
+        (f"<body><p>{LONG}</p><pre>for i in range(10):\n  print(values[i], file=output, flush=True) # 0123456789 0123456789</pre><table><tr><td>Alpha 1</td><td>{'Beta ' * 20}</td></tr></table><p>{LONG}</p>",
+         f"{LONG}\nfor i in range(10): print(values[i], file=output, flush=True) # 0123456789 0123456789\nAlpha 1\n{('Beta ' * 20).strip()}\n{LONG}"),
+        *[(f"<body><div><a href=/>Home</a> <a href=/b>News</a></div><h1>{title}</h1><p>{text}</p><p>{second}</p><p>{text}</p><div><a href=/c>C</a> 2020</div>", f"{title}\n{text}\n{second}\n{text}") for title, text, second in OTHERS],
     ],
 )
 def test_main_text(page, want):
