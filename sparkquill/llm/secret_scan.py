@@ -1,7 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more key characters with a digit in it, or what a word such as `password` is set to. Runs
-are taken whole, however long. A candidate's features are its length, how its characters follow one another, how much
+A candidate is a run of 16 or more key characters with a digit in it; 8 or more characters, of any kind but white space,
+quotes and angle brackets, that a name of `SET` is set to by `:` or `=`; 16 or more key characters after `Bearer` or
+`Basic`; or the password of a URL, of 4 characters or more. Shorter ones are words or numbers too often. Runs are taken
+whole, however long. A candidate's features are its length, how its characters follow one another, how much
 of it dictionary words cover, its likeness to a path, and the words beside it. A random forest trained from labelled
 findings decides.
 
@@ -27,9 +29,13 @@ from sparkquill.llm.html_main import STOP_WORDS
 
 KEY = "A-Za-z0-9+/_=.~-"
 NAMES = "passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credentials?"
+#: Names whose value is a candidate, with or without a digit.
+SET = "passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?"
 CANDIDATE = (
     f"(?<![{KEY}])(?=[A-Za-z+/_=.~-]*+[0-9])[{KEY}]{{16,}}+"
-    f"|(?<=[=:\"'\\s])(?<=(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key)[\"']?\\s{{0,2}}[:=]\\s{{0,2}}[\"']?)[^\\s\"'<>]{{8,}}+"
+    f"|(?<=[=:\"'\\s])(?<=(?i:{SET})[\"']?\\s{{0,2}}[:=]\\s{{0,2}}[\"']?)[^\\s\"'<>]{{8,}}+"
+    f"|(?<=\\s)(?<=(?i:bearer|basic)\\s{{1,2}})[{KEY}]{{16,}}+"
+    "|(?<=:)(?<=://[^\\s/:@]{1,64}:)[^\\s/@\"'<>]{4,}+(?=@)"
 )
 MARK = "[SECRET]"
 BEFORE, AFTER = 48, 24
@@ -65,7 +71,19 @@ def findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str, int]]:
         before, after = text(r.randint(2, 7)) + " ", " " + text(r.randint(1, 4))
         if r.random() < 0.45:
             value = r.choice([lambda: pick(hexa, r.choice([32, 40, 40, 48, 64])), lambda: pick(base, r.randint(20, 48)), lambda: pick(base + "+/", 40), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: r.choice(["ghp_", "sk_live_", "xoxb-", "glpat-"]) + pick(base, r.randint(24, 36)), lambda: pick(base + "-_", 22) + "." + pick(base + "-_", 40), lambda: pick(base + "!@%&", r.randint(10, 18)) + r.choice(string.digits)])()
-            if r.random() < 0.9:
+            way = r.random()
+            if way < 0.06:
+                before += r.choice(["postgres", "mysql", "https", "redis", "amqp", "mongodb"]) + "://" + r.choice(["admin", "root", "app", "user", word()]) + ":"
+                value, after = pick(base + "!$%&-_", r.randint(6, 20)), "@" + r.choice(["db", "host", "cache"]) + ".example.com/" + word()
+            elif way < 0.12:
+                before += r.choice(["Authorization: Bearer ", "authorization: bearer ", "Authorization: Basic ", "-H 'Authorization: Bearer "])
+                value = r.choice([pick(string.ascii_letters, r.randint(20, 48)), pick(base + "-_", r.randint(20, 48)), pick(base, 30) + "=="])
+            elif way < 0.22:
+                glue = r.choice(join)
+                before += r.choice(keys) + glue
+                value = pick(r.choice([string.ascii_uppercase, string.ascii_letters]), r.randint(16, 32))
+                after = ('"' if glue[-1] == '"' else "'" if glue[-1] == "'" else "") + after
+            elif way < 0.92:
                 glue = r.choice(join)
                 before += r.choice(keys) + glue
                 after = ('"' if glue[-1] == '"' else "'" if glue[-1] == "'" else "") + after
@@ -73,7 +91,7 @@ def findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str, int]]:
                 value = r.choice(["AKIA" + pick(string.ascii_uppercase + string.digits, 16), "ghp_" + pick(base, 36)])
             out.append((value, before[-BEFORE:], after[:AFTER], 1))
             continue
-        kind = r.randrange(9)
+        kind = r.randrange(11)
         if kind == 0:
             value, before = pick(hexa, r.choice([32, 40, 64])), before + r.choice(plain) + r.choice([" ", ": ", ":", "=", " = "])
         elif kind == 1:
@@ -97,6 +115,12 @@ def findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str, int]]:
         elif kind == 7:
             value = pick(string.digits, 4) + "-" + pick(string.digits, 2) + "-" + pick(string.digits, 2) + "T" + pick(string.digits, 2) + "-" + pick(string.digits, 2) + "Z"
             before += r.choice(["at ", "on ", "date: ", "since "])
+        elif kind == 8:
+            value = "".join(r.choice(syllables) for _ in range(r.randint(4, 7))) + r.choice(["", "", ".", ",", ";"])
+            before += r.choice(keys) + r.choice(join)
+        elif kind == 9:
+            value = r.choice(["", "-", "_"]).join(word() for _ in range(r.randint(5, 7)))
+            before += r.choice(["the bearer ", "basic ", "Basic ", "of a bearer "])
         else:
             value = "".join(word() for _ in range(r.randint(3, 6))) + pick(string.digits, r.randint(1, 3))
             before += r.choice(["", "", 'name = "', "token ", "password "])
