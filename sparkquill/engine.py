@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquill.operators import bm25, chunking, context, fusion, store, vector
+from sparkquill.operators import bm25, chunking, context, fusion, graph, store
 from sparkquill.operators.embed import Embedder, embedded
 
 #: Cores that a level of use takes, as a share of all.
@@ -73,23 +73,23 @@ class Engine:
         index = bm25.build(self.chunks, "chunk_id", "content")
         self.store.put("postings", index.postings, ["term"])
         self.store.put("stats", index.stats)
-        cells = vector.CellIndex.build(self._vectors()) if self._vectors().count() >= self.config.approximate_from else None
-        if cells is not None:
+        found = graph.GraphIndex.build(self._vectors()) if self._vectors().count() >= self.config.approximate_from else None
+        if found is not None:
             version = uuid.uuid4().hex
-            cells.save(f"{self.store.root}/vectors/{version}")
+            found.save(f"{self.store.root}/vectors/{version}")
             self.store.point("vectors", version)
         self.store.clean()
 
     def _vectors(self) -> DataFrame:
         return self.chunks.select(F.col("chunk_id").alias("id"), "embedding").filter(F.size("embedding") > 0)
 
-    def vector_index(self) -> vector.CellIndex | None:
+    def vector_index(self) -> graph.GraphIndex | None:
         """The saved vector index, or None where vectors are few and scanned."""
         if self.store.dirty:
             self.rebuild()
         if not self.store.exists("vectors") or self._vectors().count() < self.config.approximate_from:
             return None
-        return vector.CellIndex.load(self.spark, f"{self.store.root}/vectors/{self.store.version('vectors')}")
+        return graph.GraphIndex.load(self.spark, f"{self.store.root}/vectors/{self.store.version('vectors')}")
 
     def index(self) -> bm25.Index:
         if self.store.dirty:
@@ -118,15 +118,14 @@ class Engine:
         if source_ids:
             hits = self.search_hybrid(queries, k, fusion.Filter(source_ids), fusion.Fusion(60, 1.0, 0.0))
             return hits.withColumn("similarity", F.col("score"))
-        cells = None if exact else self.vector_index()
-        asked, k = self._embedded(queries), k or self.config.top_k
-        hits = cells.search(asked, k) if cells is not None else vector.topk(self._vectors(), asked, k)
+        index = None if exact else self.vector_index()
+        hits = graph.nearest(self._vectors(), index, self._embedded(queries), k or self.config.top_k)
         return fusion.with_content(hits, self.chunks, self.sources).withColumnRenamed("doc_id", "chunk_id")
 
     def search_hybrid(self, queries: DataFrame, k: int | None = None, chosen: fusion.Filter | None = None, config: fusion.Fusion | None = None) -> DataFrame:
         k = k or self.config.top_k
         many = fusion.service_candidates(k) if chosen is not None and chosen.source_ids is not None else k
-        hits = fusion.hybrid(self.chunks, self._embedded(queries), many, config or self.config.fusion, chosen, self.sources, self.index())
+        hits = fusion.hybrid(self.chunks, self._embedded(queries), many, config or self.config.fusion, chosen, self.sources, self.index(), self.vector_index())
         hits = hits.filter(F.col("rank") <= k)
         return fusion.with_content(hits, self.chunks, self.sources).withColumnRenamed("doc_id", "chunk_id")
 

@@ -55,7 +55,7 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count(dl).alias("n"), F.coalesce(F.sum(dl), F.lit(0)).alias("total"), F.avg(dl).alias("avgdl"))
 
 
-def _postings(found: DataFrame) -> DataFrame:
+def posted(found: DataFrame) -> DataFrame:
     """Terms counted within their row: sorted, each run of equal ones is a posting. Nothing is shuffled."""
     rows = found.select("doc_id", "dl", F.sort_array("tokens").alias("t"))
     starts = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (F.get("t", i - 1) != x), i)), lambda i: i.isNotNull())
@@ -72,13 +72,13 @@ def _index(postings: DataFrame) -> Index:
 
 def build(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Index:
     """An index of all texts, written to the shared folder: texts are tokenized once. Ids are expected to be unique."""
-    return _index(_postings(tokenized(docs, ident, text)))
+    return _index(posted(tokenized(docs, ident, text)))
 
 
 def add(index: Index, docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Index:
     """The index with more documents; those whose id is present, and those without a token, are left out."""
     known = index.postings.filter("lead").select("doc_id")
-    return _index(index.postings.unionByName(_postings(tokenized(docs, ident, text).join(known, "doc_id", "left_anti"))))
+    return _index(index.postings.unionByName(posted(tokenized(docs, ident, text).join(known, "doc_id", "left_anti"))))
 
 
 def remove(index: Index, ids: DataFrame) -> Index:
@@ -128,7 +128,7 @@ def scan(docs: DataFrame, queries: DataFrame, k: int | None, floor: bool = False
         found = tokenized(docs, ident, text)
         wanted = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
         hits = written(found.select("doc_id", "dl", F.filter("tokens", lambda t: F.array_contains(wanted, t)).alias("tokens")), "hits")
-        scores = scored(_postings(hits.filter(F.size("tokens") > 0)), corpus_stats(hits), terms, floor)
+        scores = scored(posted(hits.filter(F.size("tokens") > 0)), corpus_stats(hits), terms, floor)
     if floor:
         scores = scores.filter("score > 0")
     return scores if k is None else ranked(scores, k)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkquill.operators import bm25, vector
+from sparkquill.operators import bm25, graph, vector
 
 
 @dataclass(frozen=True)
@@ -85,16 +85,18 @@ def _again(ranks: DataFrame, allowed: DataFrame) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(w))
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, k: int, config: Fusion = Fusion(), chosen: Filter | None = None, sources: DataFrame | None = None, index: bm25.Index | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, queries: DataFrame, k: int, config: Fusion = Fusion(), chosen: Filter | None = None, sources: DataFrame | None = None, index: bm25.Index | None = None, nearest: graph.GraphIndex | None = None) -> DataFrame:
     """chunks (chunk_id, content, embedding, source_id), queries (qid, query, embedding) -> qid, doc_id, score, ranks.
 
     With source ids, both branches see only chunks of these sources, and statistics are theirs alone; a pattern on
-    metadata holds there too. Any other filter is applied to candidates, which are then ranked anew."""
+    metadata holds there too. Any other filter is applied to candidates, which are then ranked anew. Candidates come from
+    `index` and `nearest` where they are given, from all texts and vectors otherwise; sources are always scanned."""
     exact = chosen is not None and bool(chosen.source_ids)
     many = candidates(k, chosen is not None)
     scope = _matching(chunks, sources, chosen) if exact else chunks
     vectors = scope.select(F.col("chunk_id").alias("id"), "embedding").filter(F.col("embedding").isNotNull())
-    by_vector = vector.topk(vectors, queries, None if exact else many).select("qid", "doc_id", "rank")
+    by_vector = vector.topk(vectors, queries, None) if exact else graph.nearest(vectors, nearest, queries, many)
+    by_vector = by_vector.select("qid", "doc_id", "rank")
     if index is not None and not exact:
         by_words = bm25.search(index, queries, many)
     else:

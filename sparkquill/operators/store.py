@@ -195,15 +195,16 @@ def buffer_stats(buffer: DataFrame, index_loaded: bool) -> DataFrame:
 
 
 def incremental_search(buffer: DataFrame, index, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest of buffer and index together: qid, doc_id, distance, origin. The index, a table or a CellIndex, gives
+    """The k nearest of buffer and index together: qid, doc_id, distance, origin. The index, a table or one of the approximate indexes, gives
     its 2k best, and so does the buffer; an id in both counts once, by its smaller distance, the buffer's first."""
+    from sparkquill.operators.graph import GraphIndex
     from sparkquill.operators.vector import CellIndex, topk
 
     as_rows = lambda df: df.select(F.col("doc_id").alias("id"), "embedding")
     # Of repeats of an id in the buffer the nearest counts, so k others can't be hidden by them.
     once = buffer.select("doc_id", "embedding").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
     recent = topk(as_rows(buffer), queries, 2 * k * once).withColumn("origin", F.lit("buffer"))
-    stored = index.search(queries, 2 * k) if isinstance(index, CellIndex) else topk(as_rows(index), queries, 2 * k)
+    stored = index.search(queries, 2 * k).drop("compared") if isinstance(index, (CellIndex, GraphIndex)) else topk(as_rows(index), queries, 2 * k)
     both = recent.unionByName(stored.withColumn("origin", F.lit("hnsw"))).withColumn("distance", 1 - F.col("similarity"))
     near = Window.partitionBy("qid", "doc_id").orderBy(F.round("distance", 12), "origin")
     once = both.withColumn("__n", F.row_number().over(near)).filter("__n = 1")

@@ -302,11 +302,13 @@ def all_of() -> dict[str, str]:
             lambda h, b: (xor(h::UBIGINT, b::UBIGINT)::HUGEINT * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT), 16, '0')) hash
             FROM (SELECT item_id, i, hex(encode({collapse('lower(s[i])')})) x FROM (SELECT item_id, s, unnest(range(1, len(s) + 1)) i FROM (SELECT item_id, {sentences('text')} s FROM benchmark)))""",
         "vector_cells": f"SELECT count(DISTINCT qid) n_queries, count(*) n_exact, true AS recalled FROM {v20(near(vecs, vec_asked), K)}",
+        "vector_graph": f"SELECT qid, rank, doc_id, round(similarity, 6) similarity, 1.0::DOUBLE AS recall, true AS spared FROM {v20(near(vecs, vec_asked), K)}",
         "mean_pool": "SELECT label, (pos - 1)::BIGINT pos, round(avg(embedding[pos]::DOUBLE), 6) AS value FROM embeddings, range(1, 65) r(pos) GROUP BY label, pos",
         "search_chunks": f"SELECT qid, rank, t.doc_id chunk_id, {SRC} source_id, md5(text) digest, 'Publisher ' || source metadata, round(similarity, 6) similarity FROM {v20(hv, 5)} t JOIN documents d ON d.doc_id = t.doc_id",
         "search_similar": f"SELECT qid, rank, md5(text) digest FROM {v20(hv, 3)} t JOIN documents d ON d.doc_id = t.doc_id",
         "bm25_topk": f"WITH {bm25('b', DOCS, ONE)} SELECT qid, doc_id, round(score, 6) score, rank FROM {ranked('b', K)}",
         "bm25_batch": f"WITH {bm25('b', DOCS, ASKED)} SELECT qid, doc_id, round(score, 6) score, rank FROM {ranked('b', K)}",
+        "bm25_segments": f"WITH {bm25('b', DOCS + ' WHERE doc_id % 4 = 3 OR doc_id % 2 = 0 OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)', ASKED)} SELECT qid, doc_id, round(score, 6) score, rank FROM {ranked('b', K)}",
         "bm25_scoped": f"WITH {bm25('b', scoped, ONE, True)} SELECT qid, doc_id, round(score, 6) score, rank FROM {ranked('(SELECT * FROM b WHERE score > 0)', K)}",
         "bm25_index_add": f"WITH {bm25('b', DOCS, ONE)} SELECT qid, doc_id, round(score, 6) score, rank FROM {ranked('b', K)}",
         "bm25_index_remove": f"WITH {bm25('b', DOCS + ' WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)', ONE)} SELECT qid, doc_id, round(score, 6) score, rank FROM {ranked('b', K)}",
@@ -380,6 +382,6 @@ def all_of() -> dict[str, str]:
 
 
 RANKED = frozenset(
-    "vector_topk_batch search_chunks search_similar bm25_topk bm25_batch bm25_scoped bm25_index_add bm25_index_remove rrf_hybrid rrf_weighted "
+    "vector_topk_batch vector_graph search_chunks search_similar bm25_topk bm25_batch bm25_segments bm25_scoped bm25_index_add bm25_index_remove rrf_hybrid rrf_weighted "
     "hybrid_source_filter hybrid_metadata_like search_hybrid_simple incremental_search expand_adjacent order_chronological context_budget score_sentences".split()
 )

@@ -7,14 +7,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkquill.functions import hashing, text, vectors
-from sparkquill.operators import bm25, chunking, context, embed, evaluate, fusion, store, vector
-
+from sparkquill.operators import bm25, chunking, context, embed, evaluate, fusion, graph, segments, store, vector
 from sparkquill.streaming import ingest
-from sparkquill.tables import shared_dir, spread, table, written
+from sparkquill.tables import scratch_dir, settled, shared_dir, spread, table, written
 
 QUERY = "Licensed under the Apache License"
 K = 10
@@ -239,6 +238,19 @@ def vector_cells(spark, d):
     return both.agg(F.countDistinct("qid").alias("n_queries"), F.count("*").alias("n_exact"), (found >= 0.9).alias("recalled"))
 
 
+def vector_graph(spark, d):
+    """Graph search against the exact ranks: hits, the share of the exact ones found by each query, and whether it worked
+    out no more similarities than there are vectors, a tenth of them where there are 50,000."""
+    rows, asked = spread(_vectors(spark, d)), _vector_queries(spark, d)
+    n = rows.count()
+    found = settled(lambda: written(graph.GraphIndex.build(rows).search(asked, K), "found"))
+    exact = vector.topk(rows, asked, K).select("qid", "doc_id", F.lit(1).alias("exact"))
+    share = F.round(F.count("exact").over(Window.partitionBy("qid")) / F.lit(K), 2)
+    spared = F.col("compared") * (10 if n >= 50_000 else 1) <= n
+    out = found.join(exact, ["qid", "doc_id"], "left")
+    return out.select("qid", "rank", "doc_id", F.round("similarity", 6).alias("similarity"), share.alias("recall"), spared.alias("spared"))
+
+
 def mean_pool(spark, d):
     rows = table(spark, d, "embeddings").groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("rows"))
     return rows.select("label", F.posexplode(vectors.mean_pool(F.col("rows"))).alias("pos", "value")).select("label", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
@@ -298,6 +310,19 @@ def _hybrid(spark, d, config, chosen=None):
     return found.select("qid", "doc_id", F.round("score", 6).alias("score"), "vector_rank", "bm25_rank", "rank")
 
 
+def bm25_segments(spark, d):
+    """The batch's ranks from an index that grew: documents in four parts, those of toxic texts removed in between, and some
+    of them added again at the end; segments are merged on the way."""
+    rows = written(docs(spark, d), "docs")
+    toxic = table(spark, d, "labels").filter("toxic = 1").select("doc_id")
+    index = segments.SegmentIndex(spark, scratch_dir(spark, "segments"))
+    for part in range(4):
+        index = index.add(rows.filter(F.pmod("doc_id", F.lit(4)) == part))
+        index = index.remove(toxic) if part == 2 else index
+    index = index.add(rows.join(toxic.filter("doc_id % 2 = 0"), "doc_id", "left_semi"))
+    return index.search(questions(spark, d), K).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 def rrf_hybrid(spark, d):
     return _hybrid(spark, d, fusion.Fusion())
 
@@ -646,7 +671,7 @@ ALL = [
     tokens_per_doc, keep_token, term_doc_freq, corpus_stats, split_sentences, sentence_dedup, sentence_hash, compress_text, compress_text_simple,
     should_compress, truncation_policy, significant_terms, classify_chunk, detect_strategy, parse_intent, content_hash, normalize_ws, dehyphenate,
     strip_page_number, join_pages, document_kind, subword_tokenize, cosine_similarity, embedding_norms, dim_guard, vector_topk, vector_topk_batch,
-    vector_self_join_label, vector_cells, mean_pool, search_chunks, search_similar, bm25_topk, bm25_batch, bm25_scoped, bm25_index_add,
+    vector_self_join_label, vector_cells, vector_graph, mean_pool, search_chunks, search_similar, bm25_topk, bm25_batch, bm25_segments, bm25_scoped, bm25_index_add,
     bm25_index_remove, rrf_hybrid, rrf_weighted, hybrid_source_filter, hybrid_metadata_like, search_hybrid_simple, content_fetch, dedup_ingest,
     add_document, list_sources, get_source, get_source_chunks, get_all_chunks, get_adjacent_chunks, chunks_left_join_sources, source_stats,
     chunk_counts, delete_source, update_status, update_embedding, incremental_search, buffer_merge, buffer_stats, chunk_overlap, semantic_chunk,
