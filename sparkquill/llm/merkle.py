@@ -3,7 +3,7 @@
 Lines are paragraphs. A paragraph's leaves are its pieces, whose bounds depend on the few characters around them alone: a
 piece ends after punctuation that white space follows, and after the full-width or other scripts' punctuation. What is
 longer than `LONG` characters also ends after every word whose hash is one of an eighth of all, and what is then still
-longer, as in scripts without spaces or in encoded data, after every character whose window of four has a hash of a
+longer than `UNBROKEN`, as in scripts without spaces or in encoded data, after every character whose window of four has a hash of a
 thirty-second of all. A paragraph's node hashes its leaves, a section ends after a paragraph whose node starts with 0 or 1 (eight paragraphs on
 average, and the same ones after an edit elsewhere), its node hashes its paragraphs' nodes, the root hashes the sections'.
 So an edit changes the leaves that it touches and their branch; only windows of giant unbroken runs are also parted every
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 #: Punctuation that ends a piece at white space, and that which ends it anywhere.
 POINTS, WIDE_POINTS = ".!?;,:", "。！？；：，、।॥။።،؛؟"
 PIECE = f"[^\\n]+?(?:[{POINTS}]+[ \\t]+|[{WIDE_POINTS}]+|\\z)"
-#: Characters from which on a piece is parted by hashes, a window's characters, and what is parted into windows at once.
-LONG, WINDOW, BLOCK = 96, 4, 8192
+#: Characters from which on a piece is parted by hashes of words, then by those of windows; a window's characters, and what
+#: is parted into windows at once.
+LONG, UNBROKEN, WINDOW, BLOCK = 96, 256, 4, 8192
 #: Words and windows whose hashes start so end a piece: one of 8, one of 32.
 WORD, WORD_CUT, CUT = "[^ \\t]*[ \\t]+|[^ \\t]+", "[01]", "0[0-7]"
 #: Hex digits of a root, and of a leaf as it is printed.
@@ -69,7 +70,7 @@ def pieces(paragraph: Column) -> Column:
     """The pieces of a paragraph, in order; together they are the paragraph."""
     short = lambda p: F.length(p) <= LONG
     blocks = lambda p: F.regexp_extract_all(p, F.lit(f"[^\\n]{{1,{BLOCK}}}"), F.lit(0))
-    by_windows = lambda p: F.when(short(p), F.array(p)).otherwise(F.flatten(F.transform(blocks(p), _windows)))
+    by_windows = lambda p: F.when(F.length(p) <= UNBROKEN, F.array(p)).otherwise(F.flatten(F.transform(blocks(p), _windows)))
     by_words = lambda p: F.when(short(p), F.array(p)).otherwise(F.flatten(F.transform(_words(p), by_windows)))
     whole = lambda found: F.when(F.forall(found, short), found).otherwise(F.flatten(F.transform(found, by_words)))
     return F.get(F.transform(F.array(F.regexp_extract_all(paragraph, F.lit(PIECE), F.lit(0))), whole), F.lit(0))

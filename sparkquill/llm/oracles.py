@@ -88,7 +88,7 @@ def fingerprints() -> str:
     cut = f"regexp_matches(md5(k[i - {w - 1}:i]), '^{merkle.CUT}')"
     parted = f"list_filter(string_split(array_to_string([k[i:i] || CASE WHEN i >= {w} AND {cut} THEN chr(10) ELSE '' END for i in range(1, length(k) + 1)], ''), chr(10)), lambda y: y <> '')"
     blocks = f"[x[i:i + {merkle.BLOCK - 1}] for i in range(1, length(x) + 1, {merkle.BLOCK})]"
-    by_windows = f"flatten(list_transform(zs, lambda x: CASE WHEN length(x) <= {merkle.LONG} THEN [x] ELSE flatten(list_transform({blocks}, lambda k: {parted})) END))"
+    by_windows = f"flatten(list_transform(zs, lambda x: CASE WHEN length(x) <= {merkle.UNBROKEN} THEN [x] ELSE flatten(list_transform({blocks}, lambda k: {parted})) END))"
     marked = f"list_transform(regexp_extract_all(x, '{merkle.WORD}'), lambda o: o || CASE WHEN regexp_matches(md5(o), '^{merkle.WORD_CUT}') THEN chr(10) ELSE '' END)".replace("\\t", "\t")
     words = f"list_filter(string_split(array_to_string({marked}, ''), chr(10)), lambda y: y <> '')"
     small = f"CASE WHEN length(x) <= {merkle.LONG} THEN [x] ELSE {by_windows.replace('zs', words)} END"
