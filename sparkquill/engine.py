@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquill.operators import bm25, chunking, context, fusion, graph, store
+from sparkquill.operators import chunking, context, fusion, graph, segments, store
 from sparkquill.operators.embed import Embedder, embedded
 
 #: Cores that a level of use takes, as a share of all.
@@ -22,6 +22,10 @@ def threads(cores: int, level: str | None = None, count: int | None = None) -> i
     return max(1, count if count is not None else int(cores * (LEVELS[level] if level is not None else 0.5)))
 
 
+#: In place of a version: there is no graph.
+NO_GRAPH = "none"
+
+
 @dataclass(frozen=True)
 class Config:
     max_chunk_chars: int = 500
@@ -29,6 +33,8 @@ class Config:
     top_k: int = 10
     #: Vectors from which on a search asks the approximate index; fewer are scanned.
     approximate_from: int = 10_000
+    #: Share of the indexed vectors from which on, when so many have come or gone, the graph is built anew.
+    stale: float = 0.1
     token_budget: int = 2000
     fusion: fusion.Fusion = fusion.SERVICE
 
@@ -38,7 +44,7 @@ class Engine:
         self.spark, self.embed, self.config = spark, embed, config
         self.store = store.Store(spark, root)
         self.store.init()
-        if self.store.dirty or not self.store.exists("postings"):
+        if self.store.dirty or not self._words().manifest.number:
             self.rebuild()
 
     @property
@@ -69,35 +75,56 @@ class Engine:
         return results.join(counts, "source_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
 
     def rebuild(self) -> None:
-        """The keyword index from the chunks, and the vector index where there are enough of them."""
-        index = bm25.build(self.chunks, "chunk_id", "content")
-        self.store.put("postings", index.postings, ["term"])
-        self.store.put("stats", index.stats)
-        found = graph.GraphIndex.build(self._vectors()) if self._vectors().count() >= self.config.approximate_from else None
+        """Brings the indexes up to the chunks by what has changed: the keyword index by a segment and a list of removed
+        ids; vectors by a level of recent ones beside the graph, which is built anew only when a tenth of it has changed."""
+        self._words().reconcile(self.chunks, "chunk_id", "content").expire()
+        vectors, built = self._vectors(), self._graph_path()
+        if built is not None:
+            known = self.spark.read.parquet(f"{built}/ids")
+            self.store.put("recent", vectors.join(known, "id", "left_anti"))
+            self.store.put("gone", known.join(vectors, "id", "left_anti").select(F.col("id").alias("doc_id")))
+            if self.store.get("recent").count() + self.store.get("gone").count() <= self.config.stale * known.count():
+                self.store.clean()
+                return
+        found = graph.GraphIndex.build(vectors) if vectors.count() >= self.config.approximate_from else None
+        version = uuid.uuid4().hex if found is not None else NO_GRAPH
         if found is not None:
-            version = uuid.uuid4().hex
             found.save(f"{self.store.root}/vectors/{version}")
+            vectors.select("id").write.parquet(f"{self.store.root}/vectors/{version}/ids")
+            self.store.put("recent", vectors.limit(0))
+            self.store.put("gone", vectors.limit(0).select(F.col("id").alias("doc_id")))
+        if found is not None or built is not None:
             self.store.point("vectors", version)
         self.store.clean()
 
+    def _words(self) -> segments.SegmentIndex:
+        return segments.SegmentIndex(self.spark, f"{self.store.root}/words")
+
+    def _graph_path(self) -> str | None:
+        version = self.store.version("vectors") if self.store.exists("vectors") else NO_GRAPH
+        return None if version == NO_GRAPH else f"{self.store.root}/vectors/{version}"
+
     def _vectors(self) -> DataFrame:
         return self.chunks.select(F.col("chunk_id").alias("id"), "embedding").filter(F.size("embedding") > 0)
 
-    def vector_index(self) -> graph.GraphIndex | None:
-        """The saved vector index, or None where vectors are few and scanned."""
+    def vector_index(self) -> graph.Layers | None:
+        """The saved vector index with what has changed since, or None where vectors are few and scanned."""
         if self.store.dirty:
             self.rebuild()
-        if not self.store.exists("vectors") or self._vectors().count() < self.config.approximate_from:
-            return None
-        return graph.GraphIndex.load(self.spark, f"{self.store.root}/vectors/{self.store.version('vectors')}")
+        path = self._graph_path()
+        found = graph.GraphIndex.load(self.spark, path) if path is not None else None
+        return None if found is None else graph.Layers(found, self.store.get("recent"), self.store.get("gone"))
 
-    def index(self) -> bm25.Index:
+    def index(self) -> segments.SegmentIndex:
         if self.store.dirty:
             self.rebuild()
-        return bm25.Index(self.store.get("postings"), self.store.get("stats"))
+        return self._words()
 
     def regenerate_embeddings(self) -> None:
+        """All vectors anew. The graph is let go first: one of old vectors is never asked."""
         self.store.mark_dirty()
+        if self._graph_path() is not None:
+            self.store.point("vectors", NO_GRAPH)
         self.store.put("chunks", embedded(self.chunks, self.embed), ["source_id"])
         self.rebuild()
 

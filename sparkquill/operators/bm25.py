@@ -44,6 +44,10 @@ class Index:
     def load(cls, spark: SparkSession, path: str) -> Index:
         return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
 
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """qid, doc_id, score, rank."""
+        return ranked(scored(self.postings, self.stats, query_terms(queries)), k)
+
     @property
     def n_docs(self) -> int:
         return int(self.stats.first()["n"])
@@ -112,7 +116,7 @@ def ranked(scores: DataFrame, k: int | None, column: str = "score") -> DataFrame
 
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """qid, doc_id, score, rank."""
-    return ranked(scored(index.postings, index.stats, query_terms(queries)), k)
+    return index.search(queries, k)
 
 
 def scan(docs: DataFrame, queries: DataFrame, k: int | None, floor: bool = False, ident: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkquill.operators import bm25, graph, vector
+from sparkquill.operators import bm25, graph, segments, vector
 
 
 @dataclass(frozen=True)
@@ -85,7 +85,7 @@ def _again(ranks: DataFrame, allowed: DataFrame) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(w))
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, k: int, config: Fusion = Fusion(), chosen: Filter | None = None, sources: DataFrame | None = None, index: bm25.Index | None = None, nearest: graph.GraphIndex | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, queries: DataFrame, k: int, config: Fusion = Fusion(), chosen: Filter | None = None, sources: DataFrame | None = None, index: bm25.Index | segments.SegmentIndex | None = None, nearest: graph.GraphIndex | graph.Layers | None = None) -> DataFrame:
     """chunks (chunk_id, content, embedding, source_id), queries (qid, query, embedding) -> qid, doc_id, score, ranks.
 
     With source ids, both branches see only chunks of these sources, and statistics are theirs alone; a pattern on
@@ -98,7 +98,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, k: int, config: Fusion = Fusio
     by_vector = vector.topk(vectors, queries, None) if exact else graph.nearest(vectors, nearest, queries, many)
     by_vector = by_vector.select("qid", "doc_id", "rank")
     if index is not None and not exact:
-        by_words = bm25.search(index, queries, many)
+        by_words = index.search(queries, many)
     else:
         found = bm25.scan(scope, queries, None if exact else many, floor=exact, ident="chunk_id", text="content")
         by_words = bm25.ranked(found, None) if exact else found

@@ -220,11 +220,15 @@ def merged(index: DataFrame, buffer: DataFrame) -> DataFrame:
     return index.join(fresh.select("doc_id"), "doc_id", "left_anti").select("doc_id", "embedding").unionByName(fresh)
 
 
+#: Snapshots of a table that stay beside the newest.
+KEPT = 3
+
+
 class Store:
     """Named tables in a folder that driver and executors share.
 
     A table's pointers are numbered files that are made whole and never replaced; the highest counts. A put writes its
-    snapshot, then the next pointer, then takes older pointers away: whenever it ends, the old or the new table is there."""
+    snapshot, then the next pointer, then takes the oldest away: whenever it ends, the old or the new table is there."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -247,12 +251,19 @@ class Store:
         self.point(name, version)
 
     def point(self, name: str, version: str) -> None:
-        """Makes a complete snapshot the newest. The pointer before it stays for readers that have just seen it."""
+        """Makes a complete snapshot the newest. The `KEPT` before it stay for readers that have opened them; older ones go
+        with their files, pointer last, so whoever stops in between leaves it to the next."""
         before = self._pointers(name)
         number = before[-1] + 1 if before else 1
         while not self.files.put_once(f"{self.root}/current/{name}/{number}", version):
             number += 1
-        for old in before[:-1]:
+        held = {self.files.text(f"{self.root}/current/{name}/{p}") for p in self._pointers(name)[-1 - KEPT :]}
+        for old in self._pointers(name)[: -1 - KEPT]:
+            gone = self.files.text(f"{self.root}/current/{name}/{old}")
+            if gone not in held:
+                for folder in (f"{self.root}/tables/{name}/{gone}", f"{self.root}/{name}/{gone}"):
+                    if self.files.exists(folder):
+                        self.files.delete(folder)
             self.files.delete(f"{self.root}/current/{name}/{old}")
 
     def get(self, name: str, schema: T.StructType | None = None) -> DataFrame:

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +195,40 @@ def test_engine_searches_its_vector_index(spark, tmp_path):
     exact = {(r["qid"], r["chunk_id"]) for r in e.search(q, 3, exact=True).collect()}
     assert e.vector_index() is not None
     assert len(near & exact) >= 0.5 * len(exact) == 3
+
+
+def test_engine_indexes_what_has_changed(spark, tmp_path):
+    """One text more is a segment and a recent vector, one less is on two lists; the graph stays until a tenth has changed."""
+    e = engine.Engine(spark, str(tmp_path / "c"), embed.hashing_embedder(16), engine.Config(approximate_from=5))
+    rows = lambda ids: spark.createDataFrame([(i, f"text number {i} of {i * i} about {'cats dogs birds fish'.split()[i % 4]}", "a.txt", None) for i in ids], "seq long, content string, name string, metadata string")
+    ask = lambda text: e.search_hybrid(spark.createDataFrame([(0, text)], "qid long, query string"), 3).collect()
+    e.add(rows(range(40)))
+    assert any("number 7 " in r["content"] for r in ask("number 7 of 49"))
+    graph, segments = e.store.version("vectors"), {s.name for s in e.index().manifest.segments}
+    e.add(rows([77]))
+    hit = next(r for r in ask("number 77 of 5929") if "number 77 " in r["content"])
+    assert hit["vector_rank"] > 0 and hit["bm25_rank"] > 0
+    now = e.index().manifest
+    assert e.store.version("vectors") == graph and {s.name for s in now.segments} > segments and len(now.segments) == 2
+    assert e.store.get("recent").count() == 1
+    e.delete(e.chunks.filter("content LIKE '%number 7 of%'").select("source_id"))
+    assert not any("number 7 " in r["content"] for r in ask("number 7 of 49"))
+    assert e.store.version("vectors") == graph and e.index().manifest.docs == 40 and e.store.get("gone").count() == 1
+    e.add(rows(range(100, 110)))
+    assert any("number 105 " in r["content"] for r in ask("number 105 of 11025"))
+    assert e.store.version("vectors") != graph and e.store.get("recent").count() == 0
+    e.regenerate_embeddings()
+    assert e.vector_index() is not None and any("number 105 " in r["content"] for r in ask("number 105 of 11025"))
+
+
+def test_old_snapshots_expire(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    s.put("t", spark.range(1))
+    reader = s.get("t")
+    for n in range(2, 4):
+        s.put("t", spark.range(n))
+    assert reader.count() == 1
+    for n in range(4, 12):
+        s.put("t", spark.range(n))
+    assert s.get("t").count() == 11
+    assert len(os.listdir(tmp_path / "s/tables/t")) == len([f for f in os.listdir(tmp_path / "s/current/t") if f.isdigit()]) == store.KEPT + 1
