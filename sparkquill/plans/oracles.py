@@ -308,6 +308,7 @@ def all_of() -> dict[str, str]:
         "search_similar": f"SELECT qid, rank, md5(text) digest FROM {v20(hv, 3)} t JOIN documents d ON d.doc_id = t.doc_id",
         "bm25_topk": f"WITH {bm25('b', DOCS, ONE)} SELECT qid, doc_id, round(score, 6) score, rank FROM {ranked('b', K)}",
         "bm25_batch": f"WITH {bm25('b', DOCS, ASKED)} SELECT qid, doc_id, round(score, 6) score, rank FROM {ranked('b', K)}",
+        "bm25_blocks": f"WITH {bm25('b', DOCS, ASKED)} SELECT qid, doc_id, round(score, 6) score, rank FROM {ranked('b', K)}",
         "bm25_segments": f"WITH {bm25('b', DOCS + ' WHERE doc_id % 4 = 3 OR doc_id % 2 = 0 OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)', ASKED)} SELECT qid, doc_id, round(score, 6) score, rank FROM {ranked('b', K)}",
         "bm25_scoped": f"WITH {bm25('b', scoped, ONE, True)} SELECT qid, doc_id, round(score, 6) score, rank FROM {ranked('(SELECT * FROM b WHERE score > 0)', K)}",
         "bm25_index_add": f"WITH {bm25('b', DOCS, ONE)} SELECT qid, doc_id, round(score, 6) score, rank FROM {ranked('b', K)}",
@@ -382,6 +383,6 @@ def all_of() -> dict[str, str]:
 
 
 RANKED = frozenset(
-    "vector_topk_batch vector_graph search_chunks search_similar bm25_topk bm25_batch bm25_segments bm25_scoped bm25_index_add bm25_index_remove rrf_hybrid rrf_weighted "
+    "vector_topk_batch vector_graph search_chunks search_similar bm25_topk bm25_batch bm25_blocks bm25_segments bm25_scoped bm25_index_add bm25_index_remove rrf_hybrid rrf_weighted "
     "hybrid_source_filter hybrid_metadata_like search_hybrid_simple incremental_search expand_adjacent order_chronological context_budget score_sentences".split()
 )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkquill.functions import hashing, text, vectors
-from sparkquill.operators import bm25, chunking, context, embed, evaluate, fusion, graph, segments, store, vector
+from sparkquill.operators import blockmax, bm25, chunking, context, embed, evaluate, fusion, graph, segments, store, vector
 from sparkquill.streaming import ingest
 from sparkquill.tables import scratch_dir, settled, shared_dir, spread, table, written
 
@@ -310,6 +310,12 @@ def _hybrid(spark, d, config, chosen=None):
     return found.select("qid", "doc_id", F.round("score", 6).alias("score"), "vector_rank", "bm25_rank", "rank")
 
 
+def bm25_blocks(spark, d):
+    """The batch's ranks from blocks with upper bounds."""
+    index = blockmax.BlockIndex.build(bm25.build(docs(spark, d)))
+    return index.search(questions(spark, d), K).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 def bm25_segments(spark, d):
     """The batch's ranks from an index that grew: documents in four parts, those of toxic texts removed in between, and some
     of them added again at the end; segments are merged on the way."""
@@ -671,7 +677,7 @@ ALL = [
     tokens_per_doc, keep_token, term_doc_freq, corpus_stats, split_sentences, sentence_dedup, sentence_hash, compress_text, compress_text_simple,
     should_compress, truncation_policy, significant_terms, classify_chunk, detect_strategy, parse_intent, content_hash, normalize_ws, dehyphenate,
     strip_page_number, join_pages, document_kind, subword_tokenize, cosine_similarity, embedding_norms, dim_guard, vector_topk, vector_topk_batch,
-    vector_self_join_label, vector_cells, vector_graph, mean_pool, search_chunks, search_similar, bm25_topk, bm25_batch, bm25_segments, bm25_scoped, bm25_index_add,
+    vector_self_join_label, vector_cells, vector_graph, mean_pool, search_chunks, search_similar, bm25_topk, bm25_batch, bm25_blocks, bm25_segments, bm25_scoped, bm25_index_add,
     bm25_index_remove, rrf_hybrid, rrf_weighted, hybrid_source_filter, hybrid_metadata_like, search_hybrid_simple, content_fetch, dedup_ingest,
     add_document, list_sources, get_source, get_source_chunks, get_all_chunks, get_adjacent_chunks, chunks_left_join_sources, source_stats,
     chunk_counts, delete_source, update_status, update_embedding, incremental_search, buffer_merge, buffer_stats, chunk_overlap, semantic_chunk,
