@@ -54,7 +54,8 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(lambda: piece_codec.encoded(_documents(spark, sf_dir), piece_codec.MODEL, piece_codec.CHUNK))
+    # Chunks of half the usual length: texts of more than one are in tables of every size.
+    return settled(lambda: piece_codec.encoded(_documents(spark, sf_dir), piece_codec.MODEL, piece_codec.CHUNK // 2))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
