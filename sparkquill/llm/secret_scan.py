@@ -33,8 +33,9 @@ NAMES = "passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key
 SET = "passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?"
 CANDIDATE = (
     f"(?<![{KEY}])(?=[A-Za-z+/_=.~-]*+[0-9])[{KEY}]{{16,}}+"
-    f"|(?<=[=:\"'\\s])(?<=(?i:{SET})[\"']?\\s{{0,2}}[:=]\\s{{0,2}}[\"']?)[^\\s\"'<>]{{8,}}+"
-    f"|(?<=\\s)(?<=(?i:bearer|basic)\\s{{1,2}})[{KEY}]{{16,}}+"
+    # Cheap looks back come first: most places fail there.
+    f"|(?<=[=:\"'\\s])(?<=[:=]\\s{{0,2}}[\"']?)(?<=(?i:{SET})[\"']?\\s{{0,2}}[:=]\\s{{0,2}}[\"']?)[^\\s\"'<>]{{8,}}+"
+    f"|(?<=[rRcC]\\s{{1,2}})(?<=(?i:bearer|basic)\\s{{1,2}})[{KEY}]{{16,}}+"
     "|(?<=:)(?<=://[^\\s/:@]{1,64}:)[^\\s/@\"'<>]{4,}+(?=@)"
 )
 MARK = "[SECRET]"
