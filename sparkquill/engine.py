@@ -22,6 +22,8 @@ def threads(cores: int, level: str | None = None, count: int | None = None) -> i
     return max(1, count if count is not None else int(cores * (LEVELS[level] if level is not None else 0.5)))
 
 
+#: Manifests of tables and words whose files stay for readers.
+READERS = 12
 #: In place of a version: there is no graph.
 NO_GRAPH = "none"
 
@@ -44,40 +46,53 @@ class Engine:
         self.spark, self.embed, self.config = spark, embed, config
         self.store = store.Store(spark, root)
         self.store.init()
+        for name in ("sources", "chunks"):
+            # A store of whole snapshots, as older versions wrote it, is taken over once.
+            if not self._table(name).manifest.number and not (old := self.store.get(name)).isEmpty():
+                self._table(name).add(old)
         if self.store.dirty or not self._words().manifest.number:
             self.rebuild()
 
+    def _table(self, name: str) -> segments.KeyedTable:
+        schema, key = {"sources": (store.SOURCES, "source_id"), "chunks": (store.CHUNKS, "chunk_id")}[name]
+        return segments.KeyedTable(self.spark, f"{self.store.root}/changes/{name}", schema, key)
+
     @property
     def sources(self) -> DataFrame:
-        return self.store.get("sources", store.SOURCES)
+        return self._table("sources").read()
 
     @property
     def chunks(self) -> DataFrame:
-        return self.store.get("chunks", store.CHUNKS)
+        return self._table("chunks").read()
 
     def add(self, incoming: DataFrame) -> DataFrame:
         """incoming (seq, content, name, metadata): chunked, embedded and stored; repeats are found before any of that.
 
-        Sources stay pending until their chunks are stored, and pending sources are chunked anew: a call that was stopped
-        anywhere is made good by the next, without a chunk twice. Returns seq, source_id, is_duplicate, message, chunk_count."""
-        sources, results = store.add_sources(self.sources, incoming)
+        What is written is the new sources, their chunks, and the new sources' status once more. Sources stay pending until
+        their chunks are stored, and pending sources are chunked anew: a call that was stopped anywhere is made good by the
+        next, without a chunk twice. Returns seq, source_id, is_duplicate, message, chunk_count."""
+        known = self.sources
+        every, results = store.add_sources(known, incoming)
         self.store.put("results", results)
         self.store.mark_dirty()
-        self.store.put("sources", sources)
+        self._table("sources").add(every.join(known.select("source_id"), "source_id", "left_anti"))
         results = self.store.get("results")
         fresh = self.sources.filter(F.col("status") == store.PENDING)
+        left = self.chunks.join(fresh.select("source_id"), "source_id", "left_semi").select("chunk_id")
+        if not left.isEmpty():
+            self._table("chunks").remove(left)
         new = embedded(chunking.chunked(fresh, self.config.max_chunk_chars, self.config.overlap_chars), self.embed)
-        kept = self.chunks.join(fresh.select("source_id"), "source_id", "left_anti").select(store.CHUNKS.names)
-        self.store.put("chunks", store.add_chunks(kept, new), ["source_id"])
-        done = fresh.select("source_id", F.lit(store.COMPLETED).alias("status"), F.lit(1).alias("seq"))
-        self.store.put("sources", store.update_status(self.sources, done))
-        counts = store.chunk_counts(self.chunks)
+        self._table("chunks").add(store.new_chunks(self.chunks, new))
+        self._table("sources").upsert(fresh.withColumn("status", F.lit(store.COMPLETED)))
+        counts = store.chunk_counts(self.chunks.join(results.select("source_id").distinct(), "source_id", "left_semi"))
         return results.join(counts, "source_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
 
     def rebuild(self) -> None:
         """Brings the indexes up to the chunks by what has changed: the keyword index by a segment and a list of removed
         ids; vectors by a level of recent ones beside the graph, which is built anew only when a tenth of it has changed."""
-        self._words().reconcile(self.chunks, "chunk_id", "content").expire()
+        self._words().reconcile(self.chunks, "chunk_id", "content").expire(READERS)
+        for name in ("sources", "chunks"):
+            self._table(name).expire(READERS)
         vectors, built = self._vectors(), self._graph_path()
         if built is not None:
             known = self.spark.read.parquet(f"{built}/ids")
@@ -125,14 +140,15 @@ class Engine:
         self.store.mark_dirty()
         if self._graph_path() is not None:
             self.store.point("vectors", NO_GRAPH)
-        self.store.put("chunks", embedded(self.chunks, self.embed), ["source_id"])
+        self._table("chunks").upsert(embedded(self.chunks, self.embed))
         self.rebuild()
 
     def delete(self, ids: DataFrame) -> None:
-        sources, chunks = store.delete_sources(self.sources, self.chunks, ids)
+        """Without these sources (source_id) and their chunks: chunks first, so none is ever without its source."""
+        gone = self.chunks.join(ids.select("source_id").distinct(), "source_id", "left_semi").select("chunk_id")
         self.store.mark_dirty()
-        self.store.put("sources", sources)
-        self.store.put("chunks", chunks, ["source_id"])
+        self._table("chunks").remove(gone)
+        self._table("sources").remove(ids)
 
     def _embedded(self, queries: DataFrame) -> DataFrame:
         return queries if "embedding" in queries.columns else queries.withColumn("embedding", self.embed(F.col("query")))

@@ -99,10 +99,15 @@ def add_sources(sources: DataFrame, incoming: DataFrame, seq: str = "seq") -> tu
     return sources.unionByName(new), results
 
 
-def add_chunks(chunks: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Chunks (source_id, chunk_index, content, ...) appended with new ids in order of source and index."""
+def new_chunks(chunks: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Chunks (source_id, chunk_index, content, ...) with ids after the largest, in order of source and index."""
     top = chunks.agg(F.max("chunk_id")).first()[0] or 0
-    return chunks.unionByName(migrated(numbered(incoming, ["source_id", "chunk_index"], "chunk_id", top + 1), CHUNKS))
+    return migrated(numbered(incoming, ["source_id", "chunk_index"], "chunk_id", top + 1), CHUNKS)
+
+
+def add_chunks(chunks: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The chunks and the new ones."""
+    return chunks.unionByName(new_chunks(chunks, incoming))
 
 
 def add_documents(docs: DataFrame, incoming: DataFrame, seq: str = "seq") -> tuple[DataFrame, DataFrame]:

@@ -309,6 +309,8 @@ def all_of() -> dict[str, str]:
         "bm25_topk": f"WITH {bm25('b', DOCS, ONE)} SELECT qid, doc_id, round(score, 6) score, rank FROM {ranked('b', K)}",
         "bm25_batch": f"WITH {bm25('b', DOCS, ASKED)} SELECT qid, doc_id, round(score, 6) score, rank FROM {ranked('b', K)}",
         "bm25_blocks": f"WITH {bm25('b', DOCS, ASKED)} SELECT qid, doc_id, round(score, 6) score, rank FROM {ranked('b', K)}",
+        "store_changes": """SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') || ' changed' ELSE coalesce(text, '') END) digest FROM documents
+            WHERE doc_id % 2 = 0 OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
         "bm25_segments": f"WITH {bm25('b', DOCS + ' WHERE doc_id % 4 = 3 OR doc_id % 2 = 0 OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)', ASKED)} SELECT qid, doc_id, round(score, 6) score, rank FROM {ranked('b', K)}",
         "bm25_scoped": f"WITH {bm25('b', scoped, ONE, True)} SELECT qid, doc_id, round(score, 6) score, rank FROM {ranked('(SELECT * FROM b WHERE score > 0)', K)}",
         "bm25_index_add": f"WITH {bm25('b', DOCS, ONE)} SELECT qid, doc_id, round(score, 6) score, rank FROM {ranked('b', K)}",

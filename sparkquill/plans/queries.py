@@ -329,6 +329,16 @@ def bm25_segments(spark, d):
     return index.search(questions(spark, d), K).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+def store_changes(spark, d):
+    """A table whose changes are parts merged in reading: all documents, without the toxic ones, texts of even ids changed,
+    which brings even toxic ones back."""
+    rows = docs(spark, d).select("doc_id", "text")
+    kept = segments.KeyedTable(spark, scratch_dir(spark, "changes"), rows.schema, "doc_id").add(rows)
+    kept = kept.remove(table(spark, d, "labels").filter("toxic = 1").select("doc_id"))
+    kept = kept.upsert(rows.filter("doc_id % 2 = 0").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" changed"))))
+    return kept.read().select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+
+
 def rrf_hybrid(spark, d):
     return _hybrid(spark, d, fusion.Fusion())
 
@@ -677,7 +687,7 @@ ALL = [
     tokens_per_doc, keep_token, term_doc_freq, corpus_stats, split_sentences, sentence_dedup, sentence_hash, compress_text, compress_text_simple,
     should_compress, truncation_policy, significant_terms, classify_chunk, detect_strategy, parse_intent, content_hash, normalize_ws, dehyphenate,
     strip_page_number, join_pages, document_kind, subword_tokenize, cosine_similarity, embedding_norms, dim_guard, vector_topk, vector_topk_batch,
-    vector_self_join_label, vector_cells, vector_graph, mean_pool, search_chunks, search_similar, bm25_topk, bm25_batch, bm25_blocks, bm25_segments, bm25_scoped, bm25_index_add,
+    vector_self_join_label, vector_cells, vector_graph, mean_pool, search_chunks, search_similar, bm25_topk, bm25_batch, bm25_blocks, bm25_segments, store_changes, bm25_scoped, bm25_index_add,
     bm25_index_remove, rrf_hybrid, rrf_weighted, hybrid_source_filter, hybrid_metadata_like, search_hybrid_simple, content_fetch, dedup_ingest,
     add_document, list_sources, get_source, get_source_chunks, get_all_chunks, get_adjacent_chunks, chunks_left_join_sources, source_stats,
     chunk_counts, delete_source, update_status, update_embedding, incremental_search, buffer_merge, buffer_stats, chunk_overlap, semantic_chunk,

@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkquill.operators import bm25, segments
 
@@ -127,3 +128,52 @@ def test_nothing_in_it(spark, tmp_path):
     assert index.manifest.number == 0 and index.stats().first()[:2] == (0, 0)
     index = index.add(spark.createDataFrame([(1, "alpha"), (1, "alpha")], SCHEMA).withColumn("term", F.lit("clash")))
     assert index.manifest.docs == 1
+
+
+ROWS = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType()), T.StructField("tags", T.ArrayType(T.FloatType()))])
+
+
+def contents(table):
+    return {r["k"]: r["v"] for r in table.read().collect()}
+
+
+def test_keyed_table(spark, tmp_path, monkeypatch):
+    """Random additions, changes and removals against a dictionary."""
+    monkeypatch.setattr(segments, "SMALLEST", 30)
+    r = random.Random(9)
+    table, live = segments.KeyedTable(spark, str(tmp_path / "t"), ROWS, "k"), {}
+    frame = lambda rows: spark.createDataFrame([(k, v, [1.0]) for k, v in rows.items()], ROWS)
+    for step in range(8):
+        new = {k: f"v{step}" for k in r.sample(range(80), 12) if k not in live}
+        table = table.add(frame(new))
+        live |= new
+        change = {k: f"u{step}" for k in r.sample(range(80), 9)}
+        table = table.upsert(frame(change))
+        live |= change
+        gone = r.sample(range(80), 10)
+        table = table.remove(spark.createDataFrame([(k,) for k in gone], "k long"))
+        live = {k: v for k, v in live.items() if k not in gone}
+        if step % 3 == 1:
+            assert contents(table) == live and table.manifest.docs == len(live)
+    table.expire(1)
+    again = segments.KeyedTable(spark, str(tmp_path / "t"), ROWS, "k")
+    assert contents(again) == live == contents(again.merge())
+    assert contents(segments.KeyedTable(spark, str(tmp_path / "none"), ROWS, "k").remove(spark.range(2).toDF("k"))) == {}
+
+
+def test_keyed_table_writes_what_changes(spark, tmp_path):
+    root = str(tmp_path / "t")
+    rows = spark.range(40_000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"), F.array().cast("array<float>").alias("tags"))
+    table = segments.KeyedTable(spark, root, ROWS, "k").add(rows.coalesce(2))
+    whole = size(root)
+    table = table.upsert(rows.filter("k % 200 = 0").withColumn("v", F.lit("new")).coalesce(1))
+    assert size(root) - whole < 0.05 * whole
+    before = size(root)
+    reader = segments.KeyedTable(spark, root, ROWS, "k")
+    table = table.remove(rows.filter("k < 100").select("k"))
+    assert size(root) - before < 0.05 * whole
+    assert table.read().filter("v = 'new'").count() == 199 and table.manifest.docs == 39_900
+    table.merge().expire(3)
+    assert reader.read().count() == 40_000
+    with pytest.raises(segments.Conflict):
+        reader.remove(rows.select("k"))

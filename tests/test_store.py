@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkquill import engine
-from sparkquill.operators import embed, fusion, store
+from sparkquill.operators import embed, fusion, segments, store
 
 
 def test_add_sources(spark):
@@ -172,8 +172,15 @@ def test_add_is_made_good_after_a_stop(spark, tmp_path, monkeypatch):
             left[0] -= 1
             real(self, *a)
 
+        def commit(self, *a, real=segments.Parts._commit, left=left):
+            if left[0] == 0:
+                raise RuntimeError("stopped")
+            left[0] -= 1
+            return real(self, *a)
+
         with monkeypatch.context() as m:
             m.setattr(store.Store, "put", put)
+            m.setattr(segments.Parts, "_commit", commit)
             try:
                 e.add(rows)
             except RuntimeError:
