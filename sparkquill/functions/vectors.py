@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,11 @@ def mean_pool(rows: Column) -> Column:
     first = F.transform(F.get(rows, F.lit(0)), lambda x: x.cast("double"))
     total = F.aggregate(F.slice(rows, 2, 1_000_000_000), first, lambda s, r: F.zip_with(s, r, lambda x, y: x + y.cast("double")))
     return F.transform(total, lambda x: x / n)
+
+
+def mean_pooled(rows: DataFrame, by: list[str], column: str = "embedding") -> DataFrame:
+    """The means of groups of vectors of any size: `by`, pos (from 0), value.
+
+    Components are added where they are read, so a group that holds most of the rows is as many partial sums as tasks."""
+    each = rows.select(*by, F.posexplode(column).alias("pos", "value"))
+    return each.groupBy(*by, F.col("pos").cast("long").alias("pos")).agg(F.avg(F.col("value").cast("double")).alias("value"))

@@ -252,8 +252,7 @@ def vector_graph(spark, d):
 
 
 def mean_pool(spark, d):
-    rows = table(spark, d, "embeddings").groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("rows"))
-    return rows.select("label", F.posexplode(vectors.mean_pool(F.col("rows"))).alias("pos", "value")).select("label", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+    return vectors.mean_pooled(table(spark, d, "embeddings"), ["label"]).withColumn("value", F.round("value", 6))
 
 
 def search_chunks(spark, d):

@@ -125,3 +125,12 @@ def test_vectors(spark):
     assert r[1:4] == (0.0, 0.0, 1.0)
     assert r[4] == pytest.approx(0.0)
     assert r[5] == [3.0, 5.0]
+
+
+def test_mean_pooled(spark):
+    rows = [(1, [1.0, 2.0]), (1, [3.0, 5.0]), (1, [2.0, -1.0]), (2, [0.5, 0.25]), (3, []), (4, None)]
+    df = spark.createDataFrame(rows, "label int, embedding array<float>").withColumn("pos", F.lit("clash")).withColumn("value", F.lit(0))
+    got = {(r["label"], r["pos"]): r["value"] for r in vectors.mean_pooled(df, ["label"]).collect()}
+    assert got == {(1, 0): 2.0, (1, 1): 2.0, (2, 0): 0.5, (2, 1): 0.25}
+    whole = df.filter("label = 1").groupBy().agg(F.collect_list("embedding").alias("m")).select(vectors.mean_pool(F.col("m")).alias("v")).first()["v"]
+    assert whole == [got[1, 0], got[1, 1]]
