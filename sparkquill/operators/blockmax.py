@@ -74,7 +74,7 @@ class BlockIndex:
         wanted = weights.join(chosen.select("qid", "block"), "qid")
         rows = self.blocks.select("term", "block", "docs").join(wanted, ["term", "block"])
         rows = rows.select("qid", "weight", "avgdl", F.explode("docs").alias("x"))
-        return rows.groupBy("qid", F.col("x.doc_id").alias("doc_id")).agg(F.sum(_part(F.col("x.tf"), F.col("x.dl"))).alias("score"))
+        return rows.groupBy("qid", F.col("x.doc_id").alias("doc_id")).agg(bm25.exact_sum(_part(F.col("x.tf"), F.col("x.dl"))).alias("score"))
 
     def _chosen(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         """Scores of all documents that may be among the k best, and the bounds with what has been scored."""

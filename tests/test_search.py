@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkquill.operators import bm25, embed, evaluate, fusion, store, vector
+from sparkquill.operators import blockmax, bm25, embed, evaluate, fusion, store, vector
 
 CATS = [(1, "The quick brown fox jumps over the lazy dog"), (2, "The lazy cat sleeps all day"), (3, "Quick brown cats are rare")]
 
@@ -43,6 +43,21 @@ def test_repeated_query_terms_count(spark):
     assert two == pytest.approx(2 * one)
 
 
+def test_equal_documents_score_the_same_in_any_order(spark):
+    """Documents of the same postings, met in other orders: not a bit apart, by keywords and by blocks."""
+    posts = [(f"t{i}", tf, tf == 1) for i, tf in enumerate([1 + i * i % 17 for i in range(60)])]
+    orders = [np.random.default_rng(d).permutation(60) for d in range(12)]
+    rows = [(posts[i][0], d, posts[i][1], 400 + d % 3, bool(i == 0)) for d, order in enumerate(orders) for i in order]
+    index = bm25.Index(spark.createDataFrame(rows, "term string, doc_id long, tf long, dl long, lead boolean").coalesce(1), spark.createDataFrame([(12, 4812, 401.0)], "n long, total long, avgdl double"))
+    q = queries(spark, " ".join(f"t{i} " * (1 + i % 4) for i in range(60)))
+    found = bm25.search(index, q, 12).collect()
+    assert len({r["score"] for r in found}) == 3
+    assert [r["doc_id"] for r in sorted(found, key=lambda r: r["rank"])] == [0, 3, 6, 9, 1, 4, 7, 10, 2, 5, 8, 11]
+    part = lambda t, tf, dl: (1 + t % 4) * np.log(0.5 / 12.5 + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / 401.0))
+    assert found[0]["score"] == pytest.approx(sum(part(t, posts[t][1], 400 + found[0]["doc_id"] % 3) for t in range(60)), rel=1e-14)
+    assert sorted(map(tuple, blockmax.BlockIndex.build(index).search(q, 12).collect())) == sorted(map(tuple, found))
+
+
 def test_many_terms_use_an_index(spark):
     docs = spark.createDataFrame(CATS, "doc_id long, text string")
     long = "lazy cat " + " ".join(f"w{i}" for i in range(100))
