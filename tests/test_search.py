@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -216,3 +218,51 @@ def test_probes_are_measured(spark):
         exact = vector.topk(v, q, 10).select("qid", "doc_id")
         assert exact.join(index.search(q, 10), ["qid", "doc_id"]).count() >= 0.9 * exact.count()
         assert index.probes <= most * len(index.centres)
+
+
+@pytest.mark.parametrize("k", [1, 4, 300])
+def test_kernel_keeps_little_and_ranks_by_double(k):
+    """Similarities that single precision can't tell apart, copies among them: ranks of double precision, ties by ids, and no
+    more than some queries' similarities at once."""
+    rng = np.random.default_rng(3)
+    base = vector._unit(rng.normal(size=(1, 8)))
+    m = vector._unit(np.vstack([base + 1e-9 * rng.normal(size=(150, 8)), rng.normal(size=(40, 8)), np.repeat(base, 30, axis=0)]))
+    unit, own = vector._unit(rng.normal(size=(70, 8))), rng.permutation(len(m))
+    best = vector._Best(np.arange(70), unit, k)
+    for a in range(0, len(m), 16):
+        best.meet(own[a : a + 16], m[a : a + 16])
+    (got,) = best.hits()
+    sims = np.round(unit @ m.T, 12)
+    want = [[int(own[j]) for j in sorted(range(len(m)), key=lambda j, r=r: (-r[j], own[j]))[:k]] for r in sims]
+    assert got.column("doc_id").to_pylist() == sum(want, [])
+
+
+def test_kernel_memory_is_bounded_by_tiles():
+    """4,096 queries and 4,096 vectors: their similarities together would be 128 MB."""
+    rng = np.random.default_rng(3)
+    m = vector._unit(rng.normal(size=(4096, 16)))
+    tracemalloc.start()
+    best = vector._Best(np.arange(4096), m, 20)
+    best.meet(np.arange(4096), m)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+
+
+def test_cells_meet_only_the_queries_that_ask_them(spark, monkeypatch):
+    """Hits through cells, in blocks of queries: with every cell probed those of a scan, with few only of the probed cells."""
+    monkeypatch.setattr(vector, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(1500, 8)).astype(np.float32)
+    m[700:720] = m[5]
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<float>")
+    q = v.filter("id % 7 = 0").select(F.col("id").alias("qid"), "embedding")
+    index = vector.CellIndex.build(v)
+    index.probes = len(index.centres)
+    rows = lambda df: sorted((r["qid"], r["rank"], r["doc_id"]) for r in df.collect())
+    assert rows(index.search(q, 10)) == rows(vector.topk(v, q, 10))
+    index.probes = 2
+    cell = {r["id"]: r["cell"] for r in index.table.collect()}
+    unit = vector._unit(m.astype(np.float64))
+    for r in index.search(q, 10).collect():
+        assert cell[r["doc_id"]] in np.argsort(-(index.centres @ unit[r["qid"]]))[:2]
