@@ -19,6 +19,8 @@ Embedder = Callable[[Column], Column]
 
 #: Subword ids in one run of a model: 32 of the short texts, 16 of the longest.
 IDS_A_RUN = 8192
+#: Texts whose subword ids a worker holds at once.
+AT_ONCE = 256
 
 
 def hashing_embedder(dim: int = 64) -> Embedder:
@@ -72,14 +74,21 @@ def subword_ids(tokenizer, text: str) -> list[int]:
     return tokenizer.encode(text).ids
 
 
+def _some(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Batches in parts of AT_ONCE rows, so that a worker's lists of ids don't grow with the rows of its task."""
+    for rows in batches:
+        for a in range(0, len(rows), AT_ONCE):
+            yield rows.iloc[a : a + AT_ONCE]
+
+
 def tokenize_column(path: str) -> Callable[[Column], Column]:
     """A column of texts to one of subword ids, by a tokenizer file that each worker loads once."""
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = _tokenizer(path)
-        for texts in batches:
-            yield texts.map(lambda x: None if x is None else subword_ids(t, x))
+        for texts in _some(batches):
+            yield texts.map(lambda x: None if x is None else np.array(subword_ids(t, x), np.int32))
 
     return run
 
@@ -90,7 +99,7 @@ def decode_column(path: str) -> Callable[[Column], Column]:
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = _tokenizer(path)
-        for ids in batches:
+        for ids in _some(batches):
             yield ids.map(lambda x: None if x is None else t.decode([int(i) for i in x], skip_special_tokens=True))
 
     return run

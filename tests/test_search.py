@@ -1,10 +1,13 @@
+import os
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sparkquill.operators import blockmax, bm25, embed, evaluate, fusion, store, vector
+from sparkquill.plans import queries as plans
 
 CATS = [(1, "The quick brown fox jumps over the lazy dog"), (2, "The lazy cat sleeps all day"), (3, "Quick brown cats are rare")]
 
@@ -266,3 +269,28 @@ def test_cells_meet_only_the_queries_that_ask_them(spark, monkeypatch):
     unit = vector._unit(m.astype(np.float64))
     for r in index.search(q, 10).collect():
         assert cell[r["doc_id"]] in np.argsort(-(index.centres @ unit[r["qid"]]))[:2]
+
+
+TOKENIZER, SMALL = "/opt/tokenizers/byte_bpe_50k.json", "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isfile(TOKENIZER), reason="no tokenizer")
+def test_subword_ids_come_in_parts():
+    """However many rows a batch has, a worker holds the ids of some, as arrays."""
+    texts = pd.Series([f"text {i}" if i % 7 else None for i in range(1000)])
+    parts = list(embed.tokenize_column(TOKENIZER).func(iter([texts])))
+    assert max(map(len, parts)) <= 256 and all(x is None or x.dtype == np.int32 for x in parts[0])
+    back = pd.concat(list(embed.decode_column(TOKENIZER).func(iter([pd.concat(parts)]))))
+    assert back.tolist() == texts.tolist()
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_texts_of_hits_stay_where_they_are(spark):
+    """Hits are sent to the documents; no text is dealt by its id."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plans._ranks(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [doc_id" in plan and "hashpartitioning(doc_id" not in plan
