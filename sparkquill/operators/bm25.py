@@ -94,17 +94,24 @@ def scored(postings: DataFrame, stats: DataFrame, terms: DataFrame, floor: bool
     """qid, doc_id, score from postings that may hold other terms too. floor: no average length under 1.
 
     Everything that is the same for all documents is worked out on the side of the query terms, a table of the batch's
-    size; the postings are joined once, and scores are summed before they are shuffled."""
+    size. Postings of its terms are dealt by document before they meet the queries, so a task sums the scores of its own
+    documents, pairs of a query and a document aren't shuffled, and how many a task holds doesn't grow with the input."""
     df = postings.select("term").join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("df"))
     avgdl = F.greatest(F.col("avgdl"), F.lit(1.0)) if floor else F.col("avgdl")
     weights = terms.join(df, "term").crossJoin(F.broadcast(stats.select("n", "avgdl")))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = written(weights.select("qid", "term", (F.col("qtf") * idf).alias("weight"), avgdl.alias("avgdl")), "weights")
-    # A batch of counted size goes to the postings, which then stay where they are; a larger one meets them by term.
-    if weights.count() <= MOST_BROADCAST:
-        weights = F.broadcast(weights)
+    weights = written(weights.select("qid", "term", (F.col("qtf") * idf).alias("weight"), avgdl.alias("avgdl"), "df", "n"), "weights")
+    rows, met, asked, n = weights.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0)), F.countDistinct("qid"), F.coalesce(F.max("n"), F.lit(0))).first()
+    tasks = max(1, -(-min(met, asked * n) // PAIRS))
+    weights = weights.drop("df", "n")
+    # A batch of counted size goes to the postings; a larger one meets them by term.
+    if rows <= MOST_BROADCAST:
+        some = postings.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi")
+        found = some.repartition(tasks, "doc_id").join(F.broadcast(weights), "term")
+    else:
+        found = postings.join(weights, "term").repartition(tasks, "qid", "doc_id")
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return postings.join(weights, "term").groupBy("qid", "doc_id").agg(exact_sum(part).alias("score"))
+    return found.groupBy("qid", "doc_id").agg(exact_sum(part).alias("score"))
 
 
 def exact_sum(part: Column) -> Column:
@@ -150,5 +157,7 @@ def scan(docs: DataFrame, queries: DataFrame, k: int | None, floor: bool = False
 
 #: Rows of query terms, some 60 bytes each, that are sent to every executor at most.
 MOST_BROADCAST = 200_000
+#: Pairs of a query and a document whose scores a task sums, some 100 bytes each.
+PAIRS = 1_000_000
 #: A batch with more terms than this is answered from an index, where each token meets its term by hash.
 MOST_TERMS = 64

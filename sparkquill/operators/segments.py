@@ -31,6 +31,8 @@ from sparkquill.tables import written
 
 #: Segments of one size that are merged, and postings of the smallest size.
 FAN, SMALLEST = 4, 10_000
+#: Postings that a task sorts and a file of a segment holds, some 100 bytes each in memory.
+SORTED = 2_000_000
 #: Share of a segment's documents that are removed from which on it is written anew by the next merge.
 DEAD = 0.5
 _POSTINGS = "term string, doc_id long, tf long, dl long, lead boolean"
@@ -266,12 +268,12 @@ class SegmentIndex(Parts):
     def _segment(self, postings: DataFrame, seq: int) -> Part:
         """Writes postings, sorted by term over files of about even size, and the lengths of their documents."""
         name = uuid.uuid4().hex
-        # Ranges are cut after a look at all rows, which are therefore made once before.
+        # Ranges are cut after a look at all rows, which are therefore made once before; a task sorts a bounded number.
         postings = written(postings, "postings")
-        postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{self.root}/postings/{name}")
+        n = postings.count()
+        postings.repartitionByRange(max(1, -(-n // SORTED)), "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{self.root}/postings/{name}")
         kept = self.spark.read.schema(_POSTINGS).parquet(f"{self.root}/postings/{name}")
         kept.filter("lead").select("doc_id", "dl").write.parquet(f"{self.root}/lengths/{name}")
-        n = kept.count()
         sums = self.spark.read.schema(_DOCS).parquet(f"{self.root}/lengths/{name}").agg(F.count("*"), F.sum("dl")).first()
         return Part(name, seq, sums[0], sums[1] or 0, n)
 

@@ -63,6 +63,21 @@ def test_equal_documents_score_the_same_in_any_order(spark):
     assert sorted(map(tuple, blockmax.BlockIndex.build(index).search(q, 12).collect())) == sorted(map(tuple, found))
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_a_task_sums_a_bounded_number_of_scores(spark, monkeypatch, most):
+    """Pairs of a query and a document are dealt over tasks by their number, for batches of either size, with equal results."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("all of them lazy w"), F.col("id") % 7).alias("text"))
+    q = queries(spark, *[f"all lazy w{i}" for i in range(8)])
+    index = bm25.build(docs)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(index.search(q, 20))
+    monkeypatch.setattr(bm25, "PAIRS", 2000, raising=False)
+    monkeypatch.setattr(bm25, "MOST_BROADCAST", most)
+    each = bm25.scored(index.postings, index.stats, bm25.query_terms(q)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in each) == 24_000 and max(r["count"] for r in each) < 4000
+    assert rows(index.search(q, 20)) == want and len(want) == 160
+
+
 def test_many_terms_use_an_index(spark):
     docs = spark.createDataFrame(CATS, "doc_id long, text string")
     long = "lazy cat " + " ".join(f"w{i}" for i in range(100))

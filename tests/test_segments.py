@@ -39,6 +39,16 @@ def same_as_rebuilt(spark, index, live):
     assert index.stats().first()[:2] == want.stats.first()[:2]
 
 
+def test_a_task_sorts_a_bounded_number_of_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "SORTED", 400, raising=False)
+    live = dict(texts(range(300)))
+    index = segments.SegmentIndex(spark, str(tmp_path / "i")).add(spark.createDataFrame(list(live.items()), SCHEMA))
+    each = index.postings().groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in each) == index.manifest.segments[0].postings > 2000
+    assert max(r["count"] for r in each) < 800
+    same_as_rebuilt(spark, index, live)
+
+
 def test_random_changes_equal_a_rebuild(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments, "SMALLEST", 200)
     r = random.Random(3)
