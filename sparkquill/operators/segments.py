@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from sparkquill.files import Files
 from sparkquill.operators import bm25
-from sparkquill.tables import written
+from sparkquill.tables import scratch, written
 
 #: Segments of one size that are merged, and postings of the smallest size.
 FAN, SMALLEST = 4, 10_000
@@ -269,9 +269,10 @@ class SegmentIndex(Parts):
         """Writes postings, sorted by term over files of about even size, and the lengths of their documents."""
         name = uuid.uuid4().hex
         # Ranges are cut after a look at all rows, which are therefore made once before; a task sorts a bounded number.
-        postings = written(postings, "postings")
-        n = postings.count()
-        postings.repartitionByRange(max(1, -(-n // SORTED)), "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{self.root}/postings/{name}")
+        with scratch([]):
+            postings = written(postings, "postings")
+            n = postings.count()
+            postings.repartitionByRange(max(1, -(-n // SORTED)), "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{self.root}/postings/{name}")
         kept = self.spark.read.schema(_POSTINGS).parquet(f"{self.root}/postings/{name}")
         kept.filter("lead").select("doc_id", "dl").write.parquet(f"{self.root}/lengths/{name}")
         sums = self.spark.read.schema(_DOCS).parquet(f"{self.root}/lengths/{name}").agg(F.count("*"), F.sum("dl")).first()

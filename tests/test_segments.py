@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkquill.operators import bm25, segments
+from sparkquill.tables import shared_dir
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
 SCHEMA = "doc_id long, text string"
@@ -49,6 +50,13 @@ def test_a_task_sorts_a_bounded_number_of_postings(spark, tmp_path, monkeypatch)
     same_as_rebuilt(spark, index, live)
 
 
+def test_a_segment_leaves_no_working_table(spark, tmp_path):
+    tables = shared_dir(spark).removeprefix("file://") + "/tables"
+    before = {n for n in (os.listdir(tables) if os.path.isdir(tables) else []) if n.startswith("postings-")}
+    segments.SegmentIndex(spark, str(tmp_path / "i")).add(spark.createDataFrame(texts(range(20)), SCHEMA))
+    assert {n for n in os.listdir(tables) if n.startswith("postings-")} == before
+
+
 def test_random_changes_equal_a_rebuild(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments, "SMALLEST", 200)
     r = random.Random(3)
