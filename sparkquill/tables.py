@@ -8,6 +8,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that removes a query's shuffle files at its end.
+DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of `sf_dir`; any path that Spark's readers can open."""
@@ -83,11 +86,23 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What a query inside shuffles goes from the disks when it ends; else it stays until the driver collects its garbage."""
+    before = spark.conf.get(DROP, None)
+    spark.conf.set(DROP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(DROP) if before is None else spark.conf.set(DROP, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` written once as Parquet to the shared folder and read again: lineage is cut, and losing an executor loses nothing.
 
     The table is a working table, deleted as `scratch_dir` says."""
     path = _new(df.sparkSession, label)
-    df.write.parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     _counted(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,9 +1,11 @@
 """Blocks with bounds: the ranks of scoring everything, and what is skipped."""
 
 import random
+import time
 
 import pytest
 
+from sparkquill import tables
 from sparkquill.operators import bm25, blockmax
 
 SCHEMA = "doc_id long, text string"
@@ -42,3 +44,39 @@ def test_same_ranks(spark, tmp_path, monkeypatch, k):
 def test_empty(spark):
     blocks = blockmax.BlockIndex.build(bm25.build(spark.createDataFrame([], SCHEMA)))
     assert blocks.search(spark.createDataFrame([(0, "a")], "qid long, query string"), 3).collect() == []
+
+
+def test_from_texts(spark, monkeypatch):
+    """Straight from texts: the blocks and statistics of an index, without a table of postings; ranks in one task or many."""
+    monkeypatch.setattr(blockmax, "SPAN", 32)
+    docs = spark.createDataFrame([*corpus(1500), (9000, ""), (9001, None), (9002, "w1 w1")], SCHEMA)
+    made = []
+    for module in (bm25, blockmax):
+        monkeypatch.setattr(module, "written", lambda df, label, f=module.written: made.append(label) or f(df, label))
+    direct = blockmax.BlockIndex.of(docs)
+    assert "postings" not in made
+    index = bm25.build(docs)
+    assert direct.stats.collect() == index.stats.collect()
+    assert direct.blocks.columns == ["term", "block", "n", "max_tf", "min_dl", "docs"]
+    queries = spark.createDataFrame([(i, f"w{i} w{3 * i} topic{i % 5}") for i in range(20)], "qid long, query string")
+    rows = lambda df: sorted(tuple(r) for r in df.select("qid", "rank", "doc_id", "score").collect())
+    want = rows(bm25.search(index, queries, 5))
+    for pairs, most in ((1_000_000, 200_000), (64, 200_000), (64, 0)):
+        monkeypatch.setattr(blockmax, "PAIRS", pairs)
+        monkeypatch.setattr(blockmax, "MOST_BROADCAST", most)
+        assert rows(direct.search(queries, 5)) == want
+
+
+def test_written_leaves_no_shuffle(spark, tmp_path):
+    """A working table's shuffle files are gone once it is written, and the session's setting is as it was."""
+    before, found = spark.conf.get(tables.DROP, None), []
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {str(b) for b in local.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in b}
+    old = shuffles()
+    out = tables.written(spark.range(50_000).repartition(7, "id"), "dealt")
+    for _ in range(100):
+        found = shuffles() - old
+        if not found:
+            break
+        time.sleep(0.1)
+    assert not found and out.count() == 50_000 and spark.conf.get(tables.DROP, None) == before
